@@ -122,9 +122,14 @@ def eval_overall(scored: DataFrame) -> DataFrame:
     return _to_rows(scored.agg(*_summary_aggregates(scored)))
 
 
+def eval_by_group(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same per group."""
+    return _to_rows(scored.groupBy(*by).agg(*_summary_aggregates(scored)), by)
+
+
 def eval_by_prompt_type(scored: DataFrame) -> DataFrame:
     """The same per prompt type; rows without prompt or code count for their type."""
-    return _to_rows(scored.groupBy("prompt_type").agg(*_summary_aggregates(scored)), ["prompt_type"])
+    return eval_by_group(scored, ["prompt_type"])
 
 
 def eval_summary(scored: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -43,10 +43,10 @@ def follow(
     )
 
 
-def pairs_from_responses(mode: str = "train") -> Callable[[DataFrame], DataFrame]:
+def pairs_from_responses(mode: str = "train", keep: Sequence[str] = ()) -> Callable[[DataFrame], DataFrame]:
     """Finished responses to pairs, for :func:`follow`."""
     build = build_test_pairs if mode == "test" else build_pairs
-    return lambda responses: build(parse_responses(responses, mode))
+    return lambda responses: build(parse_responses(responses, mode), keep)
 
 
 def scores_from_pairs(pairs: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import ast
 import sys
 import warnings
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -45,62 +46,119 @@ _UNPARSABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
 def _parse(code: str) -> ast.Module | None:
+    try:
+        return ast.parse(code)
+    except _UNPARSABLE:
+        return None
+
+
+def _quietly(work: Callable[[pa.Array], list], batch: pa.Array) -> list:
+    """Run over a batch without the warnings that odd snippets raise."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        try:
-            return ast.parse(code)
-        except _UNPARSABLE:
-            return None
-
-
-def _decisions(node: ast.AST) -> int:
-    """Branches that one node adds, its children not counted."""
-    if isinstance(node, ast.If | ast.IfExp | ast.Assert):
-        return 1
-    if isinstance(node, ast.For | ast.AsyncFor | ast.While):
-        return 1 + bool(node.orelse)
-    if isinstance(node, ast.Try | ast.TryStar):
-        return len(node.handlers) + bool(node.orelse)
-    if isinstance(node, ast.BoolOp):
-        return len(node.values) - 1
-    if isinstance(node, ast.comprehension):
-        return 1 + len(node.ifs)
-    if isinstance(node, ast.Match):
-        bare = any(isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None for c in node.cases)
-        return max(0, len(node.cases) - bare)
-    return 0
-
-
-def _survey(body: list[ast.stmt]) -> tuple[int, list[ast.AST], list[ast.AST]]:
-    """Branches below ``body`` and the outermost functions and classes met there."""
-    branches, functions, classes = 0, [], []
-    pending = list(body)
-    while pending:
-        node = pending.pop()
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            functions.append(node)
-        elif isinstance(node, ast.ClassDef):
-            classes.append(node)
-        else:
-            branches += _decisions(node)
-            if not isinstance(node, ast.Assert):
-                pending.extend(ast.iter_child_nodes(node))
-    return branches, functions, classes
-
-
-def _complexity(tree: ast.Module) -> float:
-    def of_functions(functions: list[ast.AST]) -> list[int]:
-        return [1 + _survey(f.body)[0] for f in functions]
-
-    _, functions, classes = _survey(tree.body)
-    blocks = of_functions(functions)
-    for cls in classes:
-        branches, methods, _ = _survey(cls.body)
-        counts = of_functions(methods)
-        whole = 1 + branches + sum(counts)
-        blocks.append(whole // len(counts) + (len(counts) > 1) if counts else whole)
-        blocks.extend(counts)
-    return sum(blocks) / len(blocks) if blocks else 0.0
+        return work(batch)
+
+
+def _bare_cases(node: ast.Match) -> int:
+    """Whether a match has a case that takes anything."""
+    return any(isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None for c in node.cases)
+
+
+def _one(node: ast.AST) -> int:
+    return 1
+
+
+def _loop(node: ast.For) -> int:
+    return 1 + bool(node.orelse)
+
+
+def _handlers(node: ast.Try) -> int:
+    return len(node.handlers) + bool(node.orelse)
+
+
+#: Branches that one node adds by itself.
+_BRANCHES: dict[type, Callable[[ast.AST], int]] = {
+    ast.If: _one,
+    ast.IfExp: _one,
+    ast.Assert: _one,
+    ast.For: _loop,
+    ast.AsyncFor: _loop,
+    ast.While: _loop,
+    ast.Try: _handlers,
+    ast.TryStar: _handlers,
+    ast.BoolOp: lambda node: len(node.values) - 1,
+    ast.comprehension: lambda node: 1 + len(node.ifs),
+    ast.Match: lambda node: max(0, len(node.cases) - _bare_cases(node)),
+}
+
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_CLOSED = (ast.Name, ast.Constant, ast.Assert, ast.Import, ast.ImportFrom, ast.Pass)
+
+#: Fields that hold names, operators and contexts: nothing below them is counted.
+_PLAIN_FIELDS = {"ctx", "op", "ops", "id", "attr", "name", "arg", "kind", "type_comment", "type_params"}
+
+
+class _Block:
+    """A function, method, class or module with the branches that belong to it."""
+
+    __slots__ = ("branches", "kind", "methods")
+
+    def __init__(self, kind: str) -> None:
+        self.kind = kind
+        self.branches = 0
+        self.methods: list[_Block] = []
+
+    def complexity(self) -> int:
+        whole = 1 + self.branches + sum(m.complexity() for m in self.methods)
+        if not self.methods:
+            return whole
+        return whole // len(self.methods) + (len(self.methods) > 1)
+
+
+def _walk(tree: ast.Module) -> tuple[list[ast.FunctionDef], list[_Block]]:
+    """All plain function definitions, and the blocks whose complexity counts; each node is met once.
+
+    Below a function only definitions are looked for: what is nested there is no block of its own.
+    """
+    definitions: list[ast.FunctionDef] = []
+    blocks: list[_Block] = []
+    fields: dict[type, list[str]] = {}
+    bodies: list[tuple[list[ast.stmt], _Block]] = [(tree.body, _Block("module"))]
+    while bodies:
+        body, owner = bodies.pop()
+        pending: list[ast.AST] = list(body)
+        while pending:
+            node = pending.pop()
+            kind = type(node)
+            if kind in _BRANCHES:
+                owner.branches += _BRANCHES[kind](node)
+            if kind in _CLOSED:
+                continue
+            if kind in _FUNCTIONS:
+                if kind is ast.FunctionDef:
+                    definitions.append(node)
+                block = _Block("function")
+                if owner.kind == "class":
+                    owner.methods.append(block)
+                if owner.kind in ("module", "class"):
+                    blocks.append(block)
+                bodies.append((node.body, block))
+            elif kind is ast.ClassDef:
+                block = _Block("class" if owner.kind == "module" else "inner")
+                if owner.kind == "module":
+                    blocks.append(block)
+                bodies.append((node.body, block))
+            else:
+                names = fields.get(kind)
+                if names is None:
+                    names = fields[kind] = [f for f in kind._fields if f not in _PLAIN_FIELDS]
+                for name in names:
+                    child = getattr(node, name, None)
+                    if isinstance(child, list):
+                        pending.extend(c for c in child if isinstance(c, ast.AST))
+                    elif isinstance(child, ast.AST):
+                        pending.append(child)
+    return definitions, blocks
 
 
 def _score(code: str | None) -> dict[str, float] | None:
@@ -108,27 +166,25 @@ def _score(code: str | None) -> dict[str, float] | None:
     tree = None if code is None else _parse(code)
     if tree is None:
         return None
-    total = any_ = some = full = documented = 0
-    for node in ast.walk(tree):
-        if type(node) is not ast.FunctionDef:
-            continue
+    definitions, blocks = _walk(tree)
+    any_ = some = full = documented = 0
+    for node in definitions:
         named = [a.annotation is not None for a in node.args.args if a.arg not in RECEIVERS]
         returns = node.returns is not None
-        total += 1
         any_ += returns or any(named)
         some += returns and any(named)
         full += returns and all(named)
         documented += bool(ast.get_docstring(node))
 
     def share(n: int) -> float:
-        return n / total if total else 0.0
+        return n / len(definitions) if definitions else 0.0
 
     return {
         "annotation_any": share(any_),
         "annotation_some": share(some),
         "annotation_all": share(full),
         "docstring_coverage": share(documented),
-        "code_complexity": _complexity(tree),
+        "code_complexity": sum(b.complexity() for b in blocks) / len(blocks) if blocks else 0.0,
     }
 
 
@@ -138,18 +194,27 @@ _SCORES = to_arrow_type(AST_SCORES)
 @F.arrow_udf(T.BooleanType())
 def is_valid_python(code: pa.Array) -> pa.Array:
     """Whether a text parses as Python; null for null, so rows can be left out by passing null."""
-    return pa.array([None if c is None else _parse(c) is not None for c in code.to_pylist()], pa.bool_())
+
+    def check(batch: pa.Array) -> list[bool | None]:
+        return [None if c is None else _parse(c) is not None for c in batch.to_pylist()]
+
+    return pa.array(_quietly(check, code), pa.bool_())
 
 
 @F.arrow_udf(AST_SCORES)
 def ast_scores(code: pa.Array) -> pa.Array:
-    return pa.array([_score(c) for c in code.to_pylist()], _SCORES)
+    """Parse-based scores of a snippet, null when it does not parse."""
+    return pa.array(_quietly(lambda batch: [_score(c) for c in batch.to_pylist()], code), _SCORES)
 
 
 @F.arrow_udf(T.ArrayType(AST_SCORES))
 def ast_scores_each(blocks: pa.Array) -> pa.Array:
-    rows = [None if row is None else [_score(c) for c in row] for row in blocks.to_pylist()]
-    return pa.array(rows, pa.list_(_SCORES))
+    """:func:`ast_scores` of every snippet of a list."""
+
+    def score(batch: pa.Array) -> list[list | None]:
+        return [None if row is None else [_score(c) for c in row] for row in batch.to_pylist()]
+
+    return pa.array(_quietly(score, blocks), pa.list_(_SCORES))
 
 
 # The workers get these functions by value, so the package need not be installed there.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prefmill.functions.text import INLINE_BLANKS, LINE_ENDS, let, line_count, split_lines
+from prefmill.functions.text import INLINE_BLANKS, LINE_BREAK, let, line_count, plain_breaks, split_lines
 
 # The fence pattern, line prefixes and limits that decide what counts as code.
 FENCE = "(?s)```(?:python)?\n(.*?)\n```"
@@ -14,8 +14,7 @@ IMPORT_PREFIXES = ("import ", "from ")
 SHORT_LINE = 2
 STYLE_MAX_LINE = 79
 
-COMMENT_LINE = f"(?:^|[{LINE_ENDS}])[{INLINE_BLANKS}]*#"
-STYLE_FAULT = r"^[ ]*\t|[ \t]$"
+COMMENT_LINE = f"{LINE_BREAK}[{INLINE_BLANKS}]*+#"
 
 
 def extract_fences(text: Column) -> Column:
@@ -56,10 +55,16 @@ def assemble_script(blocks: Column) -> Column:
 
 
 def comment_density(code: Column) -> Column:
-    """Share of lines whose first visible character is ``#``; 0 for an empty text."""
-    lines = line_count(code)
-    comments = F.regexp_count(code, F.lit(COMMENT_LINE))
-    return F.when(code == "", F.lit(0.0)).otherwise(comments / lines)
+    """Share of lines whose first visible character is ``#``; 0 for an empty text.
+
+    Most texts hold no ``#`` at all and are not scanned for lines.
+    """
+
+    def share(plain: Column) -> Column:
+        comments = F.regexp_count(F.concat(F.lit("\n"), plain), F.lit(COMMENT_LINE))
+        return comments / line_count(plain)
+
+    return F.when(~code.contains("#"), F.lit(0.0)).otherwise(let(plain_breaks(code), share))
 
 
 def style_compliance(code: Column) -> Column:
@@ -68,8 +73,11 @@ def style_compliance(code: Column) -> Column:
     Faults: over 79 characters, a tab in the indentation, a blank at the end of the line.
     """
 
+    def faulty(line: Column) -> Column:
+        tabbed = F.ltrim(line).startswith("\t")
+        return (F.length(line) > STYLE_MAX_LINE) | line.endswith(" ") | line.endswith("\t") | tabbed
+
     def clean_share(lines: Column) -> Column:
-        bad = F.filter(lines, lambda s: (F.length(s) > STYLE_MAX_LINE) | s.rlike(STYLE_FAULT))
-        return F.lit(1.0) - F.size(bad) / F.size(lines)
+        return F.lit(1.0) - F.size(F.filter(lines, faulty)) / F.size(lines)
 
     return F.when(code == "", F.lit(1.0)).otherwise(let(split_lines(code), clean_share))

@@ -1,8 +1,9 @@
 """Strict JSON: a text counts only when it is exactly one JSON value.
 
-``from_json`` forgives single quotes and trailing text. ``try_parse_json`` on its own stops after the
-first value, so a text is accepted only when it parses both as the single member of an object and as
-the single element of a list: no leftover can close both wrappers.
+``from_json`` forgives single quotes and trailing text, and ``try_parse_json`` stops after the first
+value. Here the text is parsed once as the only element of a list that is followed by a checksum of
+the text. Leftover text either breaks the syntax or closes the list early, and then the checksum or
+the single element is missing.
 
 Kept apart from Python's parser: NaN/Infinity and repeated keys are refused here.
 """
@@ -12,42 +13,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from prefmill.functions.text import let
 
-def json_value(text: Column) -> Column:
-    """Variant of the text wrapped in a one-element list, null unless the text is valid JSON.
+_VALUE = "$.v[0]"
 
-    Read members with paths that begin ``$[0]``.
-    """
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(in_object.isNotNull(), in_list)
-
-
-def is_object(value: Column) -> Column:
-    """Whether a value from :func:`json_value` is a JSON object."""
-    return F.try_variant_get(value, "$[0]", "map<string,variant>").isNotNull()
 
+def json_wrapped(text: Column) -> Column:
+    """Variant that holds the value of the text and its checksum; read it with the functions below."""
+    head, tail = F.lit('{"v":['), F.lit('],"sum":')
+    return F.try_parse_json(F.concat(head, text, tail, F.xxhash64(text).cast("string"), F.lit("}")))
 
-def member_exists(value: Column, key: str) -> Column:
-    return F.try_variant_get(value, f"$[0].{key}", "variant").isNotNull()
 
+def is_json(wrapped: Column, text: Column) -> Column:
+    """Whether the text is one JSON value; never null."""
+    whole = F.try_variant_get(wrapped, "$.sum", "bigint") == F.xxhash64(text)
+    single = F.try_variant_get(wrapped, "$.v[1]", "variant").isNull()
+    return F.coalesce(whole & single & F.try_variant_get(wrapped, _VALUE, "variant").isNotNull(), F.lit(False))
 
-def member_text(value: Column, key: str) -> Column:
-    """Text of a top-level member, null when missing."""
-    return F.try_variant_get(value, f"$[0].{key}", "string")
 
+def json_object(wrapped: Column) -> Column:
+    """The value as a map of texts, null unless it is an object."""
+    return F.try_variant_get(wrapped, _VALUE, "map<string,string>")
 
-def member_list(value: Column, key: str) -> Column:
-    """Elements of a top-level list member; empty when the member is missing, null when it is no list."""
-    elements = F.try_variant_get(value, f"$[0].{key}", "array<variant>")
-    empty = F.array().cast("array<variant>")
-    return F.when(~member_exists(value, key), empty).otherwise(elements)
 
+def json_objects(wrapped: Column, member: str) -> Column:
+    """A list member of the value as maps of texts.
 
-def key_exists(element: Column, key: str) -> Column:
-    """Whether a list element is an object that has the key (a JSON null counts as present)."""
-    return F.try_variant_get(element, f"$.{key}", "variant").isNotNull()
-
-
-def key_text(element: Column, key: str) -> Column:
-    return F.try_variant_get(element, f"$.{key}", "string")
+    Empty when the member is missing; null when it is no list of objects, or the value is no object.
+    """
+    path = f"{_VALUE}.{member}"
+    elements = F.try_variant_get(wrapped, path, "array<map<string,string>>")
+    missing = F.try_variant_get(wrapped, path, "variant").isNull()
+    is_object = F.try_variant_get(wrapped, _VALUE, "map<string,variant>").isNotNull()
+    empty = F.array().cast("array<map<string,string>>")
+    # An element that is no object reads as null.
+    objects = let(elements, lambda es: F.when(F.forall(es, lambda e: e.isNotNull()), es))
+    return F.when(~missing, objects).when(is_object, empty)

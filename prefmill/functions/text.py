@@ -14,10 +14,13 @@ INLINE_BLANKS = (
     "\u202f\u205f\u3000"
 )
 BLANKS = LINE_ENDS + INLINE_BLANKS
-LINE_BREAK = f"\r\n|[{LINE_ENDS}]"
+
+#: One-character class of the line ends below U+0100; the regex engine tests those by table.
+SHORT_LINE_ENDS = "".join(c for c in LINE_ENDS if c < "\u0100")
+LINE_BREAK = f"[{SHORT_LINE_ENDS}]"
 
 #: Default tokeniser: a run of letters, digits and underscores, or one other visible character.
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0B\f\r]"
+TOKEN = r"[\p{L}\p{N}_]++|[^\p{L}\p{N}_ \t\n\x0B\f\r]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,16 +33,26 @@ def strip_text(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def line_count(text: Column) -> Column:
-    """Number of lines; a break at the very end opens no further line."""
-    unfinished = (text != "") & ~F.substring(text, -1, 1).isin(*LINE_ENDS)
-    return F.regexp_count(text, F.lit(LINE_BREAK)) + unfinished.cast("int")
+def plain_breaks(text: Column) -> Column:
+    """The text with two-character and far line ends written as line feeds."""
+    for end in ("\r\n", *(c for c in LINE_ENDS if c not in SHORT_LINE_ENDS)):
+        text = F.replace(text, F.lit(end), F.lit("\n"))
+    return text
+
+
+def line_count(plain: Column) -> Column:
+    """Number of lines of a :func:`plain_breaks` text; a break at the very end opens no further line."""
+    unfinished = (plain != "") & ~F.substring(plain, -1, 1).isin(*SHORT_LINE_ENDS)
+    return F.regexp_count(plain, F.lit(LINE_BREAK)) + unfinished.cast("int")
 
 
 def split_lines(text: Column) -> Column:
     """The lines of a text, without their breaks; no line for an empty text."""
-    body = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
+
+    def finished(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    return let(F.split(plain_breaks(text), LINE_BREAK, -1), finished)
 
 
 def tokens(text: Column, pattern: str = TOKEN) -> Column:

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmill.functions import strict_json as sj
+from prefmill.functions.strict_json import is_json, json_object, json_objects, json_wrapped
+from prefmill.functions.text import let
 
 
 @dataclass(frozen=True)
@@ -65,42 +66,55 @@ def join_responses(
     return prompts.join(answers, key, "left").withColumn("request_error", failed)
 
 
-def _stage1(value: Column, mode: str) -> tuple[Column, Column]:
-    """Items of a stage-1 response, and whether the members that stage 2 needs are there."""
+def _text(entry: Column, key: str) -> Column:
+    return F.try_element_at(entry, F.lit(key))
+
+
+def _first_items(wrapped: Column, mode: str) -> Column:
+    """Items of a stage-1 response; null when members that stage 2 needs are not there."""
     if mode == "test":
-        fields = [sj.member_text(value, key).alias(key) for key in TEST_FIRST_KEYS]
-        item = F.struct(*[F.coalesce(f, F.lit("")).alias(k) for f, k in zip(fields, TEST_FIRST_KEYS)])
-        return F.array(item), sj.is_object(value)
+        return let(
+            json_object(wrapped),
+            lambda o: F.when(
+                o.isNotNull(), F.array(F.struct(*[F.coalesce(_text(o, k), F.lit("")).alias(k) for k in TEST_FIRST_KEYS]))
+            ),
+        )
     keys = LIST_KEYS[mode]
-    raw = sj.member_list(value, keys.first_list)
-    items = F.transform(
-        raw,
-        lambda e: F.struct(
-            sj.key_text(e, "use_case").alias("use_case"),
-            sj.key_text(e, keys.first_code).alias("code"),
-            sj.key_text(e, "prompt").alias("prompt"),
-        ),
+
+    def complete(entry: Column) -> Column:
+        return F.map_contains_key(entry, "use_case") & F.map_contains_key(entry, keys.first_code)
+
+    def item(entry: Column) -> Column:
+        return F.struct(
+            _text(entry, "use_case").alias("use_case"),
+            _text(entry, keys.first_code).alias("code"),
+            _text(entry, "prompt").alias("prompt"),
+        )
+
+    return let(
+        json_objects(wrapped, keys.first_list), lambda list_: F.when(F.forall(list_, complete), F.transform(list_, item))
     )
-    whole = F.forall(raw, lambda e: sj.key_exists(e, "use_case") & sj.key_exists(e, keys.first_code))
-    return items, sj.is_object(value) & F.coalesce(whole, F.lit(False))
 
 
-def _stage2(value: Column, mode: str) -> tuple[Column, Column]:
+def _second_items(wrapped: Column, mode: str) -> Column:
+    """Items of a stage-2 response; null when it is no object with a list of objects."""
     if mode == "test":
-        item = F.struct(*[F.coalesce(sj.member_text(value, k), F.lit("")).alias(k) for k in TEST_SECOND_KEYS])
-        return F.array(item), sj.is_object(value)
+        return let(
+            json_object(wrapped),
+            lambda o: F.when(
+                o.isNotNull(), F.array(F.struct(*[F.coalesce(_text(o, k), F.lit("")).alias(k) for k in TEST_SECOND_KEYS]))
+            ),
+        )
     keys = LIST_KEYS[mode]
-    raw = sj.member_list(value, keys.second_list)
-    items = F.transform(
-        raw,
-        lambda e: F.struct(
-            sj.key_text(e, "use_case").alias("use_case"),
-            F.coalesce(sj.key_text(e, keys.original), F.lit("")).alias("original_code"),
-            F.coalesce(sj.key_text(e, keys.improved), F.lit("")).alias("improved_code"),
-        ),
-    )
-    objects = F.forall(raw, lambda e: F.try_variant_get(e, "$", "map<string,variant>").isNotNull())
-    return items, sj.is_object(value) & F.coalesce(objects, F.lit(False))
+
+    def item(entry: Column) -> Column:
+        return F.struct(
+            _text(entry, "use_case").alias("use_case"),
+            F.coalesce(_text(entry, keys.original), F.lit("")).alias("original_code"),
+            F.coalesce(_text(entry, keys.improved), F.lit("")).alias("improved_code"),
+        )
+
+    return F.transform(json_objects(wrapped, keys.second_list), item)
 
 
 def parse_stage(df: DataFrame, stage: int, mode: str = "train", content: str | None = None) -> DataFrame:
@@ -108,24 +122,35 @@ def parse_stage(df: DataFrame, stage: int, mode: str = "train", content: str | N
 
     Adds (or completes) ``error_info``. A row that failed in an earlier stage keeps its first error and
     gets no items. No row is dropped and no bad row fails the job.
+
+    The parsed columns come out of a one-row ``inline``. Filters on them (such as :func:`drop_errors`)
+    then stay above it, where Catalyst would otherwise push them down and parse every text again.
     """
     name = "first" if stage == 1 else "second"
     content = content or f"{name}_content"
-    kinds = dict(df.dtypes)
-    earlier = F.col("error_info") if "error_info" in kinds else F.lit(None).cast(_ERROR)
-    request = F.col("request_error") if "request_error" in kinds else F.lit(None).cast("string")
-    with_value = df.withColumn("_value", sj.json_value(F.col(content)))
-    items, complete = (_stage1 if stage == 1 else _stage2)(F.col("_value"), mode)
-    error = (
-        F.when(earlier.isNotNull(), earlier)
-        .when(F.col(content).isNull(), _error("request", stage, F.coalesce(request, F.lit("no response"))))
-        .when(F.col("_value").isNull(), _error("json", stage, f"stage {stage} response is not one JSON value"))
-        .when(~complete, _error("processing", stage, f"stage {stage} response lacks the expected members"))
-        .cast(_ERROR)
-    )
-    parsed = with_value.withColumn("error_info", error)
-    kept = F.when(F.col("error_info").isNull(), items)
-    return parsed.withColumn(f"{name}_items", kept).drop("_value", "request_error")
+    earlier = F.col("error_info") if "error_info" in df.columns else F.lit(None).cast(_ERROR)
+    request = F.col("request_error") if "request_error" in df.columns else F.lit(None).cast("string")
+    text = F.when(earlier.isNull(), F.col(content))
+    read_items = _first_items if stage == 1 else _second_items
+
+    def read(wrapped: Column) -> Column:
+        valid = is_json(wrapped, F.col(content))
+        return F.struct(valid.alias("valid"), F.when(valid, read_items(wrapped, mode)).alias("items"))
+
+    def judge(found: Column) -> Column:
+        items = found.getField("items")
+        error = (
+            F.when(earlier.isNotNull(), earlier)
+            .when(F.col(content).isNull(), _error("request", stage, F.coalesce(request, F.lit("no response"))))
+            .when(~found.getField("valid"), _error("json", stage, f"stage {stage} response is not one JSON value"))
+            .when(items.isNull(), _error("processing", stage, f"stage {stage} response lacks the expected members"))
+            .cast(_ERROR)
+        )
+        return F.struct(error.alias("error_info"), items.alias(f"{name}_items"))
+
+    parsed = let(let(json_wrapped(text), read), judge)
+    carried = [c for c in df.columns if c not in ("error_info", "request_error")]
+    return df.select(*carried, F.inline(F.array(parsed)))
 
 
 def classify_error(parsed: DataFrame) -> DataFrame:

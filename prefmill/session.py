@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold from a laptop to a cluster; sizes are left to the caller.
 DEFAULTS = {
@@ -31,6 +31,19 @@ def build_session(app: str = "prefmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def few_partitions(df: DataFrame) -> bool:
+    """Whether an input would leave cores of the session idle (a few small files)."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Cut a small input into one part per core before costly row-wise work.
+
+    A large input already has more parts than there are cores and is left as it is, unshuffled.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few_partitions(df) else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

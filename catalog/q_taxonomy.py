@@ -87,6 +87,15 @@ def random_one(spark, sf_dir):
     return flat(selection.random_one(combos(spark, sf_dir), ["domain", "task"], seed=7))
 
 
+@query(
+    "sample_n_large",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY md5('7|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), l_orderkey, l_linenumber LIMIT 20001",
+)
+def sample_n_large(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return selection.sample_n(items, 20001, ["l_orderkey", "l_linenumber"], seed=7)
+
+
 FIELDS = {"domain": "domain", "task": "task", "libraries": "libraries", "code_forms": "repr"}
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefmill.functions.codescore import CODE_METRICS, ast_scores_each, code_metrics, is_valid_python
@@ -178,14 +178,11 @@ def category_means(scored: DataFrame, categories: Sequence[str] | None = None) -
     return _means_to_rows(grouped.drop(*categories), metric_names(scored), ("category", "category_value"))
 
 
-def both_sides_only(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows of the groups in which both sides occur. Meant for summaries, not for raw values."""
-    sides = rows.groupBy(*by).agg(F.count_distinct("side").alias("n_sides"))
-    paired = sides.filter(F.col("n_sides") == len(QUALITY_SIDES)).select(*[F.col(c).alias(f"_k_{c}") for c in by])
-    condition = F.lit(True)
-    for c in by:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return rows.join(paired, condition, "left_semi")
+def both_sides_only(summary: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Summary rows of the groups in which both sides occur; a group has one row per side."""
+    group = Window.partitionBy(*by)
+    sides = [F.min("side").over(group).alias("_low"), F.max("side").over(group).alias("_high")]
+    return summary.select("*", *sides).filter("_low <> _high").drop("_low", "_high")
 
 
 def side_box(scored: DataFrame) -> DataFrame:

@@ -1,20 +1,22 @@
 """Exact quantiles and box summaries that never bring one group into one task.
 
 ``percentile`` keeps every distinct value of a group in one buffer. Here the values are first counted
-(map-side), then each group is cut into ranges of about equal numbers of distinct values, running
-counts are taken inside a range, and range totals are added up over the few ranges of a group. The
-ranks this gives are exact; the sketch only decides where a group is cut.
+(map-side), then each group is cut into ranges of about equal numbers of distinct values. Range totals,
+added up over the few ranges of a group, tell which ranges hold the wanted ranks; only the values of
+those ranges are moved again and put in order. The ranks are exact: the sketch only decides where a
+group is cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges per group. Work per task is about 1/RANGES of the distinct values of the largest group.
-RANGES = 64
+#: Ranges per group: STEP steps, each cut into STEP ranges. A task orders the distinct values of one range.
+STEP = 12
 
 # Quartiles and whisker reach of a box summary.
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -27,64 +29,95 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | Non
     return df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(n.alias("n"))
 
 
-def _ranked(counts: DataFrame, by: Sequence[str], ranges: int) -> DataFrame:
-    """Add to each distinct value its first and last zero-based rank and the group's total."""
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = counts.groupBy(*by).agg(
-        F.percentile_approx("v", steps, 100 * ranges).alias("_cuts"), F.sum("n").alias("total")
-    )
-    place = F.size(F.filter("_cuts", lambda c: c < F.col("v")))
-    placed = _join_groups(counts, cuts, by).withColumn("_range", place).drop("_cuts")
-    sums = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_in_range"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *by, "_range", F.coalesce(F.sum("_in_range").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*by, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    running = placed.withColumn("_running", F.sum("n").over(inside))
-    last = F.col("_offset") + F.col("_running") - 1
-    return _join_groups(running, offsets, [*by, "_range"]).select(
-        *by, "v", "total", (last - F.col("n") + 1).alias("first_rank"), last.alias("last_rank")
-    )
-
-
-def _join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """Inner join on group columns where null is a group like any other."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in by else F.col(c) for c in right.columns])
-    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
+    condition = F.lit(True)
+    for c in by:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
     return left.join(renamed, condition, "inner").drop(*[f"_r_{c}" for c in by])
 
 
-def _interpolated(p: float) -> Column:
-    """Quantile with linear interpolation, as an aggregate over ranked values."""
-    at = F.lit(p) * (F.col("total") - 1)
+def _below(places: Sequence[Column]) -> Column:
+    """How many of the group's cuts at these places are below the value of the row.
+
+    A plain sum of comparisons: it is compiled, and the cuts of the group are read in place.
+    """
+    hits = [(F.get("_cuts", place) < F.col("v")).cast("int") for place in places]
+    return reduce(lambda a, b: a + b, hits)
+
+
+def _in_ranges(counts: DataFrame, by: Sequence[str], step: int) -> DataFrame:
+    """Add the range of each value: first among every ``step``-th cut, then among the cuts between."""
+    size = step * step
+    probs = [i / size for i in range(1, size)]
+    # The condition is always true. It keeps the count column, so that all uses share one shuffle of the counts.
+    value = F.when(F.col("n") > 0, F.col("v"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 20 * size).alias("_cuts"))
+    placed = join_groups(counts, cuts, by).withColumn("_step", _below([F.lit(i * step - 1) for i in range(1, step)]))
+    fine = _below([F.col("_step") * step + i for i in range(step - 1)])
+    return placed.withColumn("_range", F.col("_step") * step + fine).drop("_cuts", "_step")
 
-    def value_at(rank: Column) -> Column:
-        return F.max(F.when((F.col("first_rank") <= rank) & (rank <= F.col("last_rank")), F.col("v")))
 
-    low, high = value_at(F.floor(at)), value_at(F.ceil(at))
-    return low + (high - low) * F.max(at - F.floor(at))
+def _rank(p: float) -> Column:
+    """Zero-based place of a quantile among the values of a group, with fraction."""
+    return F.lit(p) * (F.col("total") - 1)
+
+
+def _holds(place: Column, first: Column, count: Column) -> Column:
+    return (place >= first) & (place < first + count)
+
+
+def _value_at(place: Column) -> Column:
+    return F.max(F.when(_holds(place, F.col("_first"), F.col("n")), F.col("v")))
 
 
 def exact_quantiles(
-    counts: DataFrame, by: Sequence[str], probs: dict[str, float], ranges: int = RANGES
+    counts: DataFrame, by: Sequence[str], probs: dict[str, float], step: int = STEP
 ) -> DataFrame:
-    """One column per named probability for each group of a :func:`value_counts` table."""
-    ranked = _ranked(counts, by, ranges)
-    return ranked.groupBy(*by).agg(*[_interpolated(p).alias(name) for name, p in probs.items()])
+    """One column per named probability for each group of a :func:`value_counts` table, with linear
+    interpolation between neighbouring values."""
+    placed = _in_ranges(counts, by, step)
+    # At most step * step rows per group.
+    totals = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_in_range"))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = totals.select(
+        *by,
+        "_range",
+        "_in_range",
+        F.sum("_in_range").over(group).alias("total"),
+        F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)).alias("_before"),
+    )
+    wanted = F.lit(False)
+    for p in probs.values():
+        for place in (F.floor(_rank(p)), F.ceil(_rank(p))):
+            wanted = wanted | _holds(place, F.col("_before"), F.col("_in_range"))
+    needed = ranges.filter(wanted).drop("_in_range")
+    inside = Window.partitionBy(*by, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = join_groups(placed, needed, [*by, "_range"]).withColumn(
+        "_first", F.col("_before") + F.sum("n").over(inside) - F.col("n")
+    )
+
+    def quantile(p: float) -> Column:
+        place = _rank(p)
+        low, high = _value_at(F.floor(place)), _value_at(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return ranked.groupBy(*by).agg(*[quantile(p).alias(name) for name, p in probs.items()])
 
 
-def box_summary(counts: DataFrame, by: Sequence[str], ranges: int = RANGES) -> DataFrame:
+def box_summary(counts: DataFrame, by: Sequence[str], step: int = STEP) -> DataFrame:
     """Quartiles and whiskers per group; whiskers end at the outermost value within 1.5 box heights."""
-    boxes = exact_quantiles(counts, by, QUARTILES, ranges)
+    boxes = exact_quantiles(counts, by, QUARTILES, step)
     reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
-    joined = _join_groups(counts, boxes, by)
-    return joined.groupBy(*by, *QUARTILES).agg(
-        F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.sum("n").alias("n_values"),
+    return (
+        join_groups(counts, boxes, by)
+        .groupBy(*by, *QUARTILES)
+        .agg(
+            F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
+            F.sum("n").alias("n_values"),
+        )
     )

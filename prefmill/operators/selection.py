@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Default share of rows that go to the test side.
 TEST_SHARE = 0.1
 
+#: Samples up to this size are taken by top-n.
+SMALL_SAMPLE = 10_000
+
+#: Hex digits of a hash that samples are counted by.
+PREFIX_DIGITS = 4
+
 _SPLIT_BITS = 32
 
 
@@ -30,11 +36,48 @@ def seeded_hash(seed: int, key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
-def sample_n(df: DataFrame, n: int | None, key: Sequence[str], seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement; all rows when ``n`` is 0, None or more than there are."""
+def sample_n(
+    df: DataFrame, n: int | None, key: Sequence[str], seed: int = 0, small: int = SMALL_SAMPLE
+) -> DataFrame:
+    """``n`` rows without replacement; all rows when ``n`` is 0, None or more than there are.
+
+    The sample is the rows with the smallest seeded hashes. Up to ``small`` rows are kept by a top-n in
+    each task; a larger sample is cut off by hash, so that it is never gathered in one place.
+    """
     if not n:
         return df
-    return df.orderBy(seeded_hash(seed, key), *key).limit(n)
+    if n <= small:
+        return df.orderBy(seeded_hash(seed, key), *key).limit(n)
+    return _sample_by_cutoff(df, n, key, seed)
+
+
+def _sample_by_cutoff(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
+    """Rows whose hash prefix is below that of the n-th row, and as many as are missing from its prefix.
+
+    There are 16 ** PREFIX_DIGITS prefixes, which bounds the table of counts; only the rows of a single
+    prefix are put in order.
+    """
+    hashed = df.withColumn("_hash", seeded_hash(seed, key))
+    prefix = F.substring("_hash", 1, PREFIX_DIGITS)
+    counts = hashed.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("prefix", "n")))
+    start = F.struct(F.lit("").alias("prefix"), F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("upto"))
+
+    def advance(state: Column, entry: Column) -> Column:
+        following = F.struct(
+            entry.getField("prefix").alias("prefix"),
+            state.getField("upto").alias("before"),
+            (state.getField("upto") + entry.getField("n")).alias("upto"),
+        )
+        return F.when(state.getField("upto") >= n, state).otherwise(following)
+
+    cut = counts.agg(F.aggregate(ordered, start, advance).alias("cut")).scalar()
+    marked = hashed.withColumn("_cut", cut).withColumn("_prefix", prefix)
+    below = marked.filter(F.col("_prefix") < F.col("_cut.prefix"))
+    at = marked.filter(F.col("_prefix") == F.col("_cut.prefix"))
+    order = Window.partitionBy("_prefix").orderBy("_hash", *key)
+    some = at.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= F.lit(n) - F.col("_cut.before"))
+    return below.select(*df.columns).unionByName(some.select(*df.columns))
 
 
 def random_one(df: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:

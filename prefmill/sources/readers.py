@@ -69,9 +69,9 @@ def read_pairs(spark: SparkSession, path: str, kind: str = "parquet", schema: T.
     raise ValueError(f"unknown dataset format {kind!r}")
 
 
-def split_names(df: DataFrame) -> list[str]:
-    """Names of the splits of a dataset; a handful, read from the split column alone."""
-    return sorted(r[0] for r in df.select("split").distinct().limit(100).collect())
+def has_split(df: DataFrame, name: str) -> bool:
+    """Whether a dataset has rows of a split; looks into the folder of that split only."""
+    return not df.filter(F.col("split") == name).select("split").isEmpty()
 
 
 def _split_address(address: str) -> tuple[str, str | None]:
@@ -94,17 +94,16 @@ def read_split(spark: SparkSession, address: str, split: str | None = None, kind
         if wanted:
             raise ValueError(f"{path} has no splits, so no split {wanted!r}")
         return df
-    names = split_names(df)
-    if wanted and wanted not in names:
-        raise ValueError(f"no split {wanted!r} in {path}; found {names}")
-    if not wanted and TRAIN not in names:
+    if wanted and not has_split(df, wanted):
+        raise ValueError(f"no split {wanted!r} in {path}")
+    if not wanted and not has_split(df, TRAIN):
         return df
     return df.filter(F.col("split") == (wanted or TRAIN))
 
 
 def eval_split_pick(df: DataFrame) -> DataFrame:
     """The ``test`` split when there is one, else ``train``."""
-    return df.filter(F.col("split") == (TEST if TEST in split_names(df) else TRAIN))
+    return df.filter(F.col("split") == (TEST if has_split(df, TEST) else TRAIN))
 
 
 def fuse_shards(

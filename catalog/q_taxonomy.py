@@ -89,11 +89,11 @@ def random_one(spark, sf_dir):
 
 @query(
     "sample_n_large",
-    "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY md5('7|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), l_orderkey, l_linenumber LIMIT 20001",
+    "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('7|' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 12001",
 )
 def sample_n_large(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return selection.sample_n(items, 20001, ["l_orderkey", "l_linenumber"], seed=7)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return selection.sample_n(orders, 12001, ["o_orderkey"], seed=7)
 
 
 FIELDS = {"domain": "domain", "task": "task", "libraries": "libraries", "code_forms": "repr"}

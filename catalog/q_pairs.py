@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from catalog.inputs import table, view
@@ -377,3 +380,7 @@ def tokenize(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_text_pairs").select("conv_id", "turn", "chosen_text")
     cut = tokenize_with(rows, "chosen_text", blank_loader, "t", max_length=32)
     return cut.select("conv_id", "turn", F.size("t").alias("n_tokens"), F.array_join("t", "|").alias("tokens"))
+
+
+# The workers get the stand-in functions by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

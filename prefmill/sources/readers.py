@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,14 +48,14 @@ def read_taxonomy(spark: SparkSession, path: str, kind: str | None = None) -> Da
         return rows.select("domain_pos", "domain", "e.libraries", "e.tasks")
     if kind in ("yaml", "yml"):
 
+        names = schemas.TAXONOMY.names
+
         def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import yaml
 
             for batch in batches:
                 for text in batch["value"]:
-                    yield pd.DataFrame(
-                        _taxonomy_rows(yaml.safe_load(text) or {}), columns=schemas.TAXONOMY.names
-                    )
+                    yield pd.DataFrame(_taxonomy_rows(yaml.safe_load(text) or {}), columns=names)
 
         return spark.read.text(path, wholetext=True).mapInPandas(parse, schemas.TAXONOMY)
     raise ValueError(f"unknown taxonomy format {kind!r}")
@@ -202,3 +204,7 @@ def unscored_only(pairs: DataFrame, scored: DataFrame, key: Sequence[str]) -> Da
     counts, the join moves no row at all; see :func:`prefmill.sources.writers.write_bucketed`.
     """
     return pairs.join(scored.select(*key), list(key), "left_anti")
+
+
+# The workers get the taxonomy parser by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -14,21 +14,22 @@ RUN_GROUPS = {
     "Loss": ["train/loss", "eval/loss"],
     "Gradient Norm": ["train/grad_norm"],
     "Learning Rate": ["train/learning_rate"],
-    "Rewards": [
-        f"{split}/rewards/{side}" for split in ("train", "eval") for side in ("chosen", "rejected")
-    ],
+    "Rewards": ["train/rewards/chosen", "train/rewards/rejected", "eval/rewards/chosen", "eval/rewards/rejected"],
     "Reward Accuracies": ["train/rewards/accuracies", "eval/rewards/accuracies"],
     "Reward Margins": ["train/rewards/margins", "eval/rewards/margins"],
-    "Log Probabilities": [
-        f"{split}/logps/{side}" for split in ("train", "eval") for side in ("chosen", "rejected")
-    ],
-    "Logits": [
-        f"{split}/logits/{side}" for split in ("train", "eval") for side in ("chosen", "rejected")
-    ],
+    "Log Probabilities": ["train/logps/chosen", "train/logps/rejected", "eval/logps/chosen", "eval/logps/rejected"],
+    "Logits": ["train/logits/chosen", "train/logits/rejected", "eval/logits/chosen", "eval/logits/rejected"],
 }
-MULTI_RUN_GROUPS = {k: v for k, v in RUN_GROUPS.items() if k != "Rewards"} | {
+MULTI_RUN_GROUPS = {
+    "Loss": ["train/loss", "eval/loss"],
+    "Gradient Norm": ["train/grad_norm"],
+    "Learning Rate": ["train/learning_rate"],
     "Rewards (Chosen)": ["train/rewards/chosen", "eval/rewards/chosen"],
     "Rewards (Rejected)": ["train/rewards/rejected", "eval/rewards/rejected"],
+    "Reward Accuracies": ["train/rewards/accuracies", "eval/rewards/accuracies"],
+    "Reward Margins": ["train/rewards/margins", "eval/rewards/margins"],
+    "Log Probabilities": ["train/logps/chosen", "train/logps/rejected", "eval/logps/chosen", "eval/logps/rejected"],
+    "Logits": ["train/logits/chosen", "train/logits/rejected", "eval/logits/chosen", "eval/logits/rejected"],
 }
 
 

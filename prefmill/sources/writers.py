@@ -7,11 +7,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefmill.operators.lengths import QUANTILES
 from prefmill.sources.readers import unscored_only
 
 # Member names of the length summary file.
-STAT_NAMES = ("mean", "median", "min", "max", "std", *[q for q in QUANTILES if q != "median"])
+STAT_NAMES = ("mean", "median", "min", "max", "std", "q25", "q75", "q90", "q95", "q99")
 
 
 def write_pairs(

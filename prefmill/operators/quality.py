@@ -76,7 +76,7 @@ def score_pairs(pairs: DataFrame, level: int = 2) -> DataFrame:
     require_columns(pairs)
     executions = {s: f"{s}_execution" for s in QUALITY_SIDES}
     carried = [c for c in result_meta(pairs) if c not in executions.values()]
-    texts = {f"{s}_code": unwrap_content(pairs, s) for s in QUALITY_SIDES}
+    texts = {f"{s}_code": F.when(F.col(s).isNotNull(), unwrap_content(pairs, s)) for s in QUALITY_SIDES}
     prompt = [unwrap_content(pairs, "prompt").alias("prompt")] if "prompt" in pairs.columns else []
     ran = [c for c in executions.values() if c in pairs.columns]
     out = pairs.select(*carried, *ran, *prompt, *[c.alias(n) for n, c in texts.items()])
@@ -87,7 +87,6 @@ def score_pairs(pairs: DataFrame, level: int = 2) -> DataFrame:
         fields = [first.getField(m).alias(m) for m in CODE_METRICS]
         if execution in ran:
             fields.append(F.col(execution).alias("execution_result"))
-        # The code column can be null only where the side itself was null.
         out = out.withColumn(f"{side}_metrics", F.when(F.size(f"{side}_blocks") > 0, F.struct(*fields)))
     return out.select(
         *carried, *(["prompt"] if prompt else []), *texts, *[f"{s}_metrics" for s in QUALITY_SIDES]

@@ -44,8 +44,9 @@ def generate(
     system: str | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Write responses, results and pairs below ``out`` and return the pair dataset.
+    """Write the answers of both stages and the pairs below ``out``, and return the pair dataset.
 
+    Each pair has a ``pair_id`` of its own, short enough to join on.
     ``loader`` gives the model function (see :mod:`prefmill.operators.batch`). ``partitions`` is the
     number of calls in flight.
     """
@@ -67,8 +68,13 @@ def generate(
     finished = spark.read.schema(second.schema).json(second_path)
 
     results = classify_error(parse_stage(finished, 2, mode))
-    build = build_test_pairs if is_test else build_pairs
-    write_pairs(build(results), f"{out}/dataset")
+    if is_test:
+        pairs, place = build_test_pairs(results, ["request_id"]), ["request_id", "prompt_type"]
+    else:
+        place = ["request_id", "item_pos"]
+        pairs = build_pairs(results, place)
+    pairs = pairs.withColumn("pair_id", request_id(*place)).drop("request_id", "item_pos")
+    write_pairs(pairs, f"{out}/dataset")
     return spark.read.parquet(f"{out}/dataset")
 
 

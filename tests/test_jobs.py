@@ -75,6 +75,7 @@ def test_generate_train_pairs(spark):
         saved = spark.read.json(f"{out}/second_responses")
         assert saved.count() == 4
     assert tuple(generate.report(pairs).first()) == (2, 2, 2, 2)
+    assert pairs.select("pair_id").distinct().count() == 2
 
 
 def test_generate_test_pairs(spark):
@@ -82,6 +83,7 @@ def test_generate_test_pairs(spark):
     assert {(r.task, r.prompt_type, r.code_form) for r in pairs.collect()} == {
         (t, p, "function") for t in ("serve", "clean") for p in ("default", "code_form", "code_form_types")
     }
+    assert pairs.select("pair_id").distinct().count() == 6
 
 
 def test_a_system_message_is_sent_as_a_message_list(spark):

@@ -38,6 +38,7 @@ def test_rows_without_code_have_no_metrics_of_other_rows(scored):
     assert rows[2].rejected_metrics is None
     assert rows[3].rejected_metrics is None
     assert rows[4].chosen_metrics is None
+    assert rows[4].chosen_code is None
 
 
 def test_unparsable_fenced_code_keeps_its_execution(spark):

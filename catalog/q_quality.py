@@ -9,6 +9,7 @@ from catalog.registry import query, rounded
 from prefmill.functions.messages import as_messages
 from prefmill.operators import quality as Q
 from prefmill.operators.quantiles import box_summary, exact_quantiles, value_counts
+from prefmill.session import saved
 
 EXECUTIONS = """
 , truth AS (
@@ -40,6 +41,11 @@ def scored(spark, sf_dir):
     return Q.score_pairs(pairs(spark, sf_dir))
 
 
+def saved_scores(spark, sf_dir):
+    """The scores as a saved table, which box summaries read more than once."""
+    return saved(scored(spark, sf_dir).drop("prompt", "chosen_code", "rejected_code"), "scores")
+
+
 @query(
     "score_pairs",
     truth_sql("SELECT k, domain, side, metric, round(value, 6) AS value FROM truth WHERE value IS NOT NULL"),
@@ -145,7 +151,7 @@ BOX = ("q1", "median", "q3", "whisker_low", "whisker_high")
 
 @query("side_box", truth_sql(box_sql("metric, side", "truth")), ("fx_truth",))
 def side_box(spark, sf_dir):
-    return Q.side_box(scored(spark, sf_dir)).select("metric", "side", *rounded(*BOX), "n_values")
+    return Q.side_box(saved_scores(spark, sf_dir)).select("metric", "side", *rounded(*BOX), "n_values")
 
 
 @query(
@@ -160,7 +166,7 @@ def side_box(spark, sf_dir):
     ("fx_truth",),
 )
 def category_box(spark, sf_dir):
-    rows = Q.category_box(scored(spark, sf_dir), CATEGORIES)
+    rows = Q.category_box(saved_scores(spark, sf_dir), CATEGORIES)
     return rows.select("category", "category_value", "metric", "side", *rounded(*BOX), "n_values")
 
 

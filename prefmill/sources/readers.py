@@ -7,11 +7,13 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefmill import schemas
+from prefmill.sources.arrow_files import read_arrow
 
 # Folder names of generated shards and the split names that are tried.
 SHARD_GLOB = "gen_data_[0-9]*/dataset"
@@ -62,12 +64,17 @@ def read_taxonomy(spark: SparkSession, path: str, kind: str | None = None) -> Da
 
 
 def read_pairs(spark: SparkSession, path: str, kind: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """A saved dataset. JSON is read with the pair schema unless another one is given."""
+    """A saved dataset: parquet, JSON lines or Arrow stream files.
+
+    JSON and Arrow are read with the pair schema unless another one is given.
+    """
     if kind == "parquet":
         reader = spark.read.schema(schema) if schema else spark.read
         return reader.parquet(path)
     if kind == "json":
         return spark.read.schema(schema or schemas.PAIR).json(path)
+    if kind == "arrow":
+        return read_arrow(spark, path, schema or schemas.PAIR)
     raise ValueError(f"unknown dataset format {kind!r}")
 
 
@@ -90,8 +97,10 @@ def read_split(spark: SparkSession, address: str, split: str | None = None, kind
     Splits are a partition column, so only the folder of the wanted split is read.
     """
     path, named = _split_address(address)
-    df = read_pairs(spark, path, kind)
     wanted = split or named
+    if kind == "arrow":
+        return _read_arrow_split(spark, path, wanted)
+    df = read_pairs(spark, path, kind)
     if "split" not in df.columns:
         if wanted:
             raise ValueError(f"{path} has no splits, so no split {wanted!r}")
@@ -103,6 +112,16 @@ def read_split(spark: SparkSession, address: str, split: str | None = None, kind
     return df.filter(F.col("split") == (wanted or TRAIN))
 
 
+def _read_arrow_split(spark: SparkSession, path: str, wanted: str | None) -> DataFrame:
+    """The same for Arrow files, whose splits are plain folders."""
+    try:
+        return read_arrow(spark, path, split=wanted or TRAIN)
+    except AnalysisException:
+        if wanted:
+            raise ValueError(f"no split {wanted!r} in {path}") from None
+        return read_arrow(spark, path)
+
+
 def eval_split_pick(df: DataFrame) -> DataFrame:
     """The ``test`` split when there is one, else ``train``."""
     return df.filter(F.col("split") == (TEST if has_split(df, TEST) else TRAIN))

@@ -8,9 +8,10 @@ from prefmill.operators import selection as S
 from prefmill.operators import series as R
 from prefmill.operators.lengths import length_counts, length_stats
 from prefmill.operators.taxonomy import combination_by_index, combinations
-from prefmill.session import scratch_path, shared_dir, spread
+from prefmill.session import saved, scratch_path, shared_dir, spread
 from prefmill.sources import readers as I
 from prefmill.sources import writers as O
+from prefmill.sources.arrow_files import read_arrow
 
 TAXONOMY = {
     "beta": {"libraries": ["l2", "l1"], "tasks": [{"name": "t1", "code_forms": ["a", "b"]}, {"name": "t0"}]},
@@ -191,3 +192,42 @@ def test_spread_leaves_large_inputs_alone(spark):
     wide = spark.range(0, 100, 1, 50)
     assert spread(wide) is wide
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_arrow_stream_files(spark, tmp_path):
+    """A dataset as other tools save it: one stream file per shard, one folder per split."""
+    import pyarrow as pa
+
+    message = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
+    schema = pa.schema([("task", pa.string()), ("prompt", message), ("chosen", message), ("extra", pa.int64())])
+    for split, shards in (("train", 3), ("test", 1)):
+        for shard in range(shards):
+            file = tmp_path / split / f"data-{shard:05d}-of-{shards:05d}.arrow"
+            file.parent.mkdir(exist_ok=True)
+            rows = [
+                {"task": f"{split}{shard}", "prompt": [{"role": "user", "content": str(i)}], "chosen": None, "extra": i}
+                for i in range(2500)
+            ]
+            with pa.ipc.new_stream(str(file), schema) as out:
+                for start in (0, 1000, 2000):
+                    out.write_batch(pa.RecordBatch.from_pylist(rows[start : start + 1000], schema))
+    (tmp_path / "train" / "state.json").write_text("{}")
+    whole = I.read_pairs(spark, str(tmp_path), "arrow")
+    assert whole.schema == schemas.PAIR
+    assert whole.count() == 10_000
+    test = read_arrow(spark, str(tmp_path), split="test")
+    assert test.select("task").distinct().collect()[0].task == "test0"
+    assert I.read_split(spark, str(tmp_path), kind="arrow").count() == 7500
+    assert I.read_split(spark, f"{tmp_path}/test", kind="arrow").count() == 2500
+    assert I.read_split(spark, f"{tmp_path}:test", kind="arrow").count() == 2500
+    with pytest.raises(ValueError, match="no split 'dev'"):
+        I.read_split(spark, f"{tmp_path}:dev", kind="arrow")
+    row = test.orderBy(F.col("prompt")[0].content.cast("int").desc()).first()
+    assert (row.prompt[0].content, row.chosen, row.domain) == ("2499", None, None)
+
+
+def test_saved_tables_keep_rows_and_schema(spark):
+    df = spark.createDataFrame([(1, [("u", "x")]), (2, None)], "k int, m array<struct<role string, content string>>")
+    again = saved(df, "rows")
+    assert again.dtypes == df.dtypes
+    assert sorted(map(str, again.collect())) == sorted(map(str, df.collect()))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefmill.llm import wordbytes as wb
-from prefmill.llm.tables import bounded_batches, map_batches
+from prefmill.llm.tables import bounded_batches, cut, map_batches
 
 #: Character classes: lower-case, upper-case, digit, blank, line end, punctuation of prose, other ASCII, beyond ASCII.
 CLASSES = 8
@@ -121,10 +121,10 @@ def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang", rule
             h, n = packed(code)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([code] * (len(h) + CLASSES), pa.string()),
-                    pa.array([0] * len(h) + [1] * CLASSES, pa.int32()),
-                    pa.array(np.concatenate([h.view(np.int64), np.arange(CLASSES)])),
-                    pa.array(np.concatenate([n, classes[code]])),
+                    pa.array([code] * (len(h) + CLASSES + 1), pa.string()),
+                    pa.array([0] * len(h) + [1] * CLASSES + [2], pa.int32()),
+                    pa.array(np.concatenate([h.view(np.int64), np.arange(CLASSES), [0]])),
+                    pa.array(np.concatenate([n, classes[code], [n.sum()]])),
                 ],
                 names=["lang", "kind", "h", "n"],
             )
@@ -148,13 +148,9 @@ def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang", rule
         yield from (rows(code) for code in words)
 
     counts = labelled.mapInArrow(count, "lang string, kind int, h long, n long").groupBy("lang", "kind", "h").agg(F.sum("n").alias("n"))
-    totals = counts.filter("kind = 0").groupBy("lang").agg(F.sum("n").alias("total"))
-    found = (
-        counts.join(totals, "lang", "left")
-        .filter(F.expr(f"kind = 1 OR n >= {rules.common_share!r} * total"))
-        .orderBy("lang", "kind", "h")
-        .collect()
-    )
+    counts = cut(counts, "word-counts")
+    total = F.broadcast(counts.filter("kind = 2").select("lang", F.col("n").alias("total")))  # a row a language
+    found = counts.join(total, "lang").filter(F.expr(f"kind = 1 OR (kind = 0 AND n >= {rules.common_share!r} * total)")).collect()
     langs = tuple(sorted({r["lang"] for r in found}))
     classes, words, shares = [], [], []
     for code in langs:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prefmill.llm import decontaminate, langid, mixing, quality, simhash
+from prefmill.llm import decontaminate, langid, mixing, quality, simhash, toxicity
 from prefmill.llm.tables import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fifth = fold(F.col("doc_id"), 5)
+    field = toxicity.fit(docs, labels.filter(fifth != 0))
+    return toxicity.toxicity(docs, field).withColumn("held_out", F.coalesce(fifth == 0, F.lit(False)))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.quality_report(docs, quality.fit_references(docs))
@@ -72,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,
 }

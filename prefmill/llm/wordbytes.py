@@ -123,12 +123,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+class Rolling:
+    """Hashes of any spans of some bytes: 64 bits, the same wherever the span lies."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = _grow(len(data) + 1)
+        self.totals = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.totals[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.totals[ends] - self.totals[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, the same wherever the span lies."""
-    power, inverse = _grow(len(data) + 1)
-    totals = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=totals[1:])
-    return mix((totals[ends] - totals[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span."""
+    return Rolling(data)(starts, ends)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes of the text in lower case, ASCII and Latin-1 letters only, so that every byte keeps its place."""
+    out = LOWER[data]
+    if len(data) > 1:
+        upper = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][upper] += 32
+    return out
 
 
 def owners(bounds: np.ndarray) -> np.ndarray:

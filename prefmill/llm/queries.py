@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prefmill.llm import decontaminate, langid, mixing, quality, simhash, toxicity
+from prefmill.llm import decontaminate, htmltext, langid, mixing, quality, simhash, toxicity
 from prefmill.llm.tables import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), htmltext.train())
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = mixing.copies(documents(spark, sf_dir))
     return chosen.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -78,6 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
+    "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op8_toxicity": op8_toxicity,

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prefmill.llm import decontaminate, htmltext, langid, mixing, quality, simhash, toxicity
-from prefmill.llm.tables import documents, fold
+from prefmill.llm import decontaminate, htmltext, langid, mixing, quality, simhash, toxicity, warc
+from prefmill.llm.tables import cut, documents, fold
+from prefmill.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +67,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    records = cut(warc.read_records(spark, path, payloads=False), "records")
+    caught = warc.captures(records).withColumn("page_id", F.col("metadata.fields")["pageId"].try_cast("long"))
+    return warc.with_referred(caught, F.col("page_id"), "refers_to_page").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to")
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -85,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
+    "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prefmill.llm import decontaminate, htmltext, langid, mixing, quality, simhash, toxicity, warc
+from prefmill.llm import decontaminate, htmltext, langid, mixing, ngramlm, quality, simhash, toolchat, toxicity, warc
 from prefmill.llm.tables import cut, documents, fold
 from prefmill.session import scratch_path
 
@@ -45,12 +45,12 @@ WITH sized AS (
   SELECT *, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
     3.0::DOUBLE * source_size AS most FROM sums
 ), rounds AS (
-  SELECT *, (sum(source_size) OVER ())::DOUBLE AS total,
+  SELECT *, (sum(source_size) OVER ())::DOUBLE AS total, row_number() OVER (ORDER BY most / weight, source) AS place,
     coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
     sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
   FROM weighed
 ), shared AS (
-  SELECT min((total - given) / rest) FILTER ((total - given) / rest <= most / weight) AS share FROM rounds
+  SELECT arg_min((total - given) / rest, place) FILTER ((total - given) / rest <= most / weight) AS share FROM rounds
 ), targets AS (
   SELECT source, source_size, least(most, coalesce(share, 0) * weight) AS target,
     CASE WHEN source_size > 0 THEN least(most, coalesce(share, 0) * weight) / source_size ELSE 0.0 END AS rate
@@ -67,6 +67,46 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+REPLY = {
+    "type": "object",
+    "required": ["prompt", "turn"],
+    "properties": {"prompt": {"type": "string", "minLength": 20}, "turn": {"type": "integer", "minimum": 0}},
+    "additionalProperties": False,
+}
+
+
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolchat.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    linked = toolchat.link(calls, results, {"reply": REPLY})
+    return linked.select("conv_id", "call_id", "turn", "step", "state", F.concat_ws("; ", "errors").alias("errors"), "json")
+
+
+OP6_SQL = """
+WITH calls AS (
+  SELECT conv_id, turn, min(text) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id, turn
+), results AS (
+  SELECT conv_id, turn - 1 AS turn, min(text) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id, turn
+), chained AS (
+  SELECT *, lag(turn) OVER w AS before FROM calls WINDOW w AS (PARTITION BY conv_id, turn % 2 ORDER BY turn)
+), runs AS (
+  SELECT *, max(CASE WHEN before IS DISTINCT FROM turn - 2 THEN turn END) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS start FROM chained
+), joined AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, c.turn IS NOT NULL AS called, r.turn IS NOT NULL AS came,
+    c.text AS prompt, r.text AS content, c.start, c.before
+  FROM runs c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn
+)
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, 't' || turn AS call_id, CASE WHEN called THEN turn ELSE turn + 1 END AS turn,
+  CASE WHEN called THEN CAST((turn - start) // 2 AS BIGINT) END AS step,
+  CASE WHEN NOT called THEN 'orphan' WHEN NOT came THEN 'unanswered' ELSE 'answered' END AS state,
+  CASE WHEN called THEN concat_ws('; ', CASE WHEN prompt IS NULL THEN 'prompt: not of type string' WHEN length(prompt) < 20 THEN 'prompt: too short' END,
+    CASE WHEN turn >= 2 AND before IS DISTINCT FROM turn - 2 THEN 'missing dependency' END) ELSE '' END AS errors,
+  '{' || CASE WHEN called THEN '"arguments":{"prompt":' || CASE WHEN prompt IS NULL THEN 'null' ELSE CAST(to_json(prompt) AS VARCHAR) END || ',"turn":' || turn || '},' ELSE '' END
+    || '"content":' || CASE WHEN content IS NULL THEN 'null' ELSE CAST(to_json(content) AS VARCHAR) END || ',"id":"t' || turn || '"'
+    || CASE WHEN called THEN ',"name":"reply"' ELSE '' END || '}' AS json
+FROM joined
+"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -85,6 +125,42 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, field).withColumn("held_out", F.coalesce(fifth == 0, F.lit(False)))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngramlm.score(documents(spark, sf_dir))
+    mean = F.when(F.col("n_words") > 0, F.round(F.col("log_prob") / F.col("n_words"), 6))
+    return scored.select("doc_id", "n_words", "n_backoff", F.round("log_prob", 3).alias("log_prob"), mean.alias("mean_log_prob"))
+
+
+OP9_SQL = r"""
+WITH listed AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS ws FROM documents
+), words AS (
+  SELECT d, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM listed WHERE len(ws) > 0
+), paired AS (
+  SELECT d, w, i, n, lag(w) OVER (PARTITION BY d ORDER BY i) AS v FROM words
+), own1 AS (SELECT d, w, count(*) AS c FROM words GROUP BY d, w),
+all1 AS (SELECT w, sum(c) AS c FROM own1 GROUP BY w),
+own2 AS (SELECT d, v, w, count(*) AS c FROM paired WHERE i > 0 GROUP BY d, v, w),
+all2 AS (SELECT v, w, sum(c) AS c FROM own2 GROUP BY v, w),
+total AS (SELECT count(*) AS n FROM words),
+counted AS (
+  SELECT p.d, p.i, a1.c - o1.c AS cw, av.c - ov.c AS cv, a2.c - o2.c AS cp, greatest(1, total.n - p.n)::DOUBLE AS others
+  FROM paired p JOIN total ON true
+  JOIN own1 o1 ON o1.d = p.d AND o1.w = p.w JOIN all1 a1 ON a1.w = p.w
+  LEFT JOIN own1 ov ON ov.d = p.d AND ov.w = p.v LEFT JOIN all1 av ON av.w = p.v
+  LEFT JOIN own2 o2 ON o2.d = p.d AND o2.v = p.v AND o2.w = p.w LEFT JOIN all2 a2 ON a2.v = p.v AND a2.w = p.w
+), scored AS (
+  SELECT d, count(*) FILTER (i > 0 AND cp = 0) AS n_backoff,
+    sum(ln(CASE WHEN i > 0 AND cp > 0 THEN cp::DOUBLE / greatest(1, cv)
+                ELSE greatest(cw::DOUBLE, 0.5) / others * CASE WHEN i > 0 THEN 0.4 ELSE 1.0 END END)) AS log_prob
+  FROM counted GROUP BY d
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(log_prob, 0.0), 3) AS log_prob,
+  CASE WHEN len(ws) > 0 THEN round(log_prob / len(ws), 6) END AS mean_log_prob
+FROM listed LEFT JOIN scored ON listed.d = scored.d
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.quality_report(docs, quality.fit_references(docs))
@@ -96,13 +172,15 @@ QUERIES: dict[str, Query] = {
     "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
+    "op6_tool_calls": op6_tool_calls,
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
+    "op9_lm_score": op9_lm_score,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_tool_calls": OP6_SQL, "op9_lm_score": OP9_SQL}
 
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -6,8 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prefmill.session import few_partitions, spread
-
 
 @dataclass(frozen=True)
 class View:
@@ -197,22 +195,13 @@ FROM (SELECT *, 1 + CASE WHEN example_id % 4 = 0 THEN 1.0 ELSE 0.0 END AS fns,
 )
 
 
-#: Tables whose rows carry texts or vectors; small files of them are spread over the cores.
-HEAVY = ("documents", "conversations", "embeddings", "part")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in HEAVY else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scan(spark: SparkSession, sf_dir: str, name: str) -> str:
-    path = f"{sf_dir}/{name}.parquet"
-    hint = ""
-    if name in HEAVY and few_partitions(spark.read.parquet(path)):
-        hint = f"/*+ REPARTITION({spark.sparkContext.defaultParallelism}) */"
-    return f"SELECT {hint} * FROM parquet.`{path}`"
+def _scan(sf_dir: str, name: str) -> str:
+    return f"SELECT * FROM parquet.`{sf_dir}/{name}.parquet`"
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -228,6 +217,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             ordered.append(n)
 
     add(name)
-    parts = [f"{t} AS ({_scan(spark, sf_dir, t)})" for t in tables]
+    parts = [f"{t} AS ({_scan(sf_dir, t)})" for t in tables]
     parts += [f"{n} AS ({VIEWS[n].sql})" for n in ordered]
     return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}")

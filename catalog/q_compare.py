@@ -83,7 +83,7 @@ WITH rows AS (SELECT source AS model, CASE WHEN source < 'src2' THEN 'base' ELSE
 SELECT 'quality' AS metric, prompt_type, model, type, CAST(CASE WHEN type = 'base' THEN 0 ELSE 1 END AS INT) AS type_rank,
        round(value, 6) AS value, round(base_value, 6) AS base_value, CASE WHEN type <> 'base' THEN round(value - base_value, 6) END AS delta
 FROM rows LEFT JOIN (SELECT prompt_type, avg(value) AS base_value FROM rows WHERE type = 'base' GROUP BY ALL) b USING (prompt_type)
-WHERE prompt_type IN ('en', 'fr')""",
+WHERE prompt_type IN ('de', 'en', 'es', 'fr') AND value IS NOT NULL""",
 )
 def model_comparison_documents(spark, sf_dir):
     labelled = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -93,5 +93,5 @@ def model_comparison_documents(spark, sf_dir):
         .agg(F.avg("quality").alias("value"))
         .withColumn("metric", F.lit("quality"))
     )
-    compared = M.model_comparison(values, ["quality"], ["en", "fr"])
+    compared = M.model_comparison(values, ["quality"], ["de", "en", "es", "fr"])
     return compared.select("metric", "prompt_type", "model", "type", "type_rank", *rounded("value", "base_value", "delta"))

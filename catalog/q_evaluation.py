@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from catalog.inputs import view
@@ -100,3 +103,38 @@ FROM fx_predictions GROUP BY prompt_type""",
 def exec_rollup(spark, sf_dir):
     rows = E.exec_rollup(predictions(spark, sf_dir), by=["prompt_type"])
     return rows.select("prompt_type", "n_rows", "n_success", *rounded("execution_success_rate"))
+
+
+def letter_counts():
+    """An embedder whose vectors SQL can repeat: length, letters e, line feeds."""
+    return lambda texts: [[float(len(t)), float(t.count("e")), float(t.count("\n"))] for t in texts]
+
+
+def _vector(column: str) -> str:
+    return f"[length({column})::DOUBLE, (length({column}) - length(replace({column}, 'e', '')))::DOUBLE, (length({column}) - length(replace({column}, chr(10), '')))::DOUBLE]"
+
+
+def _similarity(metric: str) -> str:
+    side = metric.removeprefix("similarity_to_")
+    return (
+        f"SELECT prompt_type, '{metric}' AS metric, round(avg(list_cosine_similarity({_vector('generated_text')}, {_vector(side + '_code')})) "
+        "FILTER (WHERE example_id % 7 <> 0), 6) AS value FROM fx_predictions GROUP BY prompt_type"
+    )
+
+
+@query(
+    "eval_by_prompt_type_similarity",
+    f"SELECT * FROM ({summary_sql('prompt_type, ', 'GROUP BY prompt_type')}) s WHERE metric NOT LIKE 'similarity%'\nUNION ALL "
+    + "\nUNION ALL ".join(_similarity(m) for m in E.EVAL_METRICS if m.startswith("similarity")),
+    ("fx_row_means",),
+)
+def eval_by_prompt_type_similarity(spark, sf_dir):
+    answers = view(spark, sf_dir, "fx_predictions").select(
+        "example_id", "prompt_type", "generated_text", "exec_success", F.col("chosen_code").alias("chosen"), F.col("rejected_code").alias("rejected")
+    )
+    rows = E.with_similarities(E.score_predictions(answers), letter_counts)
+    return E.eval_by_prompt_type(rows).select("prompt_type", "metric", *rounded("value"))
+
+
+# The workers get the embedder by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

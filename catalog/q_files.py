@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog.inputs import table, view
 from catalog.q_evaluation import scored as scored_predictions
@@ -20,6 +21,7 @@ from prefmill.operators.selection import train_test_split
 from prefmill.operators.taxonomy import combinations, taxonomy_from_table
 from prefmill.session import scratch_path
 from prefmill.sources import readers, writers
+from prefmill.sources.arrow_files import write_arrow
 from prefmill.streaming import follow, pairs_from_responses
 
 
@@ -86,12 +88,25 @@ SHARDS = "part=gen_data_[0-9]*"
 @query("fuse_shards", "SELECT doc_id, text, source, shard_no FROM fx_shards", ("fx_shards",))
 def fuse_shards(spark, sf_dir):
     path = saved_shards(spark, sf_dir)
-    return readers.fuse_shards(spark, path, SHARDS).select("doc_id", "text", "source", "shard_no")
+    return readers.fuse_shards(spark, path, SHARDS, schema=SHARD_ROWS).select("doc_id", "text", "source", "shard_no")
+
+
+SHARD_ROWS = T.StructType(
+    [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType())]
+)
+
+
+@query("fuse_shards_arrow", "SELECT doc_id, text, source, shard_no FROM fx_shards", ("fx_shards",))
+def fuse_shards_arrow(spark, sf_dir):
+    path = scratch_path(spark, "arrow-shards")
+    shards = view(spark, sf_dir, "fx_shards").withColumn("part", F.concat(F.lit("part=gen_data_"), F.col("shard_no")))
+    write_arrow(shards.drop("shard_no"), path, "part")
+    return readers.fuse_shards(spark, path, SHARDS, kind="arrow", schema=SHARD_ROWS)
 
 
 @query("shard_sort", "SELECT doc_id, shard_no FROM fx_shards ORDER BY shard_no, doc_id", ("fx_shards",))
 def shard_sort(spark, sf_dir):
-    fused = readers.fuse_shards(spark, saved_shards(spark, sf_dir), SHARDS)
+    fused = readers.fuse_shards(spark, saved_shards(spark, sf_dir), SHARDS, schema=SHARD_ROWS, skip_unreadable=True)
     return readers.shard_sort(fused, "doc_id").select("doc_id", "shard_no")
 
 
@@ -189,6 +204,37 @@ def read_eval_results(spark, sf_dir):
     return rows.select("model", "type", "prompt_type", "metric", *rounded("value"))
 
 
+@query(
+    "read_eval_results_missing",
+    "SELECT 'a b' AS model, 'base' AS type, * FROM (" + SUMMARY + ") s",
+    ("fx_row_means",),
+)
+def read_eval_results_missing(spark, sf_dir):
+    """One summary under a name with a blank, one that is not there."""
+    path = scratch_path(spark, "one model")
+    rows = scored_predictions(spark, sf_dir)
+    writers.write_eval_results(None, eval_summary(rows), path)
+    paths = {f"{path}/summary": ("a b", "base"), f"{path}/other summary": ("c", "fine-tuned")}
+    read = summary_rows(readers.read_eval_results(spark, paths))
+    return read.select("model", "type", "prompt_type", "metric", *rounded("value"))
+
+
+@query(
+    "read_scalar_logs_folders",
+    "SELECT 'run ' || substr(run, 4) AS run, tag, count(*) AS n, round(sum(value), 4) AS total FROM fx_scalars WHERE tag IN ('train/loss', 'eval/loss') GROUP BY ALL",
+    ("fx_scalars",),
+)
+def read_scalar_logs_folders(spark, sf_dir):
+    """Logs that do not name their run lie in a folder of its name; one run has none."""
+    path = scratch_path(spark, "all runs")
+    points = view(spark, sf_dir, "fx_scalars")
+    for k in range(3):
+        points.filter(F.col("run") == f"run{k}").select("tag", "step", "value").write.parquet(f"{path}/run {k}")
+    folders = [f"{path}/run {k}" for k in range(4)]
+    read = readers.read_scalar_logs(spark, folders, ["train/loss", "eval/loss"])
+    return read.groupBy("run", "tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query(
     "read_scalar_logs",
     "SELECT run, event_file, tag, step, value FROM fx_scalars WHERE tag IN ('train/loss', 'eval/loss')",

@@ -42,14 +42,23 @@ CODE_METRICS = (
 #: Annotation level -> field of the scorer: any annotation, return and some argument, return and all.
 ANNOTATION_LEVELS = ("annotation_any", "annotation_some", "annotation_all")
 
-_UNPARSABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
+#: What the parser says of a text that is no Python.
+_UNPARSABLE = (SyntaxError, ValueError, RecursionError)
+
+#: The parser's own limit on nesting comes as a memory error with this text.
+_TOO_DEEP = "stack overflow"
 
 
 def _parse(code: str) -> ast.Module | None:
+    """The syntax tree, None when there is none. A worker short of memory says nothing of the text, so its task fails."""
     try:
         return ast.parse(code)
     except _UNPARSABLE:
         return None
+    except MemoryError as error:
+        if _TOO_DEEP in str(error):
+            return None
+        raise
 
 
 def _quietly(work: Callable[[pa.Array], list], batch: pa.Array) -> list:

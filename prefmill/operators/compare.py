@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefmill.operators.evaluation import EVAL_METRICS
@@ -56,17 +56,13 @@ def model_comparison(
     wanted = rows.filter(
         F.col("metric").isin(*metrics) & F.col("prompt_type").isin(*prompt_types) & F.col("value").isNotNull()
     )
-    base = (
-        wanted.filter(F.col("type") == MODEL_TYPES[0])
-        .groupBy("metric", "prompt_type")
-        .agg(F.avg("value").alias("base_value"))
-    )
-    rank = F.when(F.col("type") == MODEL_TYPES[0], F.lit(0)).otherwise(F.lit(1))
-    tuned = F.col("type") != MODEL_TYPES[0]
+    is_base = F.col("type") == MODEL_TYPES[0]
+    # A group has one row per model, so the base mean comes from a window and the rows are made once.
+    base = F.avg(F.when(is_base, F.col("value"))).over(Window.partitionBy("metric", "prompt_type"))
     return (
-        wanted.join(base, ["metric", "prompt_type"], "left")
-        .withColumn("type_rank", rank)
-        .withColumn("delta", F.when(tuned, F.col("value") - F.col("base_value")))
+        wanted.withColumn("type_rank", F.when(is_base, F.lit(0)).otherwise(F.lit(1)))
+        .withColumn("base_value", base)
+        .withColumn("delta", F.when(F.col("type") != MODEL_TYPES[0], F.col("value") - F.col("base_value")))
         .select("metric", "prompt_type", "model", "type", "type_rank", "value", "base_value", "delta")
     )
 

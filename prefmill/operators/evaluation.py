@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prefmill.functions.codescore import CODE_METRICS
 from prefmill.functions.messages import unwrap_content
 from prefmill.functions.vectors import cosine_similarity
+from prefmill.operators.batch import Loader, embed_columns
 from prefmill.operators.prompts import prompt_boost
 from prefmill.operators.quality import with_code_blocks
 
@@ -86,6 +87,20 @@ def embedding_similarities(
     )
 
 
+def with_similarities(scored: DataFrame, loader: Loader, generated: str = "generated_text") -> DataFrame:
+    """Scored rows with the similarity of the generated text to both answers, by a user's embedder.
+
+    Rows without code, and sides that are missing or empty, have no similarity.
+    """
+    answers = {f"_{side}": unwrap_content(scored, side) for side in ("chosen", "rejected")}
+    texts = {"_generated": F.col(generated)} | answers
+    texts = {name: F.when(F.col("has_code") & (text != ""), text) for name, text in texts.items()}
+    vectors = {name: f"{name}_vector" for name in texts}
+    bare = scored.drop("similarity_to_chosen", "similarity_to_rejected")
+    embedded = embed_columns(bare.withColumns(texts), vectors, loader)
+    return embedding_similarities(embedded, *vectors.values()).drop(*texts, *vectors.values())
+
+
 def exec_rate(success: Column) -> Column:
     """Successful runs over all rows of the group, whether they ran or not."""
     return F.count_if(success) / F.count("*")

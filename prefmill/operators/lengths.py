@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from prefmill.functions import text
 from prefmill.functions.messages import unwrap_content
+from prefmill.operators.batch import Loader, count_tokens_with
 
 SIDES = ("prompt", "chosen", "rejected")
 
@@ -40,6 +41,14 @@ def length_counts(lengths: DataFrame, sides: Sequence[str] = SIDES) -> DataFrame
     return tall.filter("length is not null").groupBy("side", "length").agg(F.count("*").alias("n"))
 
 
+def length_counts_with(df: DataFrame, loader: Loader, sides: Sequence[str] = SIDES) -> DataFrame:
+    """Rows per side and length by a user's batch tokeniser, called once over the texts of all sides."""
+    entries = [F.struct(F.lit(s).alias("side"), unwrap_content(df, s).alias("text")) for s in sides]
+    tall = df.select(F.inline(F.array(*entries))).filter("text IS NOT NULL")
+    counted = count_tokens_with(tall, "text", loader, "length")
+    return counted.groupBy("side", "length").agg(F.count("*").alias("n"))
+
+
 def length_stats(counts: DataFrame) -> DataFrame:
     """Mean, median, min, max, population deviation and upper quantiles per side.
 

@@ -4,31 +4,88 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from prefmill.session import saved
+
 #: Default share of rows that go to the test side.
 TEST_SHARE = 0.1
 
-#: Samples up to this size are taken by top-n.
-SMALL_SAMPLE = 10_000
-
-#: Hex digits of a hash that samples are counted by.
-PREFIX_DIGITS = 4
+#: Hex digits by which one pass over the hashes narrows down a cut.
+STEP_DIGITS = 3
 
 _SPLIT_BITS = 32
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, which puts rows with equal keys in order."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
+def _key_at(df: DataFrame, order: Sequence[str], index: int) -> tuple[Row, int] | None:
+    """Key and row hash at a zero-based place, and how many rows come before the first that has both; None beyond the end.
+
+    Only keys are sorted, spread over tasks by range. Numbers of rows per task tell which task holds the place.
+    """
+    keys = df.select(*order, _row_hash(df).alias("_row"))
+    sort = [*[F.col(c).asc_nulls_first() for c in order], F.col("_row")]
+    placed = saved(keys.orderBy(*sort).withColumn("_at", F.monotonically_increasing_id()), "places")
+    task = F.shiftright("_at", 33)
+    sizes = placed.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect()
+    before = 0
+    for size in sizes:
+        if index < before + size["n"]:
+            found = placed.filter(F.col("_at") == (size["task"] << 33) + index - before).drop("_at").first()
+            first = placed.filter(_same(found, [*order, "_row"])).agg(F.min("_at").alias("m")).first()["m"]
+            earlier = sum(s["n"] for s in sizes if s["task"] < first >> 33)
+            return found, earlier + (first & ((1 << 33) - 1))
+        before += size["n"]
+    return None
+
+
+def _same(key: Row, names: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for name in names:
+        condition = condition & F.col(name).eqNullSafe(F.lit(key[name]))
+    return condition
+
+
+def _earlier(key: Row, names: Sequence[str]) -> Column:
+    """Whether a row comes before a key; nulls come first."""
+    condition = F.lit(False)
+    for name in reversed(names):
+        here, there = F.col(name), F.lit(key[name])
+        less = F.lit(False) if key[name] is None else here.isNull() | F.coalesce(here < there, F.lit(False))
+        condition = less | (here.eqNullSafe(there) & condition)
+    return condition
+
+
 def first_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows by key, all when there are fewer."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows by key, all when there are fewer; equal keys go by a hash of the row.
+
+    The key of the n-th row is found first, then the rows are filtered where they lie: no more than rows that
+    are equal throughout are ever counted out in one place.
+    """
+    if n <= 0:
+        return df.limit(0)
+    last = _key_at(df, order, n - 1)
+    if last is None:
+        return df
+    key, before = last
+    marked = df.withColumn("_row", _row_hash(df))
+    names = [*order, "_row"]
+    ends = marked.filter(_same(key, names)).limit(n - before)
+    return marked.filter(_earlier(key, names)).unionByName(ends).drop("_row")
 
 
 def nth_row(df: DataFrame, index: int, order: Sequence[str]) -> DataFrame:
     """The row at a zero-based place by key; no row when out of range."""
-    if index < 0:
+    found = _key_at(df, order, index) if index >= 0 else None
+    if found is None:
         return df.limit(0)
-    return df.orderBy(*order).offset(index).limit(1)
+    return df.withColumn("_row", _row_hash(df)).filter(_same(found[0], [*order, "_row"])).limit(1).drop("_row")
 
 
 def seeded_hash(seed: int, key: Sequence[str]) -> Column:
@@ -36,48 +93,35 @@ def seeded_hash(seed: int, key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
-def sample_n(
-    df: DataFrame, n: int | None, key: Sequence[str], seed: int = 0, small: int = SMALL_SAMPLE
-) -> DataFrame:
+def sample_n(df: DataFrame, n: int | None, key: Sequence[str], seed: int = 0) -> DataFrame:
     """``n`` rows without replacement; all rows when ``n`` is 0, None or more than there are.
 
-    The sample is the rows with the smallest seeded hashes. Up to ``small`` rows are kept by a top-n in
-    each task; a larger sample is cut off by hash, so that it is never gathered in one place.
+    The sample is the rows with the smallest seeded hashes. Passes over the keys narrow down the hash of the
+    n-th row, three hex digits each, from at most 4,096 counts; then the rows are filtered where they lie.
+    Rows with equal keys have equal hashes; if the cut falls among them, those with smaller row hashes are in.
     """
     if not n:
         return df
-    if n <= small:
-        return df.orderBy(seeded_hash(seed, key), *key).limit(n)
-    return _sample_by_cutoff(df, n, key, seed)
-
-
-def _sample_by_cutoff(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
-    """Rows whose hash prefix is below that of the n-th row, and as many as are missing from its prefix.
-
-    There are 16 ** PREFIX_DIGITS prefixes, which bounds the table of counts; only the rows of a single
-    prefix are put in order.
-    """
     hashed = df.withColumn("_hash", seeded_hash(seed, key))
-    prefix = F.substring("_hash", 1, PREFIX_DIGITS)
-    counts = hashed.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("prefix", "n")))
-    start = F.struct(F.lit("").alias("prefix"), F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("upto"))
-
-    def advance(state: Column, entry: Column) -> Column:
-        following = F.struct(
-            entry.getField("prefix").alias("prefix"),
-            state.getField("upto").alias("before"),
-            (state.getField("upto") + entry.getField("n")).alias("upto"),
+    prefix, before = "", 0
+    while len(prefix) < 32:
+        size = len(prefix) + min(STEP_DIGITS, 32 - len(prefix))
+        counts = (
+            hashed.filter(F.col("_hash").startswith(prefix))
+            .groupBy(F.substring("_hash", 1, size).alias("prefix"))
+            .agg(F.count(F.lit(1)).alias("n"))
         )
-        return F.when(state.getField("upto") >= n, state).otherwise(following)
-
-    cut = counts.agg(F.aggregate(ordered, start, advance).alias("cut")).scalar()
-    marked = hashed.withColumn("_cut", cut).withColumn("_prefix", prefix)
-    below = marked.filter(F.col("_prefix") < F.col("_cut.prefix"))
-    at = marked.filter(F.col("_prefix") == F.col("_cut.prefix"))
-    order = Window.partitionBy("_prefix").orderBy("_hash", *key)
-    some = at.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= F.lit(n) - F.col("_cut.before"))
-    return below.select(*df.columns).unionByName(some.select(*df.columns))
+        for part in sorted(counts.collect()):
+            if before + part["n"] >= n:
+                break
+            before += part["n"]
+        else:
+            return df
+        prefix = part["prefix"]
+        if before + part["n"] == n:
+            return hashed.filter(F.substring("_hash", 1, size) <= prefix).drop("_hash")
+    ends = first_n(hashed.filter(F.col("_hash") == prefix).drop("_hash"), n - before, key)
+    return hashed.filter(F.col("_hash") < prefix).drop("_hash").unionByName(ends)
 
 
 def random_one(df: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:

@@ -4,35 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefmill.operators.selection import nth_row
 
+#: Names that one list of a taxonomy may hold.
+MOST_NAMES = 100_000
+
 
 def taxonomy_from_table(
-    df: DataFrame, domain: str, task: str, code_form: str, library: str | None = None
+    df: DataFrame, domain: str, task: str, code_form: str, library: str | None = None, limit: int = MOST_NAMES
 ) -> DataFrame:
     """Taxonomy rows from a flat table that names one domain, task and code form per row.
 
-    The table is first cut down to its distinct names, so the lists hold names and not rows. Domains
-    and tasks come in name order.
+    The table is first cut down to its distinct names, and libraries are gathered apart from tasks, so the
+    lists hold each name once. Domains and tasks come in name order. A domain is one row; one with more
+    than ``limit`` libraries or tasks, or a task with more code forms, is no taxonomy and fails the job.
     """
     library_col = F.col(library) if library else F.lit(None).cast("string")
-    names = df.select(
-        F.col(domain).alias("domain"),
-        F.col(task).alias("name"),
-        F.col(code_form).alias("form"),
-        library_col.alias("library"),
-    ).distinct()
-    tasks = names.groupBy("domain", "name").agg(
-        F.array_sort(F.collect_set("form")).alias("code_forms"),
-        F.collect_set("library").alias("libraries"),
-    )
-    return tasks.groupBy("domain").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("libraries")))).alias("libraries"),
-        F.array_sort(F.collect_list(F.struct("name", "code_forms"))).alias("tasks"),
+
+    def names(*columns: Column) -> DataFrame:
+        return df.select(F.col(domain).alias("domain"), *columns).distinct()
+
+    forms = names(F.col(task).alias("name"), F.col(code_form).alias("form")).groupBy("domain", "name")
+    tasks = forms.agg(F.array_sort(F.collect_list("form")).alias("code_forms"), F.count(F.lit(1)).alias("n"))
+    tasks = tasks.filter(_at_most("n", limit, "code forms of a task"))
+    listed = tasks.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("name", "code_forms"))).alias("tasks"), F.count(F.lit(1)).alias("n"))
+    listed = listed.filter(_at_most("n", limit, "tasks of a domain")).select(F.col("domain").alias("_domain"), "tasks")
+    libraries = names(library_col.alias("library")).groupBy("domain").agg(
+        F.array_sort(F.collect_list("library")).alias("libraries"), F.count("library").alias("n")
     )
+    libraries = libraries.filter(_at_most("n", limit, "libraries of a domain"))
+    return libraries.join(listed, F.col("domain").eqNullSafe(F.col("_domain"))).select("domain", "libraries", "tasks")
+
+
+def _at_most(count: str, limit: int, what: str) -> Column:
+    return F.assert_true(F.col(count) <= limit, f"more than {limit} {what}").isNull()
 
 
 def combinations(taxonomy: DataFrame) -> DataFrame:

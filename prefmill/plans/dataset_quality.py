@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prefmill.operators.quality import category_box, category_columns, category_means, score_pairs, side_box, side_means
 from prefmill.operators.selection import first_n
+from prefmill.session import exists
 from prefmill.sources.readers import read_split
 from prefmill.sources.writers import score_incremental
 
@@ -30,7 +31,7 @@ def dataset_quality(
     if num_examples:
         pairs = first_n(pairs, num_examples, key)
     path = f"{out}/scored"
-    earlier = spark.read.parquet(path) if _exists(spark, path) else None
+    earlier = spark.read.parquet(path) if exists(spark, path) else None
     score_incremental(pairs, earlier, key, score_pairs, path)
     scored = spark.read.parquet(path)
     names = list(categories or category_columns(scored, exclude=[*key, "split"]))
@@ -41,13 +42,3 @@ def dataset_quality(
         "category_means": category_means(scored, names),
         "category_box": category_box(scored, names),
     }
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True

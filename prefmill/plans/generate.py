@@ -21,8 +21,8 @@ from prefmill.sources.writers import write_pairs, write_responses
 
 
 def request_id(*parts: str) -> Column:
-    """A stable id of a combination."""
-    return F.md5(F.concat_ws("|", *parts))
+    """A stable id of some columns; as JSON, no two rows of different values read alike."""
+    return F.md5(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}))
 
 
 def _ask(df: DataFrame, prompt: str, into: str, loader: Loader, system: str | None, partitions: int | None) -> DataFrame:
@@ -51,8 +51,10 @@ def generate(
     number of calls in flight.
     """
     mode = mode_guard(is_test, is_header)
-    combos = sample_n(combinations(taxonomy), num_samples, ["domain", "task"], seed)
-    combos = combos.withColumn("request_id", request_id("domain", "task"))
+    combos = combinations(taxonomy)
+    # Names may repeat; places in the taxonomy do not.
+    place = [c for c in ("domain_pos", "domain", "task_pos", "task") if c in combos.columns]
+    combos = sample_n(combos, num_samples, place, seed).withColumn("request_id", request_id(*place))
     prompts = render_stage1(combos, mode)
 
     first_path, second_path = f"{out}/first_responses", f"{out}/second_responses"

@@ -15,6 +15,7 @@ from prefmill.operators.evaluation import (
     no_code_rows,
     prepare_prompts,
     score_predictions,
+    with_similarities,
 )
 from prefmill.operators.selection import first_n
 from prefmill.sources.readers import read_eval_results
@@ -38,14 +39,18 @@ def evaluate(
     out: str,
     key: str = "example_id",
     num_examples: int | None = None,
+    embedder: Loader | None = None,
 ) -> dict[str, DataFrame]:
-    """Write per-example scores and the summary below ``out``; execution outcomes and similarities are
-    used when ``predictions`` brings them (``exec_success``, ``similarity_to_*``)."""
+    """Write per-example scores and the summary below ``out``.
+
+    Execution outcomes and similarities are used when ``predictions`` brings them (``exec_success``,
+    ``similarity_to_*``); with an ``embedder`` the similarities come from its vectors."""
     if num_examples:
         examples = first_n(examples, num_examples, [key])
     joined = join_predictions(prepare_prompts(examples), predictions, key)
     results_path = f"{out}/results"
-    score_predictions(joined).write.parquet(results_path)
+    rows = score_predictions(joined)
+    (with_similarities(rows, embedder) if embedder else rows).write.parquet(results_path)
     scored = spark.read.parquet(results_path)
     summary = eval_summary(scored)
     write_eval_results(None, summary, out)

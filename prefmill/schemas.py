@@ -64,6 +64,9 @@ EVAL_SUMMARY = T.StructType(
     [T.StructField("metrics", METRIC_MAP), T.StructField("prompt_type_metrics", T.MapType(STRING, METRIC_MAP))]
 )
 
+#: Summaries of several models.
+EVAL_RESULTS = T.StructType([T.StructField("model", STRING), T.StructField("type", STRING), *EVAL_SUMMARY.fields])
+
 #: What the Arrow scorer returns for one parsable snippet.
 AST_SCORES = T.StructType(
     [

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold from a laptop to a cluster; sizes are left to the caller.
@@ -18,6 +22,7 @@ DEFAULTS = {
 }
 
 _own_dirs: dict[str, str] = {}
+_to_clear: set[str] = set()
 
 
 def build_session(app: str = "prefmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,30 +36,20 @@ def build_session(app: str = "prefmill", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def few_partitions(df: DataFrame) -> bool:
-    """Whether an input would leave cores of the session idle (a few small files)."""
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Cut a small input into one part per core before costly row-wise work.
-
-    A large input already has more parts than there are cores and is left as it is, unshuffled.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few_partitions(df) else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a folder of its own. A cluster session without it
-    is refused, because a folder of one machine would lose data with that machine.
+    A local session without that setting gets a folder of its own. A cluster session is refused without
+    it, and with one below this machine's temporary folder: such data would be lost with the machine.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    local = context.master.startswith("local")
     if named:
+        if not local and _below_temp(named):
+            raise ValueError(f"spark.checkpoint.dir names {named}, a folder of one machine")
         return named
-    if not context.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
     if app not in _own_dirs:
@@ -63,9 +58,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def _below_temp(path: str) -> bool:
+    kind, _, place = path.rpartition(":")
+    return kind in ("", "file") and os.path.normpath("/" + place.lstrip("/")).startswith(tempfile.gettempdir() + "/")
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/prefmill/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/prefmill/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a part of it that is this application's own."""
+    root = _scratch_root(spark)
+    if root not in _to_clear:
+        _to_clear.add(root)
+        # What the application left there goes when Python ends; the gateway outlives the session.
+        atexit.register(_delete, spark.sparkContext._jvm, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables, once nothing reads them any more."""
+    _delete(spark.sparkContext._jvm, _scratch_root(spark))
+
+
+def _delete(jvm, path: str) -> None:
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    with contextlib.suppress(Py4JError, OSError):  # at exit the gateway may be gone; the folder then stays
+        place.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or one that matches a pattern) is there, in whatever store Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.globStatus(place))
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -6,14 +6,16 @@ import sys
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import parquet
 from pyspark import cloudpickle
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefmill import schemas
-from prefmill.sources.arrow_files import read_arrow
+from prefmill.session import exists, saved
+from prefmill.sources.arrow_files import DATA_FILES, arrow_files, opened, read_arrow, rows_of
 
 # Folder names of generated shards and the split names that are tried.
 SHARD_GLOB = "gen_data_[0-9]*/dataset"
@@ -114,12 +116,11 @@ def read_split(spark: SparkSession, address: str, split: str | None = None, kind
 
 def _read_arrow_split(spark: SparkSession, path: str, wanted: str | None) -> DataFrame:
     """The same for Arrow files, whose splits are plain folders."""
-    try:
+    if exists(spark, f"{path.rstrip('/')}/{wanted or TRAIN}"):
         return read_arrow(spark, path, split=wanted or TRAIN)
-    except AnalysisException:
-        if wanted:
-            raise ValueError(f"no split {wanted!r} in {path}") from None
-        return read_arrow(spark, path)
+    if wanted:
+        raise ValueError(f"no split {wanted!r} in {path}")
+    return read_arrow(spark, path)
 
 
 def eval_split_pick(df: DataFrame) -> DataFrame:
@@ -128,35 +129,88 @@ def eval_split_pick(df: DataFrame) -> DataFrame:
 
 
 def fuse_shards(
-    spark: SparkSession, base: str, pattern: str = SHARD_GLOB, number: str = SHARD_NUMBER
+    spark: SparkSession,
+    base: str,
+    pattern: str = SHARD_GLOB,
+    number: str = SHARD_NUMBER,
+    kind: str = "parquet",
+    schema: T.StructType | None = None,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
     """All generated shards below ``base`` as one dataset with their number in ``shard_no``.
 
-    Unreadable files are skipped (see :func:`unread_shards`); columns are matched by name.
+    A file that cannot be read fails the job. With ``skip_unreadable`` every file is first decoded from end
+    to end, and a shard with an unreadable file is left out whole; :func:`unread_shards` names it. Columns
+    are matched by name. Without a declared schema the columns of all parquet shards are merged, which
+    opens every footer; Arrow shards are taken as pairs.
     """
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
-    df = reader.parquet(f"{base.rstrip('/')}/{pattern}")
-    return df.withColumn("shard_no", F.regexp_extract(F.col("_metadata.file_path"), number, 1).cast("int"))
+    root = f"{base.rstrip('/')}/{pattern}"
+    files = _shard_files(spark, root, number, kind)
+    if skip_unreadable:
+        bad = _decoded(files, kind).filter("error IS NOT NULL").select("shard_no").distinct()
+        files = saved(files.join(bad, files["shard_no"].eqNullSafe(bad["shard_no"]), "left_anti"), "shards")
+    if kind == "arrow":
+        df = rows_of(files, schema or schemas.PAIR, "_file")
+        return df.withColumn("shard_no", _number_in("_file", number)).drop("_file")
+    # Folders are as many as shards; the files in them are listed by the executors.
+    folders = [root] if not skip_unreadable else [r["f"] for r in files.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().collect()]
+    if not folders:
+        return spark.createDataFrame([], T.StructType([*(schema or T.StructType()).fields, T.StructField("shard_no", T.IntegerType())]))
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
+    return reader.parquet(*folders).withColumn("shard_no", _number_in("_metadata.file_path", number))
 
 
-def unread_shards(
-    spark: SparkSession, base: str, pattern: str = SHARD_GLOB, number: str = SHARD_NUMBER
-) -> DataFrame:
-    """Files of the shards that gave no row, as path and shard number."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.parquet")
-        .load(f"{base.rstrip('/')}/{pattern}")
-        .select(F.col("path").alias("file"))
-    )
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
-    read = reader.parquet(f"{base.rstrip('/')}/{pattern}").select(F.col("_metadata.file_path").alias("file")).distinct()
+def _number_in(path: str, number: str):
+    return F.regexp_extract(F.col(path), number, 1).cast("int")
+
+
+def _shard_files(spark: SparkSession, root: str, number: str, kind: str) -> DataFrame:
+    if kind not in ("parquet", "arrow"):
+        raise ValueError(f"unknown dataset format {kind!r}")
+    pattern = "*.parquet" if kind == "parquet" else DATA_FILES
+    return arrow_files(spark, root, pattern).select("path", _number_in("path", number).alias("shard_no"))
+
+
+def _decoded(files: DataFrame, kind: str) -> DataFrame:
+    """Each file with the number of its rows and what is wrong with it; null when nothing is."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_read_through(name, kind) for name in batch.column(0).to_pylist()]
+            rows, errors = pa.array([n for n, _ in found], pa.int64()), pa.array([e for _, e in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows, errors], names=["path", "shard_no", "n_rows", "error"])
+
+    # A task each: files are few against their bytes.
+    spread = files.repartition(F.col("path"))
+    return spread.mapInArrow(check, "path string, shard_no int, n_rows long, error string")
+
+
+def _read_through(name: str, kind: str) -> tuple[int, str | None]:
+    """Rows of a file, decoded batch by batch, and the first error or a difference to the number it declares."""
+    rows = 0
+    try:
+        with opened(name) as source:
+            if kind == "arrow":
+                for part in pa.ipc.open_stream(source):
+                    part.validate(full=True)
+                    rows += part.num_rows
+                return rows, None
+            file = parquet.ParquetFile(source, page_checksum_verification=True)
+            for part in file.iter_batches():
+                rows += part.num_rows
+            declared = file.metadata.num_rows
+            return rows, None if rows == declared else f"{rows} of {declared} rows"
+    except (pa.ArrowException, OSError, EOFError, UnicodeDecodeError) as error:
+        return rows, f"{type(error).__name__}: {error}"[:500]
 
-    def plain(name: str):
-        return F.regexp_replace(name, "^file:/+", "/")
 
-    missing = listed.withColumn("key", plain("file")).join(read.select(plain("file").alias("key")), "key", "left_anti")
-    return missing.select("file", F.regexp_extract("file", number, 1).cast("int").alias("shard_no"))
+def unread_shards(
+    spark: SparkSession, base: str, pattern: str = SHARD_GLOB, number: str = SHARD_NUMBER, kind: str = "parquet"
+) -> DataFrame:
+    """The report on what ``skip_unreadable`` leaves out: unreadable files with shard number, rows decoded and error."""
+    files = _shard_files(spark, f"{base.rstrip('/')}/{pattern}", number, kind)
+    bad = _decoded(files, kind).filter("error IS NOT NULL")
+    return bad.select(F.col("path").alias("file"), "shard_no", "n_rows", "error")
 
 
 def shard_sort(df: DataFrame, *more: str) -> DataFrame:
@@ -177,52 +231,80 @@ def read_responses(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).json(path)
 
 
-def read_eval_results(spark: SparkSession, paths: Mapping[str, tuple[str, str]] | str) -> DataFrame:
+def read_eval_results(spark: SparkSession, paths: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Evaluation summaries of models as ``model``, ``type``, ``metrics``, ``prompt_type_metrics``.
 
-    ``paths`` maps a summary folder or file to (model name, model type). A file that cannot be read as
-    JSON or has no ``metrics`` member is left out.
+    ``paths`` maps a summary folder or file to (model name, model type); each is read by itself, so a row
+    always has the model of its own path. What is not there, cannot be read as JSON or has no ``metrics``
+    member is left out; :func:`unread_results` names it.
     """
-    registry = {path.rstrip("/"): info for path, info in paths.items()}
-    raw = spark.read.schema(schemas.EVAL_SUMMARY).json(list(registry), multiLine=True, mode="PERMISSIVE")
-    file = F.col("_metadata.file_path")
-    name = kind = F.lit(None).cast("string")
-    for path, (model, model_type) in registry.items():
-        here = file.endswith(path) | file.contains(path + "/")
-        name = F.when(here, F.lit(model)).otherwise(name)
-        kind = F.when(here, F.lit(model_type)).otherwise(kind)
+    out = spark.createDataFrame([], schemas.EVAL_RESULTS)
     empty = F.create_map().cast(schemas.EVAL_SUMMARY["prompt_type_metrics"].dataType)
-    return raw.filter(F.col("metrics").isNotNull()).select(
-        name.alias("model"),
-        kind.alias("type"),
-        "metrics",
-        F.coalesce("prompt_type_metrics", empty).alias("prompt_type_metrics"),
-    )
+    for path, (model, model_type) in paths.items():
+        if exists(spark, path):
+            raw = spark.read.schema(schemas.EVAL_SUMMARY).json(path, multiLine=True, mode="PERMISSIVE")
+            rows = raw.filter(F.col("metrics").isNotNull()).select(
+                F.lit(model).alias("model"),
+                F.lit(model_type).alias("type"),
+                "metrics",
+                F.coalesce("prompt_type_metrics", empty).alias("prompt_type_metrics"),
+            )
+            out = out.unionByName(rows)
+    return out
+
+
+def unread_results(spark: SparkSession, paths: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """The summaries that give no row, as ``path``, ``model`` and ``reason``."""
+    found = []
+    for path, (model, _) in paths.items():
+        if not exists(spark, path):
+            found.append((path, model, "missing"))
+        elif spark.read.schema(schemas.EVAL_SUMMARY).json(path, multiLine=True, mode="PERMISSIVE").filter("metrics IS NOT NULL").isEmpty():
+            found.append((path, model, "no metrics"))
+    return spark.createDataFrame(found, "path string, model string, reason string")
 
 
 def read_scalar_logs(
     spark: SparkSession, path: str | Sequence[str], tags: Sequence[str] | None = None, kind: str = "parquet"
 ) -> DataFrame:
-    """Scalar points of training logs (parquet, JSON or CSV), cut to the wanted tags at the scan."""
-    reader = spark.read.schema(schemas.SCALARS)
-    if kind == "parquet":
-        points = reader.parquet(*([path] if isinstance(path, str) else path))
-    elif kind == "json":
-        points = reader.json(path)
-    elif kind == "csv":
-        points = reader.option("header", "true").csv(path)
-    else:
+    """Scalar points of training logs (parquet, JSON or CSV), cut to the wanted tags at the scan.
+
+    Points without a ``run`` get the name of the folder their file lies in, those without an ``event_file``
+    the name of the file. Paths that are not there are left out; :func:`missing_paths` names them.
+    """
+    if kind not in ("parquet", "json", "csv"):
         raise ValueError(f"unknown log format {kind!r}")
-    return points.filter(F.col("tag").isin(*tags)) if tags is not None else points
+    given = [path] if isinstance(path, str) else list(path)
+    there = [p for p in given if exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], schemas.SCALARS)
+    reader = spark.read.schema(schemas.SCALARS).format(kind)
+    points = reader.option("header", "true").load(there)
+    if tags is not None:
+        points = points.filter(F.col("tag").isin(*tags))
+    # Listed names are encoded, but a plus sign is one.
+    parts = F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/")
+    return points.select(
+        F.coalesce("run", F.element_at(parts, -2)).alias("run"), F.coalesce("event_file", F.element_at(parts, -1)).alias("event_file"), "tag", "step", "value"
+    )
+
+
+def missing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The paths that are not there."""
+    return [p for p in paths if not exists(spark, p)]
 
 
 def unscored_only(pairs: DataFrame, scored: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows whose key has no result yet.
+    """Rows whose key has no result yet. A row with a null in its key could never be found again and fails the job.
 
     Only the key columns of the results are read. When both tables are bucketed by the key with equal
     counts, the join moves no row at all; see :func:`prefmill.sources.writers.write_bucketed`.
     """
-    return pairs.join(scored.select(*key), list(key), "left_anti")
+    whole = F.lit(True)
+    for name in key:
+        whole = whole & F.col(name).isNotNull()
+    checked = pairs.filter(F.assert_true(whole, f"a row has a null in its key {list(key)}").isNull())
+    return checked.join(scored.select(*key), list(key), "left_anti")
 
 
 # The workers get the taxonomy parser by value, so the package need not be installed there.

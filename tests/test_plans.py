@@ -107,9 +107,27 @@ def test_splits_and_counts_move_no_text(pairs):
     assert "ReadSchema: struct<domain:string>" in card
 
 
-def test_small_samples_are_top_n(pairs):
-    assert count(selection.sample_n(pairs, 5, ["k"]), "TakeOrderedAndProject") == 1
-    assert count(selection.nth_row(pairs, 5, ["k"]), "TakeOrderedAndProject") == 1
+def test_large_selections_stay_spread(spark):
+    path = scratch_path(spark, "many")
+    spark.range(0, 60_000, 1, 12).selectExpr("id AS k", "repeat('x', 50) AS t").write.parquet(path)
+    many = spark.read.option("basePath", path).parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        for part in (selection.first_n(many, 50_000, ["k"]), selection.sample_n(many, 50_000, ["k"])):
+            filled = part.groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in filled) == 50_000 and len(filled) > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_comparison_scores_once(pairs):
+    from prefmill.operators import compare, evaluation
+
+    rows = evaluation.score_predictions(pairs.selectExpr("k AS example_id", "chosen AS generated_text", "domain", "'default' AS prompt_type"))
+    values = evaluation.eval_by_group(rows, ["domain", "prompt_type"]).withColumnRenamed("domain", "model")
+    compared = compare.model_comparison(values.withColumn("type", F.lit("base")))
+    assert count(compared, "ArrowEvalPython") == 1
+    assert count(compared, "FileScan") == 1
 
 
 def test_a_split_reads_its_folder_only(spark, pairs):

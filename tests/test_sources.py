@@ -1,17 +1,19 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefmill import schemas
 from prefmill.operators import selection as S
 from prefmill.operators import series as R
 from prefmill.operators.lengths import length_counts, length_stats
 from prefmill.operators.taxonomy import combination_by_index, combinations
-from prefmill.session import saved, scratch_path, shared_dir, spread
+from prefmill.session import clear_scratch, exists, saved, scratch_path, shared_dir
 from prefmill.sources import readers as I
 from prefmill.sources import writers as O
-from prefmill.sources.arrow_files import read_arrow
+from prefmill.sources.arrow_files import as_uri, read_arrow, write_arrow
 
 TAXONOMY = {
     "beta": {"libraries": ["l2", "l1"], "tasks": [{"name": "t1", "code_forms": ["a", "b"]}, {"name": "t0"}]},
@@ -67,12 +69,51 @@ def test_shards_in_number_order_with_a_broken_file(spark, tmp_path):
     broken.mkdir(parents=True)
     (broken / "part-0.parquet").write_bytes(b"not a parquet file")
     spark.range(5).write.parquet(str(tmp_path / "other" / "dataset"))
-    fused = I.fuse_shards(spark, str(tmp_path))
+    with pytest.raises(Exception, match="part-0.parquet|not a Parquet file"):
+        I.fuse_shards(spark, str(tmp_path)).count()
+    fused = I.fuse_shards(spark, str(tmp_path), skip_unreadable=True)
     numbers = [r.shard_no for r in I.shard_sort(fused, "id").collect()]
     assert numbers == [1] + [2] * 2 + [3] * 3 + [10] * 10
     assert fused.filter("more = 'x'").count() == 3
     unread = I.unread_shards(spark, str(tmp_path)).collect()
     assert [r.shard_no for r in unread] == [4]
+    declared = T.StructType([T.StructField("id", T.LongType())])
+    assert I.fuse_shards(spark, str(tmp_path), schema=declared, skip_unreadable=True).columns == ["id", "shard_no"]
+
+
+def test_damaged_pages_are_no_silent_loss(spark, tmp_path):
+    """The footer is whole, the data is not: the job fails, or the whole shard is left out and named."""
+    for n in (1, 2):
+        spark.range(5000).selectExpr("id", "md5(CAST(id AS STRING)) AS t").repartition(2).write.parquet(str(tmp_path / f"gen_data_{n}" / "dataset"))
+    victim = sorted((tmp_path / "gen_data_2" / "dataset").glob("*.parquet"))[0]
+    content = bytearray(victim.read_bytes())
+    content[200 : len(content) // 2] = bytes(len(content) // 2 - 200)
+    victim.write_bytes(bytes(content))
+    with pytest.raises(Exception):
+        I.fuse_shards(spark, str(tmp_path)).agg(F.max("t")).collect()
+    whole = I.fuse_shards(spark, str(tmp_path), skip_unreadable=True)
+    assert whole.groupBy("shard_no").count().collect() == [(1, 5000)]
+    report = I.unread_shards(spark, str(tmp_path)).collect()
+    assert [(r.shard_no, r.file.rsplit("/", 1)[1]) for r in report] == [(2, victim.name)] and report[0].error
+
+
+def test_arrow_shards(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id", "CONCAT('gen_data_', id % 3, '/dataset') AS shard")
+    schema = T.StructType([T.StructField("id", T.LongType())])
+    write_arrow(rows, str(tmp_path / "with blank"), "shard")
+    base = str(tmp_path / "with blank")
+    fused = I.fuse_shards(spark, base, kind="arrow", schema=schema)
+    assert sorted(map(tuple, fused.collect())) == [(i, i % 3) for i in range(3000)]
+    victim = next((tmp_path / "with blank" / "gen_data_1" / "dataset").glob("data-*.arrow"))
+    victim.write_bytes(victim.read_bytes()[:-600])
+    with pytest.raises(Exception):
+        I.fuse_shards(spark, base, kind="arrow", schema=schema).collect()
+    assert I.fuse_shards(spark, base, kind="arrow", schema=schema, skip_unreadable=True).count() == 2000
+    assert [r.shard_no for r in I.unread_shards(spark, base, kind="arrow").collect()] == [1]
+
+
+def test_names_of_stores():
+    assert as_uri("s3a://bucket/a b.arrow") == "s3://bucket/a%20b.arrow" and as_uri("hdfs://host:1/a") == "hdfs://host:1/a"
 
 
 def test_fuse_union_keeps_duplicates(spark):
@@ -172,12 +213,32 @@ def test_split_sides_are_disjoint_whole_and_stable(spark):
 
 
 @pytest.mark.parametrize("n", [1, 7, 100, 999, 1000, 5000])
-def test_large_samples_equal_small_ones(spark, n):
+def test_samples_are_the_smallest_hashes(spark, n):
     df = spark.range(1000)
-    whole = sorted(r.id for r in S.sample_n(df, n, ["id"], 4).collect())
-    cut = sorted(r.id for r in S.sample_n(df, n, ["id"], 4, small=0).collect())
-    assert whole == cut
-    assert len(whole) == min(n, 1000)
+    sample = S.sample_n(df, n, ["id"], 4)
+    order = sorted(range(1000), key=lambda i: hashlib.md5(f"4|{i}".encode()).hexdigest())
+    assert sorted(r.id for r in sample.collect()) == sorted(order[:n])
+
+
+def test_samples_among_equal_keys(spark):
+    df = spark.range(900).selectExpr("id % 3 AS k", "id")
+    for n in (1, 299, 300, 301, 899):
+        sample = S.sample_n(df, n, ["k"], 4)
+        assert sample.count() == n and sample.exceptAll(S.sample_n(df.repartition(5), n, ["k"], 4)).count() == 0
+
+
+def test_first_rows(spark):
+    rows = [(k % 7 if k % 5 else None, k) for k in range(200)] + [(3, 1000)] * 4
+    df = spark.createDataFrame(rows, "a int, b int").repartition(6)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for n in (0, 1, 40, 41, 100, 203, 204, 500):
+        assert sorted(map(str, map(tuple, S.first_n(df, n, ["a", "b"]).collect()))) == sorted(map(str, order[:n]))
+    for place in (0, 39, 40, 120, 203):
+        assert [tuple(r) for r in S.nth_row(df, place, ["a", "b"]).collect()] == [order[place]]
+    assert S.nth_row(df, 204, ["a", "b"]).count() == S.nth_row(df, -1, ["a", "b"]).count() == 0
+    part = S.first_n(df, 50, ["a"])
+    assert part.count() == 50 and part.exceptAll(S.first_n(df.repartition(3), 50, ["a"])).count() == 0
+    assert S.first_n(df.limit(0), 5, ["a"]).count() == 0
 
 
 def test_no_number_means_all(spark):
@@ -188,10 +249,53 @@ def test_shared_dir_is_the_one_of_the_session(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    wide = spark.range(0, 100, 1, 50)
-    assert spread(wide) is wide
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_shared_dir_of_a_cluster(spark, monkeypatch):
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"
+
+            @staticmethod
+            def getConf():
+                return {"spark.checkpoint.dir": Cluster.named}
+
+    for named, fine in (("hdfs:///shared", True), ("file:///mnt/shared", True), ("/tmp/x", False), ("file:/tmp/x", False)):
+        Cluster.named = named
+        if fine:
+            assert shared_dir(Cluster) == named
+        else:
+            with pytest.raises(ValueError, match="one machine"):
+                shared_dir(Cluster)
+
+
+def test_scratch_is_cleared(spark):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    other = f"{shared_dir(spark)}/kept"
+    spark.range(3).write.mode("overwrite").parquet(other)
+    assert exists(spark, path)
+    clear_scratch(spark)
+    assert not exists(spark, path) and exists(spark, other)
+
+
+def test_null_keys_are_refused(spark):
+    pairs = spark.createDataFrame([(1, "a"), (None, "b")], "k int, t string")
+    with pytest.raises(Exception, match="null in its key"):
+        I.unscored_only(pairs, pairs.select("k").limit(0), ["k"]).collect()
+
+
+def test_missing_logs_and_summaries(spark, tmp_path):
+    here, gone = str(tmp_path / "run + 1 %"), str(tmp_path / "run 2")
+    spark.range(4).selectExpr("'t' AS tag", "id AS step", "0.5D AS value").coalesce(1).write.json(here)
+    points = I.read_scalar_logs(spark, [here, gone], kind="json").collect()
+    assert {r.run for r in points} == {"run + 1 %"} and all(r.event_file.endswith(".json") for r in points) and len(points) == 4
+    assert I.missing_paths(spark, [here, gone]) == [gone]
+    assert I.read_scalar_logs(spark, gone).count() == 0
+    for name, text in (("m/sum", '{"metrics":{"a":1.0}}'), ("sum", '{"metrics":{"a":2.0}}'), ("bad", "{")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    paths = {str(tmp_path / n): (n, "base") for n in ("m/sum", "sum", "bad", "none")}
+    assert {r.model: r.metrics["a"] for r in I.read_eval_results(spark, paths).collect()} == {"m/sum": 1.0, "sum": 2.0}
+    assert {(r.model, r.reason) for r in I.unread_results(spark, paths).collect()} == {("bad", "no metrics"), ("none", "missing")}
 
 
 def test_arrow_stream_files(spark, tmp_path):

@@ -8,8 +8,7 @@ from catalog.inputs import table, view
 from catalog.registry import query, rounded
 from prefmill.functions.messages import as_messages
 from prefmill.operators import quality as Q
-from prefmill.operators.quantiles import box_summary, exact_quantiles, value_counts
-from prefmill.session import saved
+from prefmill.operators.quantiles import box_summary, exact_quantiles
 
 EXECUTIONS = """
 , truth AS (
@@ -41,11 +40,6 @@ def scored(spark, sf_dir):
     return Q.score_pairs(pairs(spark, sf_dir))
 
 
-def saved_scores(spark, sf_dir):
-    """The scores as a saved table, which box summaries read more than once."""
-    return saved(scored(spark, sf_dir).drop("prompt", "chosen_code", "rejected_code"), "scores")
-
-
 @query(
     "score_pairs",
     truth_sql("SELECT k, domain, side, metric, round(value, 6) AS value FROM truth WHERE value IS NOT NULL"),
@@ -151,7 +145,7 @@ BOX = ("q1", "median", "q3", "whisker_low", "whisker_high")
 
 @query("side_box", truth_sql(box_sql("metric, side", "truth")), ("fx_truth",))
 def side_box(spark, sf_dir):
-    return Q.side_box(saved_scores(spark, sf_dir)).select("metric", "side", *rounded(*BOX), "n_values")
+    return Q.side_box(scored(spark, sf_dir)).select("metric", "side", *rounded(*BOX), "n_values")
 
 
 @query(
@@ -166,7 +160,7 @@ def side_box(spark, sf_dir):
     ("fx_truth",),
 )
 def category_box(spark, sf_dir):
-    rows = Q.category_box(saved_scores(spark, sf_dir), CATEGORIES)
+    rows = Q.category_box(scored(spark, sf_dir), CATEGORIES)
     return rows.select("category", "category_value", "metric", "side", *rounded(*BOX), "n_values")
 
 
@@ -178,15 +172,14 @@ SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.01), 4
 )
 def value_quantiles(spark, sf_dir):
     by = ["l_returnflag", "l_linestatus"]
-    counts = value_counts(table(spark, sf_dir, "lineitem"), by, "l_extendedprice")
-    rows = exact_quantiles(counts, by, {"p01": 0.01, "p50": 0.5, "p999": 0.999})
+    rows = exact_quantiles(table(spark, sf_dir, "lineitem"), by, "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p999": 0.999})
     return rows.select(*by, *rounded("p01", "p50", "p999", digits=4))
 
 
 @query("value_box", box_sql("l_returnflag", "(SELECT l_returnflag, l_extendedprice AS value FROM lineitem) s").strip())
 def value_box(spark, sf_dir):
-    counts = value_counts(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
-    return box_summary(counts, ["l_returnflag"]).select("l_returnflag", *rounded(*BOX), "n_values")
+    boxes = box_summary(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return boxes.select("l_returnflag", *rounded(*BOX), "n_values")
 
 
 LABELLED = "SELECT source, CASE WHEN quality = 1 THEN 'chosen' ELSE 'rejected' END AS side, n_chars FROM documents JOIN labels USING (doc_id)"

@@ -15,7 +15,8 @@ from prefmill.functions.codescore import CODE_METRICS, ast_scores_each, code_met
 from prefmill.functions.codetext import clean_blocks, extract_fences
 from prefmill.functions.messages import unwrap_content
 from prefmill.functions.text import strip_text
-from prefmill.operators.quantiles import box_summary, value_counts
+from prefmill.operators.quantiles import box_summary
+from prefmill.session import saved
 
 # The compared sides, the metrics and the columns that are no category.
 QUALITY_SIDES = ("chosen", "rejected")
@@ -185,19 +186,19 @@ def both_sides_only(summary: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def side_box(scored: DataFrame) -> DataFrame:
-    """Box summary of each metric for chosen and rejected, where both sides have values."""
-    counts = value_counts(metrics_long(scored), ["metric", "side"], "value")
-    return both_sides_only(box_summary(counts, ["metric", "side"]), ["metric"])
+    """Box summary of each metric for chosen and rejected, where both sides have values.
 
+    The values are saved in long form first: they are read several times, and made once.
+    """
+    values = saved(metrics_long(scored), "box-values")
+    return both_sides_only(box_summary(values, ["metric", "side"], "value"), ["metric"])
 
-def category_box(scored: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
-    """:func:`side_box` for every value of every category column.
 
-    Values are counted once per combination of categories; the grouping sets then run on the counts.
-    """
+def category_box(scored: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
+    """:func:`side_box` for every value of every category column."""
     categories = list(categories or category_columns(scored))
     by = ["category", "category_value", "metric", "side"]
-    counts = value_counts(metrics_long(scored, categories), [*categories, "metric", "side"], "value")
-    sets = counts.groupingSets([[c, "metric", "side", "v"] for c in categories], *categories, "metric", "side", "v")
-    per_category = sets.agg(*_grouped_category(categories), F.sum("n").alias("n")).select(*by, "v", "n")
-    return both_sides_only(box_summary(per_category, by), ["category", "category_value", "metric"])
+    values = saved(metrics_long(scored, categories), "box-values")
+    named = [F.struct(F.lit(c).alias("category"), F.col(c).cast("string").alias("category_value")) for c in categories]
+    tall = values.select("metric", "side", "value", F.inline(F.array(*named)))
+    return both_sides_only(box_summary(tall, by, "value"), ["category", "category_value", "metric"])

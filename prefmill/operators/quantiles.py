@@ -1,123 +1,126 @@
 """Exact quantiles and box summaries that never bring one group into one task.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here the values are first counted
-(map-side), then each group is cut into ranges of about equal numbers of distinct values. Range totals,
-added up over the few ranges of a group, tell which ranges hold the wanted ranks; only the values of
-those ranges are moved again and put in order. The ranks are exact: the sketch only decides where a
-group is cut.
+``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable sketch first gives, for
+each group and wanted rank, two values that the rank lies between for certain: the sketch's error is bounded,
+and it is asked for ranks further apart than that. All values outside such brackets are then only counted,
+a few numbers per group; the values inside are counted one by one and put in order. So a task orders a small
+share of the distinct values of a group, and the ranks are exact. A rank outside its bracket would fail the job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges per group: STEP steps, each cut into STEP ranges. A task orders the distinct values of one range.
-STEP = 12
+#: Groups of up to so many rows are one bracket.
+WHOLE = 100_000
+#: The sketch keeps at least so many ranks of a group.
+ACCURACY = 10_000
+#: Tasks that the rows of one group are looked up in, when they have to move.
+SALTS = 8
 
 # Quartiles and whisker reach of a box summary.
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 WHISKER = 1.5
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """Rows per group and distinct value; nulls are left out. ``weight`` counts a row many times."""
-    n = F.sum(weight) if weight else F.count("*")
-    return df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(n.alias("n"))
+def group_values(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Group columns and the value as ``v``; nulls are left out."""
+    return df.select(*by, F.col(value).alias("v")).filter(F.col("v").isNotNull())
 
 
-def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Inner join on group columns where null is a group like any other."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in by else F.col(c) for c in right.columns])
-    condition = F.lit(True)
-    for c in by:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return left.join(renamed, condition, "inner").drop(*[f"_r_{c}" for c in by])
-
-
-def _below(places: Sequence[Column]) -> Column:
-    """How many of the group's cuts at these places are below the value of the row.
+def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with what is known of their group, where null is a group like any other.
 
-    A plain sum of comparisons: it is compiled, and the cuts of the group are read in place.
+    Groups are few; Spark broadcasts them while they measure below its limit. Beyond it rows move by group and
+    a salt from their value, so that no group's rows all go to one task.
     """
-    hits = [(F.get("_cuts", place) < F.col("v")).cast("int") for place in places]
-    return reduce(lambda a, b: a + b, hits)
-
-
-def _in_ranges(counts: DataFrame, by: Sequence[str], step: int) -> DataFrame:
-    """Add the range of each value: first among every ``step``-th cut, then among the cuts between."""
-    size = step * step
-    probs = [i / size for i in range(1, size)]
-    # The condition is always true. It keeps the count column, so that all uses share one shuffle of the counts.
-    value = F.when(F.col("n") > 0, F.col("v"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 20 * size).alias("_cuts"))
-    placed = join_groups(counts, cuts, by).withColumn("_step", _below([F.lit(i * step - 1) for i in range(1, step)]))
-    fine = _below([F.col("_step") * step + i for i in range(step - 1)])
-    return placed.withColumn("_range", F.col("_step") * step + fine).drop("_cuts", "_step")
+    spread = groups.select(
+        *[F.col(c).alias(f"_r_{c}") if c in by else F.col(c) for c in groups.columns],
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_look"),
+    )
+    condition = F.col("_salt") == F.col("_look")
+    for c in by:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, condition).drop("_salt", "_look", *[f"_r_{c}" for c in by])
 
 
-def _rank(p: float) -> Column:
-    """Zero-based place of a quantile among the values of a group, with fraction."""
-    return F.lit(p) * (F.col("total") - 1)
+def _accuracy(values: DataFrame, by: Sequence[str]) -> int:
+    """Ranks for the sketch: the square root of the largest group, so neither sketch nor brackets grow faster."""
+    largest = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return max(ACCURACY, isqrt(largest or 0))
 
 
-def _holds(place: Column, first: Column, count: Column) -> Column:
-    return (place >= first) & (place < first + count)
+def _brackets(values: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int, whole: int) -> DataFrame:
+    """For each group its number of rows (``_total``) and the ends of the bracket of each rank (``_low``, ``_high``)."""
+    reach = 4 / accuracy + 2 / max(1, whole)
+    ends = [max(0.0, p - reach) for p in probs] + [min(1.0, p + reach) for p in probs]
+    sketched = values.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_total"),
+        F.min("v").alias("_min"),
+        F.max("v").alias("_max"),
+        F.percentile_approx("v", ends, accuracy).alias("_ends"),
+    )
+    small = F.col("_total") <= whole
+    low = F.array(*[F.when(small | F.lit(p <= reach), F.col("_min")).otherwise(F.get("_ends", F.lit(i))) for i, p in enumerate(probs)])
+    high = F.array(
+        *[F.when(small | F.lit(p >= 1 - reach), F.col("_max")).otherwise(F.get("_ends", F.lit(len(probs) + i))) for i, p in enumerate(probs)]
+    )
+    return sketched.select(*by, "_total", low.alias("_low"), high.alias("_high"))
 
 
-def _value_at(place: Column) -> Column:
-    return F.max(F.when(_holds(place, F.col("_first"), F.col("n")), F.col("v")))
+def _any(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
 def exact_quantiles(
-    counts: DataFrame, by: Sequence[str], probs: dict[str, float], step: int = STEP
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], accuracy: int | None = None, whole: int = WHOLE
 ) -> DataFrame:
-    """One column per named probability for each group of a :func:`value_counts` table, with linear
-    interpolation between neighbouring values."""
-    placed = _in_ranges(counts, by, step)
-    # At most step * step rows per group.
-    totals = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_in_range"))
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = totals.select(
-        *by,
-        "_range",
-        "_in_range",
-        F.sum("_in_range").over(group).alias("total"),
-        F.coalesce(F.sum("_in_range").over(earlier), F.lit(0)).alias("_before"),
-    )
-    wanted = F.lit(False)
-    for p in probs.values():
-        for place in (F.floor(_rank(p)), F.ceil(_rank(p))):
-            wanted = wanted | _holds(place, F.col("_before"), F.col("_in_range"))
-    needed = ranges.filter(wanted).drop("_in_range")
-    inside = Window.partitionBy(*by, "_range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = join_groups(placed, needed, [*by, "_range"]).withColumn(
-        "_first", F.col("_before") + F.sum("n").over(inside) - F.col("n")
-    )
+    """One column per named probability for each group, with linear interpolation between neighbouring values.
+
+    The table is read three times (its largest group is counted, sketch, ranks), so save what is costly to make.
+    """
+    values = group_values(df, by, value)
+    wanted = list(probs.values())
+    brackets = _brackets(values, by, wanted, accuracy or _accuracy(values, by), whole)
+    placed = join_groups(values, brackets, by)
+    places = range(len(wanted))
+    inside = _any([F.col("v").between(F.get("_low", F.lit(i)), F.get("_high", F.lit(i))) for i in places])
+    above = reduce(lambda a, b: a + b, [(F.get("_high", F.lit(i)) < F.col("v")).cast("int") for i in places])
+    # Values outside lie in runs between brackets; a run is told by the brackets below it.
+    runs = placed.groupBy(*by, "_total", F.when(inside, F.col("v")).alias("_value"), F.when(~inside, above).alias("_run"))
+    counted = runs.agg(F.count(F.lit(1)).alias("_n"), F.min("v").alias("_place"))
+    order = Window.partitionBy(*by).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_first", F.sum("_n").over(order) - F.col("_n"))
+
+    def at(place: Column) -> Column:
+        holds = (place >= F.col("_first")) & (place < F.col("_first") + F.col("_n"))
+        return F.max(F.when(holds, F.coalesce("_value", F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))))
 
     def quantile(p: float) -> Column:
-        place = _rank(p)
-        low, high = _value_at(F.floor(place)), _value_at(F.ceil(place))
+        place = F.lit(p) * (F.col("_total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
         return low + (high - low) * F.max(place - F.floor(place))
 
     return ranked.groupBy(*by).agg(*[quantile(p).alias(name) for name, p in probs.items()])
 
 
-def box_summary(counts: DataFrame, by: Sequence[str], step: int = STEP) -> DataFrame:
+def box_summary(df: DataFrame, by: Sequence[str], value: str, accuracy: int | None = None, whole: int = WHOLE) -> DataFrame:
     """Quartiles and whiskers per group; whiskers end at the outermost value within 1.5 box heights."""
-    boxes = exact_quantiles(counts, by, QUARTILES, step)
+    boxes = exact_quantiles(df, by, value, QUARTILES, accuracy, whole)
     reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        join_groups(counts, boxes, by)
+        join_groups(group_values(df, by, value), boxes, by)
         .groupBy(*by, *QUARTILES)
         .agg(
             F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
             F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-            F.sum("n").alias("n_values"),
+            F.count(F.lit(1)).alias("n_values"),
         )
     )

@@ -28,9 +28,9 @@ def table(spark):
     return spark.createDataFrame(rows, "g string, x double")
 
 
-@pytest.mark.parametrize("step", [2, 5, 12])
-def test_quantiles_equal_numpy(table, step):
-    got = {r.g: r for r in Q.exact_quantiles(Q.value_counts(table, ["g"], "x"), ["g"], PROBS, step).collect()}
+@pytest.mark.parametrize(("accuracy", "whole"), [(None, Q.WHOLE), (100, 10), (1000, 100), (20, 1)])
+def test_quantiles_equal_numpy(table, accuracy, whole):
+    got = {r.g: r for r in Q.exact_quantiles(table, ["g"], "x", PROBS, accuracy, whole).collect()}
     assert set(got) == set(groups())
     for g, values in groups().items():
         for name, p in PROBS.items():
@@ -38,17 +38,20 @@ def test_quantiles_equal_numpy(table, step):
 
 
 def test_box_summary(table):
-    got = {r.g: r for r in Q.box_summary(Q.value_counts(table, ["g"], "x"), ["g"]).collect()}
+    got = {r.g: r for r in Q.box_summary(table, ["g"], "x", 100, 10).collect()}
     for g, values in groups().items():
         q1, q3 = np.percentile(values, [25, 75])
         kept = values[(values >= q1 - 1.5 * (q3 - q1)) & (values <= q3 + 1.5 * (q3 - q1))]
         assert (got[g].whisker_low, got[g].whisker_high, got[g].n_values) == (kept.min(), kept.max(), len(values))
 
 
-def test_weighted_counts(spark):
-    df = spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1)], "g string, x double, w int")
-    row = Q.exact_quantiles(Q.value_counts(df, ["g"], "x", "w"), ["g"], {"m": 0.5, "q": 0.9}).first()
-    assert (row.m, row.q) == (1.0, pytest.approx(np.percentile([1, 1, 1, 5], 90)))
+def test_groups_without_a_broadcast(spark, table):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.g: r.m for r in Q.exact_quantiles(table, ["g"], "x", {"m": 0.5}, 100, 10).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {g: pytest.approx(np.percentile(v, 50)) for g, v in groups().items()}
 
 
 @pytest.fixture(scope="module")

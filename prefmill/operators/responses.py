@@ -45,6 +45,10 @@ ERROR_TEXTS = {
 _ERROR = "struct<kind: string, stage: int, detail: string>"
 
 
+#: Bytes from which on a text may be beyond what the parser holds as one value.
+LARGE_TEXT = 16 << 20
+
+
 def _error(kind: str, stage: int, detail: str | Column) -> Column:
     text = F.lit(detail) if isinstance(detail, str) else detail
     return F.struct(F.lit(kind).alias("kind"), F.lit(stage).alias("stage"), text.alias("detail"))
@@ -142,6 +146,7 @@ def parse_stage(df: DataFrame, stage: int, mode: str = "train", content: str | N
         error = (
             F.when(earlier.isNotNull(), earlier)
             .when(F.col(content).isNull(), _error("request", stage, F.coalesce(request, F.lit("no response"))))
+            .when(~found.getField("valid") & (F.octet_length(F.col(content)) > LARGE_TEXT), _error("json", stage, f"stage {stage} response is too large to be read, or not one JSON value"))
             .when(~found.getField("valid"), _error("json", stage, f"stage {stage} response is not one JSON value"))
             .when(items.isNull(), _error("processing", stage, f"stage {stage} response lacks the expected members"))
             .cast(_ERROR)

@@ -74,3 +74,11 @@ def test_missing_members_read_as_empty(spark):
     assert row.error is None
     assert row.first_items[0].asDict() == {"use_case": "u", "code": "1", "prompt": None}
     assert row.second_items[0].asDict() == {"use_case": None, "original_code": "", "improved_code": ""}
+
+
+def test_a_text_beyond_the_parser_says_so(spark):
+    from prefmill.operators.responses import parse_stage
+
+    df = spark.createDataFrame([(1, '{"examples":["' + "x" * (20 << 20) + '"]}'), (2, "{")], "id int, first_content string")
+    found = {r.id: r.error_info.detail for r in parse_stage(df, 1).select("id", "error_info").collect()}
+    assert "too large" in found[1] and "too large" not in found[2]

@@ -23,6 +23,7 @@ QUALITY_SIDES = ("chosen", "rejected")
 QUALITY_METRICS = (*CODE_METRICS, "execution_result")
 NOT_CATEGORIES = (
     "prompt", "chosen", "rejected", "chosen_code", "rejected_code", "chosen_metrics", "rejected_metrics",
+    "pair_id", "request_id", "split",
 )
 
 
@@ -95,7 +96,9 @@ def score_pairs(pairs: DataFrame, level: int = 2) -> DataFrame:
 
 
 def category_columns(scored: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    """Category columns: everything that is not text, code, metrics or excluded."""
+    """Category columns: everything that is not text, code, metrics, an id that jobs here add, or excluded.
+
+    Exclude key columns of your own: a category with a value per row gives a result as long as the table."""
     return [c for c in scored.columns if c not in NOT_CATEGORIES and c not in exclude]
 
 

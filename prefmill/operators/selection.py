@@ -18,7 +18,7 @@ STEP_DIGITS = 3
 _SPLIT_BITS = 32
 
 
-def _row_hash(df: DataFrame) -> Column:
+def row_hash(df: DataFrame) -> Column:
     """A hash of all columns that can be hashed, which puts rows with equal keys in order."""
     plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
@@ -29,7 +29,7 @@ def _key_at(df: DataFrame, order: Sequence[str], index: int) -> tuple[Row, int]
 
     Only keys are sorted, spread over tasks by range. Numbers of rows per task tell which task holds the place.
     """
-    keys = df.select(*order, _row_hash(df).alias("_row"))
+    keys = df.select(*order, row_hash(df).alias("_row"))
     sort = [*[F.col(c).asc_nulls_first() for c in order], F.col("_row")]
     placed = saved(keys.orderBy(*sort).withColumn("_at", F.monotonically_increasing_id()), "places")
     task = F.shiftright("_at", 33)
@@ -74,7 +74,7 @@ def first_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     if last is None:
         return df
     key, before = last
-    marked = df.withColumn("_row", _row_hash(df))
+    marked = df.withColumn("_row", row_hash(df))
     names = [*order, "_row"]
     ends = marked.filter(_same(key, names)).limit(n - before)
     return marked.filter(_earlier(key, names)).unionByName(ends).drop("_row")
@@ -85,7 +85,7 @@ def nth_row(df: DataFrame, index: int, order: Sequence[str]) -> DataFrame:
     found = _key_at(df, order, index) if index >= 0 else None
     if found is None:
         return df.limit(0)
-    return df.withColumn("_row", _row_hash(df)).filter(_same(found[0], [*order, "_row"])).limit(1).drop("_row")
+    return df.withColumn("_row", row_hash(df)).filter(_same(found[0], [*order, "_row"])).limit(1).drop("_row")
 
 
 def seeded_hash(seed: int, key: Sequence[str]) -> Column:

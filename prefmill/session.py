@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Parsing and model calls make much of few bytes, so small parts are not merged into one.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
     # Whole documents go to the Python workers, so batches are kept short.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }

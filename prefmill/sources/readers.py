@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefmill import schemas
+from prefmill.operators.selection import row_hash
 from prefmill.session import exists, saved
 from prefmill.sources.arrow_files import DATA_FILES, arrow_files, opened, read_arrow, rows_of
 
@@ -214,8 +215,11 @@ def unread_shards(
 
 
 def shard_sort(df: DataFrame, *more: str) -> DataFrame:
-    """Rows in numeric order of their shard."""
-    return df.orderBy(F.col("shard_no").cast("int"), *more)
+    """Rows in numeric order of their shard, and in it by the further columns or else by a hash of the row.
+
+    The hash lets one large shard be sorted by several tasks.
+    """
+    return df.orderBy(F.col("shard_no").cast("int"), *(more or [row_hash(df)]))
 
 
 def fuse_union(parts: Sequence[DataFrame]) -> DataFrame:

@@ -26,6 +26,8 @@ from prefmill.llm import wordbytes as wb
 from prefmill.llm.tables import bounded_batches, map_batches, unit
 
 UND = "und"
+#: Texts whose counts are held at once, a row of ``dims`` numbers each.
+ROWS = 200
 _LETTERS_ONLY = np.where(wb.LETTER, np.arange(256), 32).astype(np.uint8)
 
 SCHEMA = T.StructType(
@@ -40,12 +42,13 @@ SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the documents per language that are clustered (on average; hash-chosen)."""
+    """``sample`` bounds the documents per language that are clustered, ``most`` those of all (on average; hash-chosen)."""
 
     dims: int = 8192
     orders: tuple[int, ...] = (2, 3, 4)
     centroids: int = 4
     sample: int = 400
+    most: int = 8000
     rounds: int = 8
     #: A text with fewer letters is never rejected for its distance.
     min_letters: int = 200
@@ -84,7 +87,7 @@ def counts(part: wb.Texts, settings: Settings) -> np.ndarray:
     n, dims = len(part), settings.dims
     owner = np.repeat(np.arange(n, dtype=np.int64), np.diff(part.offsets))
     shift = np.uint32(32 - (dims - 1).bit_length())
-    out = np.zeros(n * dims, np.int64)
+    out = np.zeros(n * dims, np.int32)
     if len(data) == 0:
         return out.reshape(n, dims)
     blank = data == 32
@@ -100,7 +103,7 @@ def counts(part: wb.Texts, settings: Settings) -> np.ndarray:
                 empty &= blank[k : k + m]
         bucket = ((code * np.uint32(2654435769)) >> shift).astype(np.int64)
         bucket += owner[:m] * dims
-        out += np.bincount(bucket[(owner[:m] == owner[order - 1 :]) & ~empty], minlength=n * dims)
+        out += np.bincount(bucket[(owner[:m] == owner[order - 1 :]) & ~empty], minlength=n * dims).astype(np.int32)
     return out.reshape(n, dims)
 
 
@@ -132,7 +135,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Learn from all given documents that name a language.
 
     Document frequencies are counted over all of them; clustering sees about ``sample`` documents of each
-    language, whose vectors (dims x 2 bytes each) are gathered.
+    language, ``most`` in all, whose vectors (dims x 2 bytes each) are gathered.
     """
     bounded_batches(docs.sparkSession)
     known = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
@@ -143,7 +146,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     def frequencies(batches):
         held, n = np.zeros(dims, np.int64), 0
         for batch in batches:
-            for part in wb.slices(_lowered(batch.column(0))):
+            for part in wb.slices(_lowered(batch.column(0)), most=ROWS):
                 held += (counts(part, settings) > 0).sum(0)
                 n += len(part)
         if n:
@@ -154,7 +157,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     def sampled(batches):
         for batch in batches:
             codes = batch.column(1).to_pylist()
-            for part in wb.slices(_lowered(batch.column(0))):
+            for part in wb.slices(_lowered(batch.column(0)), most=ROWS):
                 rows, letters = counts(part, settings).astype(np.float32), _letters(part)
                 packed = [np.sqrt(r).astype(np.float16).tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays(
@@ -171,9 +174,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     total = by_bucket.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + by_bucket.get(b, 0))) + 0.1 for b in range(dims)], np.float32)
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = min(settings.sample, settings.most // max(1, len(sizes)))
     share = F.lit(0.0)
     for code, n in sizes.items():
-        share = F.when(F.col("lang") == code, min(1.0, settings.sample / n)).otherwise(share)
+        share = F.when(F.col("lang") == code, min(1.0, each / n)).otherwise(share)
     picked = known.filter(unit(F.col("k"), seed=settings.seed) < share)
     rows = picked.select("text", "lang", "k").repartition(F.col("k")).select("text", "lang").mapInArrow(sampled, "lang string, letters long, v binary").collect()
     langs, centres, floors = [], [], []
@@ -198,7 +202,7 @@ def _predict(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np
     """Language, score and rejection of each text."""
     langs, scores, rejected = [], [], []
     names = np.array([*model.langs, UND], object)
-    original = wb.slices(column)
+    original = wb.slices(column, most=ROWS)
     lowered = pc.fill_null(column, "")
     for part in original:
         some = _has_letter(part)

@@ -142,7 +142,7 @@ def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang", rule
                     h, n = np.unique(word[np.repeat(own, np.diff(bounds))], return_counts=True)
                     words.setdefault(code, []).append((h, n))
                     held += len(h)
-            if held > 4_000_000:  # what a task keeps is bounded; the sums below take several rows of a word
+            if held > 1_000_000:  # what a task keeps is bounded; the sums below take several rows of a word
                 yield from (rows(code) for code in words)
                 words, classes, held = {}, {}, 0
         yield from (rows(code) for code in words)

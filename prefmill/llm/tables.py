@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefmill.session import scratch_path, shared_dir
+from prefmill.session import scratch_path
 
 #: Texts go to Python in batches of at most so many bytes, however long one text is.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "8m"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +33,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    return shared_dir(spark)
-
-
-def text_of(column: str) -> Column:
-    return F.col(column).cast("string")
+def free(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def fold(doc_id: Column, folds: int) -> Column:

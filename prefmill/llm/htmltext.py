@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from prefmill.llm.labelled_pages import STEMS, labelled_pages
 from prefmill.llm.tables import map_batches
 
+# A quote opens a value only after an equals sign; one that never closes is plain text of its tag.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.S
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|data-y|hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|data-y|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])", re.I)
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”’)\]]?\s*$")
 
@@ -90,10 +92,10 @@ class Page:
             if not found:
                 break
             at = found.end()
-            name = (found[2] or found[5] or "").lower()
+            name = (found[2] or "").lower()
             if not name:
                 continue
-            if found[1] or found[4]:
+            if found[1]:
                 depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
                 if depth:
                     unread, anchors = self._close(stack, depth, unread, anchors)
@@ -117,7 +119,7 @@ class Page:
                 if name in ("br", "hr"):
                     self._gap(stack[-1][1])
                 continue
-            attributes = found[3] if found[2] else found[6]
+            attributes = found[3]
             if name in RAW:
                 if lower is None:
                     lower = html.lower()
@@ -143,14 +145,16 @@ class Page:
 
     def _node(self, parent: int, tag: str, attributes: str) -> int:
         marks, label = [], self.label[parent]
-        if attributes and "=" in attributes:
+        if "hidden" in attributes and _HIDDEN.search(attributes):
+            marks.append("is:hidden")
+        if "=" in attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
                 if key == "data-y":
                     label = value == "1"
-                elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                    marks.append("is:hidden")
-                elif key != "style":
+                elif key == "style":
+                    marks += ["is:hidden"] * bool(_UNSHOWN.search(value))
+                else:
                     marks += [mark for w in _PARTS.findall(value) for mark in _marks_of("role:" if key == "role" else "w:", w)]
         self.parent.append(parent)
         self.tag.append(tag)
@@ -191,9 +195,12 @@ class Page:
         for i in range(n):
             own, size = self.own[i], total[i]
             row = ["tag:" + self.tag[i], f"own:{_bin(own)}", f"size:{_bin(size)}", *self.marks[i]]
+            if not self.marks[i]:
+                row.append("bare:" + self.tag[i])
             row.append(f"links:{0 if not size else min(3, 4 * links[i] // size)}{size > 0}")
             if own:
                 row.append(f"sentence:{ends[i]}:{_bin(own) > 2}")
+                row.append(f"linked:{2 * self.linked[i] > own}")
                 if rights[i]:
                     row.append("rights")
             row.append(f"place:{min(3, 4 * before // whole)}")
@@ -257,18 +264,16 @@ def _labelled(pages: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray
     for html in pages:
         page = Page(html)
         n, base = len(page.parent), len(labels)
-        good, all_ = [0] * n, [0] * n
+        good = [0] * n
         for i in range(n - 1, -1, -1):
             good[i] += page.own[i] * (page.label[i] is True)
-            all_[i] += page.own[i]
             if i:
                 good[page.parent[i]] += good[i]
-                all_[page.parent[i]] += all_[i]
         depth = [0] * n
         for i in range(1, n):
             depth[i] = depth[page.parent[i]] + 1
         features += page.features()
-        labels += [(page.label[i] is True) if page.own[i] else 2 * good[i] > all_[i] for i in range(n)]
+        labels += [(page.label[i] is True) if page.own[i] else good[i] > 0 for i in range(n)]
         parents += [-1, *(base + page.parent[i] for i in range(1, n))]
         depths += depth
     return features, np.array(labels, np.int64), np.array(parents), np.array(depths)
@@ -277,7 +282,7 @@ def _labelled(pages: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray
 def train(pages: list[str] | None = None, rounds: int = 250, rate: float = 0.2, ridge: float = 1e-5) -> Model:
     """Weights from pages whose elements carry ``data-y`` (1 content, 0 not; inherited by what they hold).
 
-    A node with text of its own takes its mark; one without is content if most of the text below it is. The
+    A node with text of its own takes its mark; one without is content if any text below it is. The
     likelihood of all labels is raised by its gradient: what is seen less what the marginals expect. Messages of
     all pages go up and down together, depth by depth.
     """

@@ -93,7 +93,9 @@ class _Writer:
         def one() -> str:
             by = self.r.choice((f"<cite>{self.words(1, 2)}</cite>", f'<span class="author">{self.words(1, 2)}</span>', f"<b>{self.words(1, 2)}</b>", ""))
             said = self.r.choice((f"<p>{self.sentences(1, 5)}</p>", self.sentences(1, 4)))
-            return f'<{(t := self.r.choice(("div", "li", "article", "section")))}{self.r.choice((" class=comment", " class=reply", "", " class=comment-body"))}>{by}{said}</{t}>'
+            tag = self.r.choice(("div", "li", "article", "section"))
+            name = self.r.choice((" class=comment", " class=reply", "" if tag != "article" else " class=comment", " class=comment-body"))
+            return f"<{tag}{name}>{by}{said}</{tag}>"
 
         inner = self.r.choice((f"<h3>{self.words(1, 3)}</h3>", f"<h2>{self.r.randint(1, 50)} {self.words(1, 1)}</h2>", "")) + "".join(one() for _ in range(self.r.randint(1, 5)))
         return self.named(("section", "div", "div", "ol", "aside"), _COMMENT, 0, inner)
@@ -101,6 +103,11 @@ class _Writer:
     def share(self) -> str:
         return self.named(("div", "ul", "p"), _SHARE, 0, self.links(2, 5))
 
+    def hidden(self) -> str:
+        tag, how = self.r.choice(("div", "section", "p")), self.r.choice(("hidden", 'style="display: none"', 'style="color:red;display:none"', 'hidden=""'))
+        inner = self.sentences(1, 4)
+        return f'<{tag} {how} data-y="0">{inner if tag == "p" else f"<p>{inner}</p>"}</{tag}>'
+
     # content
     def paragraph(self) -> str:
         inner = self.sentences(1, self.r.choice((1, 3, 6, 9)))
@@ -138,7 +145,7 @@ class _Writer:
         for _ in range(self.r.choice((1, 2, 4, 6, 9, 14))):
             inner += self.block()
             if self.r.random() < 0.12:
-                inner += self.r.choice((self.advert, self.share, self.side, self.form, self.notice))()
+                inner += self.r.choice((self.advert, self.share, self.side, self.form, self.notice, self.hidden))()
         if self.r.random() < 0.25:
             inner += self.r.choice((self.share, self.comments, self.side, self.advert, self.footer))()
         whole = self.named(("article", "article", "div", "main", "section"), _ARTICLE, 1, inner, bare=0.3)
@@ -148,13 +155,13 @@ class _Writer:
 
     def page(self) -> str:
         top = [f() for f in (self.header, self.menu, self.notice, self.advert, self.form, self.menu, self.share) if self.r.random() < 0.45]
-        bottom = [f() for f in (self.comments, self.side, self.side, self.advert, self.share, self.form, self.footer, self.notice) if self.r.random() < 0.45]
+        bottom = [f() for f in (self.comments, self.side, self.side, self.advert, self.share, self.form, self.footer, self.notice, self.hidden) if self.r.random() < 0.45]
         inner = "".join(top) + self.article() + "".join(bottom)
         if self.r.random() < 0.4:
             inner = f'<div class="{self.r.choice(("container", "wrapper", "page", "site", "layout", "row"))}">{inner}</div>'
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body data-y=\"0\">{inner}</body></html>"
 
 
-def labelled_pages(n: int = 700, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 900, seed: int = 5) -> list[str]:
     """The training pages, the same on every call."""
     return [_Writer(seed * 100_003 + i).page() for i in range(n)]

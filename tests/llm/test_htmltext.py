@@ -50,7 +50,7 @@ def test_held_out_pages():
     pages = labelled_pages(150, seed=77)
     plain = [re.sub(r' data-y="[01]"', "", p) for p in pages]
     exact = sum(text_of(a) == marked(b) for a, b in zip(plain, pages, strict=True))
-    assert exact >= 0.8 * len(pages)
+    assert exact >= 0.9 * len(pages)
 
 
 BODY = "<article><h1>Tha Title</h1><p>First paragraph of the piece, with <b>bold</b>ness &amp; more.</p><p>Second one, which\n goes  on for some time.<br>And ends here.</p></article>"
@@ -69,6 +69,7 @@ MAIN = "Tha Title First paragraph of the piece, with boldness & more. Second one
         "<form action='/s' class='search'><label>Search</label><input name=q><p>Find what you want.</p></form>{}",
         "{}<script>var a = '<p>not text</p>';</script><style>p{{}}</style><!-- <p>nor this</p> -->",
         "{}<section class='comments'><h2>3 comments</h2><div class='comment'><p>I do not agree with this piece.</p></div><div class='comment'>Well said, this is true.</div></section>",
+        "<div hidden><p>This is not shown to anyone at all.</p></div>{}<div style='display:none'>Nor is this, whatever it says.</div>",
         "<template><p>hidden away</p></template><noscript><p>turn it on</p></noscript>{}",
     ],
 )
@@ -84,6 +85,7 @@ def test_markup():
     assert htmltext.Page("<div>a</span></p>b<script>c</div>").text([1.0] * 9) == "a b"
     assert htmltext.Page("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>").text([1.0] * 9) == "a b c d"
     assert htmltext.Page("<!-- open <p>a").text([1.0] * 9) == ""
+    assert htmltext.Page("<p title=don't>it's <a href=\"x>y\" t='>'>one</a> don't <b c=\"open>two</b></p>").text([1.0] * 9) == "it's one don't two"
     long = "<div " + "a" * 200_000 + "\"" * 3
     assert htmltext.Page(long).pieces
 
@@ -97,4 +99,4 @@ def test_rows(spark):
     assert found[:1] == [(0, "", 0)] and found[1] == found[2] == (1, MAIN, len(MAIN)) and found[3:5] == [(2, "", 0), (3, "", 0)]
     assert htmltext.extract(pages.limit(0), model()).count() == 0
     many = "<article>" + "<p>One more paragraph of a long piece of text.</p>" * 20_000 + "</article>"
-    assert len(text_of(many)) == 20_000 * 46 - 1 + 20_000 * 0 or text_of(many).count("paragraph") == 20_000
+    assert text_of(many).count("paragraph") == 20_000

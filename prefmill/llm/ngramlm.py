@@ -38,7 +38,7 @@ class Settings:
     alpha: float = 0.4
     unseen: float = 0.5
     block_words: int = 1_000_000
-    range_grams: int = 2_000_000
+    range_grams: int = 500_000
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -50,6 +50,16 @@ def _unplanes(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1).astype(np.int64)
 
 
+def _steps(ordered: np.ndarray) -> bytes:
+    """Rising hashes as the steps between them, in eight runs of bytes: the upper bytes of steps are zeros."""
+    steps = np.diff(ordered, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unsteps(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataFrame:
     """Rows (block_id, n_words, n_pairs, ids, lengths, words, vocabulary): documents as places in the block's vocabulary."""
     size = settings.block_words
@@ -123,7 +133,7 @@ def _answered(requests: DataFrame) -> DataFrame:
     """For each range of hashes, the sums of all blocks' counts, as answers in the order of each block's request."""
 
     def add_up(table: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+        grams = [_unsteps(x) for x in table.column("grams").to_pylist()]
         counts = [_unplanes(x) for x in table.column("counts").to_pylist()]
         every, inverse = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(inverse, np.concatenate(counts), minlength=len(every)).astype(np.int64)[inverse]
@@ -158,7 +168,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
                                     pa.array([row["block_id"]], pa.int64()),
                                     pa.array([size], pa.int32()),
                                     pa.array([part], pa.int32()),
-                                    pa.array([different[low:high].tobytes()], pa.binary()),
+                                    pa.array([_steps(different[low:high])], pa.binary()),
                                     pa.array([_planes(n[low:high])], pa.binary()),
                                 ],
                                 names=["block_id", "size", "part", "grams", "counts"],

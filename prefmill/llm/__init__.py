@@ -15,3 +15,10 @@ toolchat        6  tool calls linked, checked and serialised
 ngramlm         9  stupid-backoff language-model scores
 queries            one registered query for each of them
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# The workers get these modules by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

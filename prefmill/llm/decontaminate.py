@@ -164,13 +164,13 @@ def contaminated(
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = spark.createDataFrame([], HITS)
     for classes, seeds in _blocks(items, block):
-        shared = spark.sparkContext.broadcast(seeds)
+        shared = spark.sparkContext.broadcast(vars(seeds))  # plain arrays, which need no class on the workers
 
         def search(batch: pa.RecordBatch, shared=shared, classes=classes) -> pa.RecordBatch:
             ids = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else np.array(batch.column(0).to_pylist(), object)
-            rows = []
+            rows, known = [], Seeds(**shared.value)
             for part in wb.slices(_lowered(batch.column(1))):
-                rows += [(ids[part.first + t], int(classes[i]), *rest) for t, i, *rest in overlaps(part, shared.value, min_words)]
+                rows += [(ids[part.first + t], int(classes[i]), *rest) for t, i, *rest in overlaps(part, known, min_words)]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             return pa.RecordBatch.from_arrays(
                 [pa.array([None if x is None else int(x) for x in c], pa.int64()) for c in columns],
@@ -191,12 +191,12 @@ def decontaminated(
     at = docs.columns.index(text)
     items = cut(_items(benchmark.select(F.lit(None).cast("long").alias("item_id"), F.col(item_text).alias("text")), "item_id", "text"), "items")
     for _, seeds in _blocks(items, block):
-        shared = spark.sparkContext.broadcast(seeds)
+        shared = spark.sparkContext.broadcast(vars(seeds))  # plain arrays, which need no class on the workers
 
         def keep(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            clean = np.ones(batch.num_rows, bool)
+            clean, known = np.ones(batch.num_rows, bool), Seeds(**shared.value)
             for part in wb.slices(_lowered(batch.column(at))):
-                clean[[part.first + row[0] for row in overlaps(part, shared.value, min_words)]] = False
+                clean[[part.first + row[0] for row in overlaps(part, known, min_words)]] = False
             return batch.filter(pa.array(clean))
 
         docs = map_batches(docs, keep, docs.schema)

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 from html import unescape
 from math import exp
 
@@ -63,11 +62,18 @@ SIBLINGS = {
 }
 
 
-@lru_cache(100_000)
+_known_marks: dict[tuple[str, str], tuple[str, ...]] = {}
+
+
 def _marks_of(kind: str, word: str) -> tuple[str, ...]:
     """A word of a name, and known words that it contains."""
-    word = word.lower().removesuffix("s")
-    return (kind + word, *(kind + stem for stem in STEMS if stem in word and stem != word))
+    found = _known_marks.get((kind, word))
+    if found is None:
+        plain = word.lower().removesuffix("s")
+        found = (kind + plain, *(kind + stem for stem in STEMS if stem in plain and stem != plain))
+        if len(_known_marks) < 100_000:
+            _known_marks[kind, word] = found
+    return found
 
 
 class Page:

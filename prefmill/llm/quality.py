@@ -55,7 +55,7 @@ class Rules:
     min_class_chars: int = 200
     min_common_words: int = 60
     class_distance: float = 0.30
-    word_distance: float = 0.25
+    word_distance: float = 0.30
     #: How many times the divergence expected by chance is forgiven.
     chance: float = 3.0
 

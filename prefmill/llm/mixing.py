@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmill.llm.tables import cut
+from prefmill.llm.tables import cut, free
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -85,6 +85,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: f
     return table.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
+def _marked(
+    docs: DataFrame, names: dict[str, str], doc_id: str, text: str, source: str, weights: tuple[int, ...], most: float, seed: int
+) -> DataFrame:
+    """The documents with the columns of ``ADDED`` under other names.
+
+    Sources are few against documents and are joined by Spark's choice of plan: broadcast while they
+    measure below its limit, else a skew-splitting join.
+    """
+    sums = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    key = free(docs, "_source")
+    right = targets.select(F.col("source").alias(key), *[F.col(c).alias(names[c]) for c in ("source_size", "target", "rate")])
+    sized = docs.withColumn(names["size"], word_count(F.col(text)))
+    joined = sized.join(right, F.col(source).eqNullSafe(F.col(key))).drop(key)
+    rate = F.col(names["rate"])
+    more = (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn(names["copies"], F.floor(rate) + more)
+
+
 def copies(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -94,23 +113,23 @@ def copies(
     most: float = MOST,
     seed: int = 41,
 ) -> DataFrame:
-    """The documents with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``.
-
-    Sources are few against documents and are joined by Spark's choice of plan: broadcast while they
-    measure below its limit, else a skew-splitting join.
-    """
-    sized = docs.drop(*[c for c in ADDED if c not in (doc_id, text, source)]).withColumn("size", word_count(F.col(text)))
-    sums = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    right = targets.withColumnRenamed("source", "_source")
-    joined = sized.join(right, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
-    whole = F.floor("rate")
-    more = (draw(F.col(doc_id), seed) < F.col("rate") - whole).cast("long")
-    return joined.withColumn("copies", whole + more)
+    """The documents with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``."""
+    names = {c: free(docs, f"_{c}") for c in ADDED}
+    marked = _marked(docs, names, doc_id, text, source, weights, most, seed)
+    return marked.select(*[c for c in docs.columns if c not in ADDED], *[F.col(n).alias(c) for c, n in names.items()])
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    most: float = MOST,
+    seed: int = 41,
+) -> DataFrame:
     """One row for each copy taken, with the input's columns and the copy's number from 0 (``copy``)."""
-    chosen = copies(docs, doc_id, text, source, **settings)
-    numbers = F.expr("sequence(0L, copies - 1)")
-    return chosen.filter("copies > 0").select(*[c for c in docs.columns if c != "copy"], F.explode(numbers).alias("copy"))
+    names = {c: free(docs, f"_{c}") for c in ADDED}
+    chosen = _marked(docs, names, doc_id, text, source, weights, most, seed).filter(F.col(names["copies"]) > 0)
+    numbers = F.sequence(F.lit(0).cast("long"), F.col(names["copies"]) - 1)
+    return chosen.select(*[c for c in docs.columns if c != "copy"], F.explode(numbers).alias("copy"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from prefmill.llm import wordbytes as wb
 from prefmill.llm.components import components
-from prefmill.llm.tables import cut, map_batches
+from prefmill.llm.tables import cut, free, map_batches
 
 SHINGLE = 3
 SEED = 42
@@ -170,10 +170,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, with the input's columns; of rows with the kept id, the first by text hash.
 
-    Rows without an id cannot be told apart and stay, unless their text is a copy of one with an id.
+    Rows without an id cannot be told apart and stay. Documents move once, by id.
     """
-    found = near_duplicates(docs, doc_id, text)
-    kept = found.filter("is_kept OR component_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
+    kept, row = free(docs, "_kept"), free(docs, "_row")
+    ids = near_duplicates(docs, doc_id, text).filter("is_kept").select(F.col("doc_id").alias(kept)).distinct()
     first = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    staying = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    return staying.withColumn("_row", F.row_number().over(first)).filter(F.col("_row").eqNullSafe(1) | F.col(doc_id).isNull()).drop("_row")
+    known = docs.filter(F.col(doc_id).isNotNull()).join(ids, F.col(doc_id) == F.col(kept), "left_semi")
+    known = known.withColumn(row, F.row_number().over(first)).filter(F.col(row) == 1).drop(row)
+    return known.unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -73,6 +73,8 @@ def test_plan_stays_native(spark):
 
 
 def test_odd_rows_and_empty_tables(spark):
+    taken = mixing.mixed(odd_docs(spark))
+    assert taken.columns == [*odd_docs(spark).columns, "copy"] and {r["size"] for r in taken.collect()} == {7}
     rows = mixing.copies(odd_docs(spark)).collect()
     assert len(rows) == len(odd_rows())
     assert all(r["size"] == len((r["text"] or "").split()) or r["doc_id"] in (7,) for r in rows)

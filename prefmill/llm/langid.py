@@ -53,7 +53,7 @@ class Settings:
     #: A text with fewer letters is never rejected for its distance.
     min_letters: int = 200
     #: Rejected below this part of the least similarity among the learned documents long enough to tell.
-    slack: float = 0.6
+    slack: float = 0.35
     seed: int = 17
 
 

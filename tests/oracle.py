@@ -79,12 +79,14 @@ def main() -> None:
         if only and name not in only:
             continue
         start = time.time()
+        note = ""
         try:
-            problem = compare(spark, con, query, sqls[name], sf_dir) if name in sqls else f"no SQL; {query(spark, sf_dir).count()} rows"
+            problem = compare(spark, con, query, sqls[name], sf_dir) if name in sqls else ""
+            note = "" if name in sqls else f"no SQL, {query(spark, sf_dir).count()} rows"
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         failed += bool(problem)
-        print(f"{'ok  ' if not problem else 'FAIL'} {name:28s} {time.time() - start:6.2f}s {problem}", flush=True)
+        print(f"{'ok  ' if not problem else 'FAIL'} {name:28s} {time.time() - start:6.2f}s {problem}{note}", flush=True)
     print(f"{failed} failed")
     spark.stop()
 

@@ -96,9 +96,15 @@ def _record(kind: Column, headers: list[tuple[str, Column]], content_type: Colum
 
 
 def write_archives(
-    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z"
+    pages: DataFrame,
+    path: str,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+    date: str = "2024-01-01T00:00:00Z",
+    compression: str = "gzip",
 ) -> None:
-    """Write three records for each page to text files below ``path``."""
+    """Write three records for each page to files below ``path``, each file compressed as a whole (``none``: not)."""
     chosen = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
         F.regexp_replace(F.regexp_replace(F.col(url).cast("string"), "\r", "%0D"), "\n", "%0A").alias("url"),
@@ -136,7 +142,7 @@ def write_archives(
         F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(_CRLF)),
     )
     rows = seen.withColumn("own_id", _urn("response", F.col("page_id"), F.col("digest"))).select(F.explode(F.array(request, response, metadata)).alias("value"))
-    rows.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
 
 
 def _headers(stream: io.BufferedIOBase) -> Iterator[tuple[str, str]]:

@@ -172,8 +172,14 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows without an id cannot be told apart and stay. Documents move once, by id.
     """
+    ids = near_duplicates(docs, doc_id, text).filter("is_kept").select("doc_id").distinct()
+    return only(docs, ids, doc_id, text)
+
+
+def only(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row for each of the given ids (one column), the first by text hash; rows without an id stay."""
     kept, row = free(docs, "_kept"), free(docs, "_row")
-    ids = near_duplicates(docs, doc_id, text).filter("is_kept").select(F.col("doc_id").alias(kept)).distinct()
+    ids = ids.toDF(kept)
     first = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
     known = docs.filter(F.col(doc_id).isNotNull()).join(ids, F.col(doc_id) == F.col(kept), "left_semi")
     known = known.withColumn(row, F.row_number().over(first)).filter(F.col(row) == 1).drop(row)

@@ -3,8 +3,8 @@
 Texts become TF-IDF vectors over hashed byte n-grams of their letters (square root of the count times
 idf, length 1). Document frequencies count all documents to learn from; each language's vectors, of a
 bounded sample, are clustered into a few centroids by spherical k-means. A text gets the language of
-the centroid with the largest cosine. One whose distance to its centroid is beyond what the learned
-documents show is rejected, if it has enough letters to tell.
+the centroid with the largest cosine. One less similar than a low quantile of the language's learned documents
+of its length, all of them counted, is rejected, if it has enough letters to tell.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0 and rejected. Documents
 without a language teach nothing; with nothing learned every text is ``und``. Equal cosines go to the
@@ -26,6 +26,8 @@ from prefmill.llm import wordbytes as wb
 from prefmill.llm.tables import bounded_batches, map_batches, unit
 
 UND = "und"
+#: Classes of length, two for each doubling of the letters; steps of similarity that are counted.
+LENGTHS, STEPS = 64, 256
 #: Texts whose counts are held at once, a row of ``dims`` numbers each.
 ROWS = 200
 _LETTERS_ONLY = np.where(wb.LETTER, np.arange(256), 32).astype(np.uint8)
@@ -52,13 +54,18 @@ class Settings:
     rounds: int = 8
     #: A text with fewer letters is never rejected for its distance.
     min_letters: int = 200
-    #: Rejected below this part of the least similarity among the learned documents long enough to tell.
-    slack: float = 0.35
+    #: Rejected below ``slack`` times this quantile of the similarities of the language's learned documents of about that length.
+    quantile: float = 0.005
+    slack: float = 0.95
+    #: With too few documents for the quantile: below this part of their least similarity.
+    slack_few: float = 0.6
     seed: int = 17
 
 
 @dataclass(frozen=True)
 class Model:
+    """``floor`` has a row for each centroid and a column for each class of length."""
+
     settings: Settings
     idf: np.ndarray
     langs: tuple[str, ...]
@@ -117,6 +124,25 @@ def _letters(part: wb.Texts) -> np.ndarray:
     return total[part.offsets[1:]] - total[part.offsets[:-1]]
 
 
+def _length(letters: np.ndarray) -> np.ndarray:
+    return np.minimum(LENGTHS - 1, 2 * np.log2(np.maximum(1, letters))).astype(int)
+
+
+def floors(counted: np.ndarray, settings: Settings) -> np.ndarray:
+    """Least similarity by class of length, from counts of documents by class and step of similarity."""
+    least = 1 / settings.quantile
+
+    def low(by_step: np.ndarray) -> float:
+        n = by_step.sum()
+        if n == 0:
+            return 0.0
+        place = np.searchsorted(np.cumsum(by_step), settings.quantile * n, "right") / STEPS
+        return place * (settings.slack if n >= least else settings.slack_few)
+
+    whole = low(counted.sum(0))
+    return np.array([low(row) if row.sum() >= least else whole for row in counted])
+
+
 def _cluster(points: np.ndarray, k: int, rounds: int) -> np.ndarray:
     """Spherical k-means from points spread evenly over the given order; clusters of a few odd points are dropped."""
     chosen = points[np.unique(np.linspace(0, len(points) - 1, min(k, len(points))).astype(int))]
@@ -134,8 +160,8 @@ def _cluster(points: np.ndarray, k: int, rounds: int) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Learn from all given documents that name a language.
 
-    Document frequencies are counted over all of them; clustering sees about ``sample`` documents of each
-    language, ``most`` in all, whose vectors (dims x 2 bytes each) are gathered.
+    Document frequencies and similarities are counted over all of them; clustering sees about ``sample`` documents
+    of each language, ``most`` in all, whose vectors (dims x 2 bytes each) are gathered.
     """
     bounded_batches(docs.sparkSession)
     known = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
@@ -158,15 +184,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         for batch in batches:
             codes = batch.column(1).to_pylist()
             for part in wb.slices(_lowered(batch.column(0)), most=ROWS):
-                rows, letters = counts(part, settings).astype(np.float32), _letters(part)
+                rows = counts(part, settings).astype(np.float32)
                 packed = [np.sqrt(r).astype(np.float16).tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(codes[part.first : part.first + len(part)], pa.string()),
-                        pa.array(letters.astype(np.int64)),
                         pa.array(packed, pa.binary()),
                     ],
-                    names=["lang", "letters", "v"],
+                    names=["lang", "v"],
                 )
 
     seen = known.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -179,23 +204,44 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     for code, n in sizes.items():
         share = F.when(F.col("lang") == code, min(1.0, each / n)).otherwise(share)
     picked = known.filter(unit(F.col("k"), seed=settings.seed) < share)
-    rows = picked.select("text", "lang", "k").repartition(F.col("k")).select("text", "lang").mapInArrow(sampled, "lang string, letters long, v binary").collect()
-    langs, centres, floors = [], [], []
+    rows = picked.select("text", "lang", "k").repartition(F.col("k")).select("text", "lang").mapInArrow(sampled, "lang string, v binary").collect()
+    langs, centres = [], []
     for code in sorted({r["lang"] for r in rows}):
-        own = sorted((r["letters"], r["v"]) for r in rows if r["lang"] == code)
-        points = np.array([np.frombuffer(v, np.float16) for _, v in own], np.float32) * idf
+        own = sorted(r["v"] for r in rows if r["lang"] == code)
+        points = np.array([np.frombuffer(v, np.float16) for v in own], np.float32) * idf
         size = np.sqrt((points * points).sum(1))
-        points, letters = points[size > 0] / size[size > 0][:, None], np.array([n for n, _ in own])[size > 0]
+        points = points[size > 0] / size[size > 0][:, None]
         if not len(points):
             continue
         found = _cluster(points, settings.centroids, settings.rounds)
-        nearest = (points @ found.T).max(1)[letters >= settings.min_letters]
         langs += [code] * len(found)
         centres += list(found)
-        floors += [settings.slack * nearest.min() if len(nearest) else 0.0] * len(found)
     if not langs:
-        return Model(settings, idf, (), np.zeros((0, dims), np.float32), np.zeros(0))
-    return Model(settings, idf, tuple(langs), np.array(centres, np.float32), np.array(floors))
+        return Model(settings, idf, (), np.zeros((0, dims), np.float32), np.zeros((0, LENGTHS)))
+    centroids, names = np.array(centres, np.float32), np.array(langs, object)
+
+    def similarities(batches):
+        held: dict[tuple[str, int, int], int] = {}
+        for batch in batches:
+            codes = np.array(batch.column(1).to_pylist(), object)
+            for part in wb.slices(_lowered(batch.column(0)), most=ROWS):
+                own, letters = codes[part.first : part.first + len(part)], _letters(part)
+                near = vectors(counts(part, settings), idf) @ centroids.T
+                near = np.where(names[None, :] == own[:, None], near, -1).max(1)
+                step = np.clip(near * STEPS, 0, STEPS - 1).astype(int)
+                for i in np.flatnonzero((letters >= settings.min_letters) & (near >= 0)):
+                    place = own[i], int(_length(letters[i])), int(step[i])
+                    held[place] = held.get(place, 0) + 1
+        if held:
+            columns = [pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.string(), pa.int32(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), pa.int64())], names=["lang", "length", "step", "n"])
+
+    near = known.select("text", "lang").mapInArrow(similarities, "lang string, length int, step int, n long")
+    counted = {code: np.zeros((LENGTHS, STEPS), np.int64) for code in langs}
+    for r in near.groupBy("lang", "length", "step").agg(F.sum("n").alias("n")).collect():
+        counted[r["lang"]][r["length"], r["step"]] = r["n"]
+    by_code = {code: floors(c, settings) for code, c in counted.items()}
+    return Model(settings, idf, tuple(langs), centroids, np.array([by_code[code] for code in langs]))
 
 
 def _predict(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,9 +259,10 @@ def _predict(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np
             at = slice(piece.first, piece.first + len(piece))
             if model.langs:
                 near = vectors(counts(piece, model.settings), model.idf) @ model.centroids.T
+                letters = _letters(piece)
                 best[at] = near.argmax(1)
                 cosine[at] = near.max(1)
-                far[at] = (near.max(1) < model.floor[near.argmax(1)]) & (_letters(piece) >= model.settings.min_letters)
+                far[at] = (near.max(1) < model.floor[near.argmax(1), _length(letters)]) & (letters >= model.settings.min_letters)
         best = np.where(some, best, len(model.langs))
         langs.append(names[best])
         scores.append(np.where(some, np.clip(cosine, 0, 1), 0.0))

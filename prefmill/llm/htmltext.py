@@ -46,6 +46,14 @@ _SENTENCE = re.compile(r"[.!?…。！？][\"'”’)\]]?\s*$")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNREAD = frozenset("script style textarea title iframe noembed noframes template noscript select button svg math object canvas audio video head".split())
+#: Elements that stay in an open head; any other, and text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+FOREIGN = frozenset(["svg", "math"])
+#: Elements that hold ordinary markup again inside foreign ones.
+_ORDINARY = frozenset("foreignobject desc title annotation-xml".split())
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I | re.A) for name in RAW}
+# A slash at the end of an unquoted value belongs to the value.
+_SLASH_OF_VALUE = re.compile(r"=\s*[^\s\"']*/\Z")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
@@ -76,6 +84,11 @@ def _marks_of(kind: str, word: str) -> tuple[str, ...]:
     return found
 
 
+def _in_foreign(stack: list[tuple[str, int]]) -> bool:
+    """Whether the innermost element that decides it is foreign markup."""
+    return next((name in FOREIGN for name, _ in reversed(stack) if name in FOREIGN or name in _ORDINARY), False)
+
+
 class Page:
     """Nodes in page order: parent, tag, words of attributes, own text; and the text pieces with their nodes."""
 
@@ -89,10 +102,11 @@ class Page:
         stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the nodes their text belongs to
         unread = anchors = 0
         at, n = 0, len(html)
-        lower = None
         while at < n:
             found = _MARKUP.search(html, at)
             start = found.start() if found else n
+            if unread and start > at and stack[-1][0] == "head" and html[at:start].strip():
+                unread, anchors = self._close(stack, len(stack) - 1, unread, anchors)
             if start > at and not unread:
                 self._text(stack[-1][1], html[at:start], anchors > 0)
             if not found:
@@ -108,6 +122,10 @@ class Page:
                 elif name in ("p", "br"):
                     self._gap(stack[-1][1])
                 continue
+            if unread and name not in IN_HEAD:
+                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "head"), 0)
+                if depth and (name == "body" or not any(stack[k][0] in ("template", "noscript") for k in range(depth, len(stack)))):
+                    unread, anchors = self._close(stack, depth, unread, anchors)
             if name in CLOSES_P:
                 depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
                 if depth and not any(stack[k][0] in ("td", "th", "button", "object") for k in range(depth, len(stack))):
@@ -126,11 +144,11 @@ class Page:
                     self._gap(stack[-1][1])
                 continue
             attributes = found[3]
+            if attributes.endswith("/") and (name in FOREIGN or (unread and _in_foreign(stack))) and not _SLASH_OF_VALUE.search(attributes):
+                continue
             if name in RAW:
-                if lower is None:
-                    lower = html.lower()
-                end = lower.find("</" + name, at)
-                at = n if end < 0 else end
+                end = _RAW_END[name].search(html, at)
+                at = end.start() if end else n
             unread += name in UNREAD
             anchors += name == "a"
             node = stack[-1][1]

@@ -1,9 +1,10 @@
 """Operator 9, LM scoring: stupid backoff, computed relationally.
 
-The model is the corpus itself: counts of words and of word pairs over all documents. A document is scored by
-the counts of all others (its own are taken off), else every pair would have been seen. A word after another
-scores count(pair) / count(first word); if the pair is unseen, ``alpha`` times the word's share of all words; an
-unseen word counts as half an occurrence. The logarithms are summed per document.
+The model is the corpus itself: counts of the n-grams of up to ``order`` words over all documents. A document is scored
+by the counts of all others (its own are taken off), else every n-gram would have been seen. A word after others
+scores count(n-gram) / count(n-gram without the word), for the longest n-gram of its document up to ``order``; if it is
+unseen, ``alpha`` times what the next shorter one gives, and at last the word's share of all words; an unseen
+word counts as half an occurrence. The logarithms are summed per document; ``n_backoff`` counts the steps down.
 
 Size. Documents are packed into blocks of about ``block_words`` words. Each block asks for its different n-grams
 once, sorted by hash and cut into ranges; all blocks' requests for a range meet in one task, which adds up the
@@ -35,6 +36,7 @@ SCHEMA = "doc_id long, n_words long, n_backoff long, log_prob double"
 
 @dataclass(frozen=True)
 class Settings:
+    order: int = 2
     alpha: float = 0.4
     unseen: float = 0.5
     block_words: int = 1_000_000
@@ -50,6 +52,15 @@ def _unplanes(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1).astype(np.int64)
 
 
+def _wide(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 63 as eight runs of bytes."""
+    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unwide(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
 def _steps(ordered: np.ndarray) -> bytes:
     """Rising hashes as the steps between them, in eight runs of bytes: the upper bytes of steps are zeros."""
     steps = np.diff(ordered, prepend=np.uint64(0))
@@ -61,7 +72,10 @@ def _unsteps(packed: bytes) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataFrame:
-    """Rows (block_id, n_words, n_pairs, ids, lengths, words, vocabulary): documents as places in the block's vocabulary."""
+    """Rows (block_id, n_words, n_different, ids, lengths, words, vocabulary): documents as places in the block's vocabulary.
+
+    ``n_different`` counts the block's different n-grams of each order.
+    """
     size = settings.block_words
 
     def pack(batches):
@@ -75,11 +89,12 @@ def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataF
             place[order] = np.arange(len(order))
             words, vocabulary = place[words], vocabulary[order]
             lens = np.concatenate(lengths)
-            pairs = np.unique(_pairs(vocabulary[words], lens)[0])
-            columns = [pa.array([x], t) for x, t in ((len(words), pa.int64()), (len(vocabulary), pa.int64()), (len(pairs), pa.int64()))]
+            longer = _grams(vocabulary[words], lens, settings.order)[1:]
+            different = [len(vocabulary), *(len(np.unique(grams)) for grams, _ in longer)]
+            columns = [pa.array([len(words)], pa.int64()), pa.array([different], pa.list_(pa.int64()))]
             columns += [pa.array([[x for part in ids for x in part]], pa.list_(pa.int64()))]
             columns += [pa.array([x], pa.binary()) for x in (_planes(lens), _planes(words), vocabulary.tobytes())]
-            return pa.RecordBatch.from_arrays(columns, names=["n_words", "n_different", "n_pairs", "ids", "lengths", "words", "vocabulary"])
+            return pa.RecordBatch.from_arrays(columns, names=["n_words", "n_different", "ids", "lengths", "words", "vocabulary"])
 
         for batch in batches:
             names = batch.column(0).to_pylist()
@@ -98,17 +113,22 @@ def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataF
 
     bounded_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "n_words long, n_different long, n_pairs long, ids array<long>, lengths binary, words binary, vocabulary binary"
+    schema = "n_words long, n_different array<long>, ids array<long>, lengths binary, words binary, vocabulary binary"
     return cut(chosen.mapInArrow(pack, schema).withColumn("block_id", F.monotonically_increasing_id()), "blocks")
 
 
-def _pairs(words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word pairs within a document, and the place of each pair's second word."""
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    second = np.ones(len(words), bool)
-    second[bounds[:-1][lengths > 0]] = False
-    at = np.flatnonzero(second)
-    return wb.mix(words[at - 1] * np.uint64(0x9FB21C651E98DF25) + words[at]), at
+def _grams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the n-grams within a document, by order, and the places of their last words."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out = [(words, np.arange(len(words)))]
+    chained = words
+    for size in range(2, order + 1):
+        at = np.flatnonzero(place >= size - 1)
+        grams = wb.mix(chained[at - 1] * np.uint64(0x9FB21C651E98DF25) + words[at])
+        out.append((grams, at))
+        chained = np.zeros(len(words), np.uint64)
+        chained[at] = grams
+    return out
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -116,11 +136,9 @@ def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return vocabulary[_unplanes(row["words"])], _unplanes(row["lengths"])
 
 
-def _sides(row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+def _sides(row: dict, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The block's n-grams by order, at every place, and those places."""
-    words, lengths = _opened(row)
-    pairs, at = _pairs(words, lengths)
-    return [(words, np.arange(len(words))), (pairs, at)]
+    return _grams(*_opened(row), order)
 
 
 def _cuts(grams: np.ndarray, ranges: int) -> np.ndarray:
@@ -136,9 +154,11 @@ def _answered(requests: DataFrame) -> DataFrame:
         grams = [_unsteps(x) for x in table.column("grams").to_pylist()]
         counts = [_unplanes(x) for x in table.column("counts").to_pylist()]
         every, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate(counts), minlength=len(every)).astype(np.int64)[inverse]
+        summed = np.zeros(len(every), np.int64)
+        np.add.at(summed, inverse, np.concatenate(counts))
+        total = summed[inverse]
         edges = np.cumsum([len(g) for g in grams])[:-1]
-        answers = [_planes(np.minimum(part, (1 << 32) - 1)) for part in np.split(total, edges)]
+        answers = [_wide(part) for part in np.split(total, edges)]
         return pa.table(
             {"block_id": table.column("block_id"), "size": table.column("size"), "part": table.column("part"), "totals": pa.array(answers, pa.binary())}
         )
@@ -149,15 +169,16 @@ def _answered(requests: DataFrame) -> DataFrame:
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Rows (doc_id, n_words, n_backoff, log_prob)."""
     packed = blocks(docs, doc_id, text, settings)
-    sums = packed.agg(F.sum("n_words"), F.sum("n_different"), F.sum("n_pairs")).first()
+    order = settings.order
+    sums = packed.agg(F.sum("n_words"), *[F.sum(F.col("n_different")[k]) for k in range(order)]).first()
     n_words = sums[0] or 0
-    ranges = [int((sums[k] or 0) // settings.range_grams) + 1 for k in (1, 2)]
+    ranges = [int((sums[k + 1] or 0) // settings.range_grams) + 1 for k in range(order)]
 
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i].as_py() for k in ("block_id", "words", "lengths", "vocabulary")}
-                for size, (grams, _) in enumerate(_sides(row), 1):
+                for size, (grams, _) in enumerate(_sides(row, order), 1):
                     different, n = np.unique(grams, return_counts=True)
                     edges = _cuts(different, ranges[size - 1])
                     for part in range(ranges[size - 1]):
@@ -186,23 +207,27 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
             lengths = _unplanes(row["lengths"])
             owner = np.repeat(np.arange(len(lengths)), lengths)
             others = []
-            sides = _sides(row)
+            sides = _sides(row, order)
             for size, (grams, at) in enumerate(sides, 1):
                 different, inverse = np.unique(grams, return_inverse=True)
-                parts = [_unplanes(found[size, part]) for part in range(ranges[size - 1]) if (size, part) in found]
+                parts = [_unwide(found[size, part]) for part in range(ranges[size - 1]) if (size, part) in found]
                 total = np.concatenate([np.zeros(0, np.int64), *parts])[inverse]
                 # A document's own occurrences: equal (document, n-gram) pairs among the block's places.
                 both = owner[at].astype(np.int64) * (len(different) + 1) + inverse
                 _, back, n = np.unique(both, return_inverse=True, return_counts=True)
                 others.append(total - n[back])
-            words, pairs, at = others[0], others[1], sides[1][1]
             all_others = np.maximum(1, n_words - lengths)[owner].astype(float)
-            value = np.maximum(words, settings.unseen) / all_others
-            seen = pairs > 0
-            value[at] = np.where(seen, pairs / np.maximum(1, words[at - 1]), settings.alpha * value[at])
+            value = np.maximum(others[0], settings.unseen) / all_others
+            shorter, backoff = others[0], np.zeros(len(owner), np.int64)
+            for (_, at), longer in zip(sides[1:], others[1:], strict=True):
+                seen = longer > 0
+                value[at] = np.where(seen, longer / np.maximum(1, shorter[at - 1]), settings.alpha * value[at])
+                backoff[at] = np.where(seen, 0, backoff[at] + 1)
+                shorter = np.zeros(len(owner), np.int64)
+                shorter[at] = longer
             columns["doc_id"] += row["ids"]
             columns["n_words"] += lengths.tolist()
-            columns["n_backoff"] += np.bincount(owner[at][~seen], minlength=len(lengths)).tolist()
+            columns["n_backoff"] += wb.per_text(backoff, np.concatenate([[0], np.cumsum(lengths)])).tolist()
             columns["log_prob"] += np.bincount(owner, np.log(value), minlength=len(lengths)).tolist()
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_backoff": pa.int64(), "log_prob": pa.float64()}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})

@@ -13,6 +13,7 @@ htmltext        3  main text of pages by a tree-structured model
 warc            7  archives written, read and assembled into captures
 toolchat        6  tool calls linked, checked and serialised
 ngramlm         9  stupid-backoff language-model scores
+lexical        11  ranked lexical search by dense blocked products
 queries            one registered query for each of them
 """
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prefmill.llm import decontaminate, htmltext, langid, mixing, ngramlm, quality, simhash, toolchat, toxicity, warc
+from prefmill.llm import decontaminate, htmltext, langid, lexical, mixing, ngramlm, quality, simhash, toolchat, toxicity, warc
 from prefmill.llm.tables import cut, documents, fold
 from prefmill.session import scratch_path
 
@@ -166,6 +166,40 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs, quality.fit_references(docs))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP11_SQL = r"""
+WITH listed AS (
+  SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), wanted AS (
+  SELECT i, item_id, t, count(*) AS c FROM (
+    SELECT row_number() OVER () AS i, item_id,
+      unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)
+  ) GROUP BY i, item_id, t
+), sizes AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM listed WHERE len(ts) > 0
+), held AS (
+  SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(ts) AS t FROM listed) WHERE t IN (SELECT t FROM wanted) GROUP BY d, t
+), weighed AS (
+  SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM held, sizes GROUP BY t, n_docs
+), documented AS (
+  SELECT d, doc_id, 75 + (25 * len(ts) * n_docs) // n_terms AS m FROM listed, sizes WHERE len(ts) > 0
+), impacts AS (
+  SELECT h.d, t, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS part FROM held h JOIN documented USING (d) JOIN weighed USING (t)
+), scored AS (
+  SELECT i, item_id, doc_id, CAST(sum(c * part) AS BIGINT) AS score FROM impacts JOIN wanted USING (t) JOIN documented USING (d) GROUP BY i, item_id, d, doc_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -177,10 +211,11 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_lm_score": op9_lm_score,
     "op10_quality": op10_quality,
+    "op11_lexical": op11_lexical,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_tool_calls": OP6_SQL, "op9_lm_score": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_tool_calls": OP6_SQL, "op9_lm_score": OP9_SQL, "op11_lexical": OP11_SQL}
 
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -14,6 +14,7 @@ warc            7  archives written, read and assembled into captures
 toolchat        6  tool calls linked, checked and serialised
 ngramlm         9  stupid-backoff language-model scores
 lexical        11  ranked lexical search by dense blocked products
+alignment      12  tokens of two tokenizers aligned by composed fragments
 queries            one registered query for each of them
 """
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prefmill.llm import decontaminate, htmltext, langid, lexical, mixing, ngramlm, quality, simhash, toolchat, toxicity, warc
+from prefmill.llm import alignment, decontaminate, htmltext, langid, lexical, mixing, ngramlm, quality, simhash, toolchat, toxicity, warc
 from prefmill.llm.tables import cut, documents, fold
 from prefmill.session import scratch_path
 
@@ -200,6 +200,12 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    aligned = alignment.align(documents(spark, sf_dir)).select("*", digest).drop("groups")
+    return alignment.with_counts(aligned)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -212,6 +218,7 @@ QUERIES: dict[str, Query] = {
     "op9_lm_score": op9_lm_score,
     "op10_quality": op10_quality,
     "op11_lexical": op11_lexical,
+    "op12_alignment": op12_alignment,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -15,6 +15,7 @@ toolchat        6  tool calls linked, checked and serialised
 ngramlm         9  stupid-backoff language-model scores
 lexical        11  ranked lexical search by dense blocked products
 alignment      12  tokens of two tokenizers aligned by composed fragments
+partitions     13  nearest neighbours by learned partitions of a neighbour graph
 queries            one registered query for each of them
 """
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prefmill.llm import alignment, decontaminate, htmltext, langid, lexical, mixing, ngramlm, quality, simhash, toolchat, toxicity, warc
+from prefmill.llm import alignment, decontaminate, htmltext, langid, lexical, mixing, ngramlm, partitions, quality, simhash, toolchat, toxicity, warc
 from prefmill.llm.tables import cut, documents, fold
 from prefmill.session import scratch_path
 
@@ -206,6 +206,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.with_counts(aligned)
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partitions.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -219,6 +223,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
     "op11_lexical": op11_lexical,
     "op12_alignment": op12_alignment,
+    "op13_neighbours": op13_neighbours,
     "pipeline": corpus_pipeline.run,
 }
 

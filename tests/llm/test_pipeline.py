@@ -13,15 +13,23 @@ from prefmill.llm.queries import ORACLES, QUERIES
 from tests.llm.cases import SCHEMA, no_docs, odd_docs
 from tests.llm.test_decontaminate import brute as overlapping
 from tests.llm.test_mixing import drawn, shared
-from tests.llm.test_simhash import plain, reached
+from tests.llm.test_nearcopies import kept
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not here")
 
 
+#: More words than any item has.
+LONGEST = 80
+
+
+def words_of(text):
+    return re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text.lower())
+
+
 def test_registration():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "language", "near_duplicates", "decontamination", "mixing"]
 
@@ -45,13 +53,17 @@ def test_stages_equal_plain_versions(spark):
         elif name == "language":
             expected = {r["doc_id"] for r in langid.identify(docs, langid.fit(docs)).filter("NOT rejected").collect()}
         elif name == "near_duplicates":
-            expected = {i for i, root in reached({i: plain(r["text"]) for i, r in before.items()}).items() if i == root}
+            expected = kept({i: r["text"] for i, r in before.items()})
         elif name == "decontamination":
-            shingles = {tuple(ws[k : k + 5]) for _, t in bench for ws in [re.findall(r"\w+", t.lower())] for k in range(len(ws) - 4)}
-            # Only documents that share five words with an item can overlap it; the rest is held against the item in full.
-            near = [i for i, r in before.items() if any(tuple(ws[k : k + 5]) in shingles for ws in [re.findall(r"\w+", r["text"].lower())] for k in range(len(ws) - 4))]
-            expected = set(before) - {i for i, _ in overlapping([(i, before[i]["text"][:3000]) for i in near if len(before[i]["text"]) <= 3000], bench)}
-            expected -= {i for i in near if len(before[i]["text"]) > 3000 and i not in {r["doc_id"] for r in rows}}
+            # An overlap of four in five words holds five in a row here; around those places the text is held against every item.
+            shingles = {tuple(ws[k : k + 5]) for _, t in bench for ws in [words_of(t)] for k in range(len(ws) - 4)}
+            around = []
+            for i, r in before.items():
+                ws = words_of(r["text"])
+                places = [k for k in range(len(ws) - 4) if tuple(ws[k : k + 5]) in shingles]
+                around += [(i, " ".join(ws[max(0, k - LONGEST) : k + LONGEST])) for n, k in enumerate(places) if not n or k - places[n - 1] > 1]
+            assert max(len(words_of(t)) for _, t in bench) < LONGEST
+            expected = set(before) - {around[k][0] for k, _ in overlapping([(k, t) for k, (_, t) in enumerate(around)], bench)}
         else:
             sizes: dict = {}
             count = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for i, r in before.items()}

@@ -62,7 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _below_temp(path: str) -> bool:
     kind, _, place = path.rpartition(":")
-    return kind in ("", "file") and os.path.normpath("/" + place.lstrip("/")).startswith(tempfile.gettempdir() + "/")
+    own = os.path.normpath("/" + place.lstrip("/")) + "/"
+    return kind in ("", "file") and any(own.startswith(f"{t.rstrip('/')}/") for t in ("/tmp", "/var/tmp", tempfile.gettempdir()))
 
 
 def _scratch_root(spark: SparkSession) -> str:

@@ -258,7 +258,7 @@ def test_shared_dir_of_a_cluster(spark, monkeypatch):
             def getConf():
                 return {"spark.checkpoint.dir": Cluster.named}
 
-    for named, fine in (("hdfs:///shared", True), ("file:///mnt/shared", True), ("/tmp/x", False), ("file:/tmp/x", False)):
+    for named, fine in (("hdfs:///shared", True), ("file:///mnt/shared", True), ("/tmp/x", False), ("file:/tmp/x", False), ("file:///var/tmp/x", False), ("/tmpfoo/x", True)):
         Cluster.named = named
         if fine:
             assert shared_dir(Cluster) == named

@@ -20,7 +20,7 @@ from prefmill.operators.pairs import build_pairs
 from prefmill.operators.selection import train_test_split
 from prefmill.operators.taxonomy import combinations, taxonomy_from_table
 from prefmill.session import scratch_path
-from prefmill.sources import readers, writers
+from prefmill.sources import event_files, ledger, readers, writers
 from prefmill.sources.arrow_files import write_arrow
 from prefmill.streaming import follow, pairs_from_responses
 
@@ -246,6 +246,18 @@ def read_scalar_logs(spark, sf_dir):
     return readers.read_scalar_logs(spark, path, ["train/loss", "eval/loss"])
 
 
+@query(
+    "read_event_files",
+    """
+SELECT run, tag, step, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM fx_scalars WHERE tag IN ('train/loss', 'eval/loss')""",
+    ("fx_scalars",),
+)
+def read_event_files(spark, sf_dir):
+    path = scratch_path(spark, "events")
+    event_files.write_event_files(view(spark, sf_dir, "fx_scalars"), path)
+    return readers.read_scalar_logs(spark, path, ["train/loss", "eval/loss"], kind="events").drop("event_file")
+
+
 @query("unscored_only", "SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unscored_only(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -266,6 +278,29 @@ def score_incremental(spark, sf_dir):
     return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n_results"))
 
 
+def _sizes(df):
+    return df.withColumn("n_chars", F.length("text"))
+
+
+@query(
+    "score_changed",
+    """
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id IN (SELECT doc_id FROM labels) THEN 2 ELSE 1 END AS n_results,
+       CAST(length(text) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS INT) AS n_chars
+FROM documents""",
+)
+def score_changed(spark, sf_dir):
+    path = scratch_path(spark, "ledger")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    for rows in (labelled, changed, docs.filter("doc_id % 5 <> 0")):
+        ledger.score_changed(rows, path, ["doc_id"], ["text"], _sizes, buckets=8)
+    counted = ledger.results(spark, path).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_results"))
+    now = ledger.results_for(changed, path, ["doc_id"], ["text"], buckets=8).select("doc_id", "n_chars")
+    return now.join(counted, "doc_id")
+
+
 @query("stream_pairs", PAIRS, ("fx_code",))
 def stream_pairs(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_responses")

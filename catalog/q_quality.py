@@ -8,7 +8,9 @@ from catalog.inputs import table, view
 from catalog.registry import query, rounded
 from prefmill.functions.messages import as_messages
 from prefmill.operators import quality as Q
+from prefmill.operators import sketches
 from prefmill.operators.quantiles import box_summary, exact_quantiles
+from prefmill.session import scratch_path
 
 EXECUTIONS = """
 , truth AS (
@@ -176,6 +178,46 @@ def value_quantiles(spark, sf_dir):
     return rows.select(*by, *rounded("p01", "p50", "p999", digits=4))
 
 
+@query(
+    "value_quantiles_state",
+    """
+SELECT l_returnflag, count(*) AS n_rows, round(quantile_cont(l_extendedprice, 0.01), 4) AS p01, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50,
+       round(quantile_cont(l_extendedprice, 0.999), 4) AS p999, true AS near FROM lineitem GROUP BY ALL""",
+)
+def value_quantiles_state(spark, sf_dir):
+    path, by, probs = scratch_path(spark, "quantiles"), ["l_returnflag"], {"p01": 0.01, "p50": 0.5, "p999": 0.999}
+    rows = table(spark, sf_dir, "lineitem").withColumn("value", F.col("l_extendedprice").cast("double"))
+    for some in (rows.filter("l_linenumber < 4"), rows):
+        sketches.extend_quantiles(spark, some, path, "l_linenumber", by, "value")
+    state = spark.read.parquet(path)
+    exact = sketches.exact_from_state(rows, state, by, "value", probs)
+    # The state's own estimate lies between the exact values one rank error to each side.
+    error = sketches.rank_error()
+    ends = {f"{n}_{side}": min(1.0, max(0.0, p + sign * error)) for n, p in probs.items() for side, sign in (("low", -1), ("high", 1))}
+    around = sketches.exact_from_state(rows, state, by, "value", ends)
+    estimated = sketches.quantiles_from_state(state, by, probs).select(*by, "n_rows", *[F.col(n).alias(f"about_{n}") for n in probs])
+    near = F.lit(True)
+    for n in probs:
+        near = near & F.col(f"about_{n}").between(F.col(f"{n}_low"), F.col(f"{n}_high"))
+    return exact.join(estimated, by).join(around, by).select(*by, "n_rows", *rounded(*probs, digits=4), near.alias("near"))
+
+
+@query(
+    "dataset_card_state",
+    """
+SELECT l_returnflag, count(*) AS n_rows, true AS orders_near, true AS parts_near FROM lineitem GROUP BY ALL""",
+)
+def dataset_card_state(spark, sf_dir):
+    path, by, columns = scratch_path(spark, "card"), ["l_returnflag"], ("l_orderkey", "l_partkey")
+    rows = table(spark, sf_dir, "lineitem")
+    for some in (rows.filter("l_linenumber < 4"), rows):
+        sketches.extend_card(spark, some, path, "l_linenumber", by, columns)
+    card = sketches.card_from_state(spark.read.parquet(path), by, columns)
+    exact = rows.groupBy(*by).agg(*[F.count_distinct(c).alias(f"exact_{c}") for c in columns])
+    near = {c: F.abs(F.col(f"n_{c}s") - F.col(f"exact_{c}")) <= sketches.distinct_error() * F.col(f"exact_{c}") for c in columns}
+    return card.join(exact, by).select(*by, "n_rows", near["l_orderkey"].alias("orders_near"), near["l_partkey"].alias("parts_near"))
+
+
 @query("value_box", box_sql("l_returnflag", "(SELECT l_returnflag, l_extendedprice AS value FROM lineitem) s").strip())
 def value_box(spark, sf_dir):
     boxes = box_summary(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")

@@ -74,6 +74,17 @@ def series_sort(spark, sf_dir):
     return S.series_sort(points(spark, sf_dir))
 
 
+@query(
+    "series_index",
+    """
+SELECT run, event_file, tag, step, value, row_number() OVER (PARTITION BY run, tag ORDER BY step, event_file) AS series_index
+FROM fx_scalars""",
+    ("fx_scalars",),
+)
+def series_index(spark, sf_dir):
+    return S.series_index(points(spark, sf_dir))
+
+
 @query(
     "series_union",
     "SELECT run, event_file, tag, step, value FROM fx_scalars WHERE event_file IN ('file0', 'file1')",

@@ -79,15 +79,18 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], accuracy: int | None = None, whole: int = WHOLE
-) -> DataFrame:
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], accuracy: int | None = None, whole: int = WHOLE,
+    brackets: DataFrame | None = None,
+) -> DataFrame:
     """One column per named probability for each group, with linear interpolation between neighbouring values.
 
-    The table is read three times (its largest group is counted, sketch, ranks), so save what is costly to make.
+    The table is read three times (its largest group is counted, sketch, ranks), so save what is costly to make. Given
+    ``brackets`` (such as those of :mod:`prefmill.operators.sketches`) it is read once.
     """
     values = group_values(df, by, value)
     wanted = list(probs.values())
-    brackets = _brackets(values, by, wanted, accuracy or _accuracy(values, by), whole)
+    if brackets is None:
+        brackets = _brackets(values, by, wanted, accuracy or _accuracy(values, by), whole)
     placed = join_groups(values, brackets, by)
     places = range(len(wanted))
     inside = _any([F.col("v").between(F.get("_low", F.lit(i)), F.get("_high", F.lit(i))) for i in places])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefmill.operators.compare import join_registry
+from prefmill.session import saved
 
 # Plot titles and the log tags each one shows, for one run and for several runs.
 RUN_GROUPS = {
@@ -84,6 +85,26 @@ def series_sort(points: DataFrame, *more: str) -> DataFrame:
     return points.orderBy("run", "tag", "step", "event_file", *more)
 
 
+def series_index(points: DataFrame, by: Sequence[str] = ("run", "tag"), order: Sequence[str] = ("step", "event_file")) -> DataFrame:
+    """Each point's place in its series, from 1, as ``series_index``; null keys are a series like any other.
+
+    A segmented prefix sum: points are dealt by ranges of series and order (a hash of the whole point cuts ties) and saved in that order with
+    their place in the range. Only counts, a row for each range and series in it, are gathered and summed up; a
+    point's place is its place in the range plus the points of its series in earlier ranges. No task holds a series.
+    """
+    rest = F.xxhash64(*points.columns)
+    dealt = points.repartitionByRange(*by, *order, rest).sortWithinPartitions(*by, *order, rest)
+    dealt = saved(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)), "ranges")
+    counts = dealt.groupBy("_range", *by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    counts = counts.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_r_{c}") for c in by], "_first", "_before")
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return dealt.join(counts, same).select(*points.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("series_index"))
+
+
 def series_union(parts: Sequence[DataFrame]) -> DataFrame:
     """The points of several event files as one table."""
     out = parts[0]

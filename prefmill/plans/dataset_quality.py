@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prefmill.operators.quality import category_box, category_columns, category_means, score_pairs, side_box, side_means
 from prefmill.operators.selection import first_n
-from prefmill.session import exists
+from prefmill.sources import ledger
 from prefmill.sources.readers import read_split
-from prefmill.sources.writers import score_incremental
 
 
 def dataset_quality(
@@ -22,18 +21,18 @@ def dataset_quality(
     num_examples: int | None = None,
     categories: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Score the rows without a result, append them to ``out`` and return the summaries.
+    """Score new and changed rows, add them to the ledger below ``out`` and return the summaries of the dataset as it is now.
 
-    The summaries read the saved scores, so the parser runs once per row however many summaries are
+    The summaries read the saved scores, so the parser runs once per row and content however many summaries are
     used. ``num_examples`` cuts to the first rows by key, before scoring.
     """
     pairs = read_split(spark, address, split)
     if num_examples:
         pairs = first_n(pairs, num_examples, key)
     path = f"{out}/scored"
-    earlier = spark.read.parquet(path) if exists(spark, path) else None
-    score_incremental(pairs, earlier, key, score_pairs, path)
-    scored = spark.read.parquet(path)
+    content = [c for c in pairs.columns if c not in key]
+    ledger.score_changed(pairs, path, key, content, score_pairs)
+    scored = ledger.results_for(pairs, path, key, content)
     names = list(categories or category_columns(scored, exclude=[*key, "split"]))
     return {
         "scored": scored,

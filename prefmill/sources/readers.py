@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +18,7 @@ from prefmill import schemas
 from prefmill.operators.selection import row_hash
 from prefmill.session import exists, saved
 from prefmill.sources.arrow_files import DATA_FILES, arrow_files, opened, read_arrow, rows_of
+from prefmill.sources.event_files import read_event_files
 
 # Folder names of generated shards and the split names that are tried.
 SHARD_GLOB = "gen_data_[0-9]*/dataset"
@@ -271,17 +273,19 @@ def unread_results(spark: SparkSession, paths: Mapping[str, tuple[str, str]]) ->
 def read_scalar_logs(
     spark: SparkSession, path: str | Sequence[str], tags: Sequence[str] | None = None, kind: str = "parquet"
 ) -> DataFrame:
-    """Scalar points of training logs (parquet, JSON or CSV), cut to the wanted tags at the scan.
+    """Scalar points of training logs (parquet, JSON, CSV or binary event files), cut to the wanted tags at the scan.
 
     Points without a ``run`` get the name of the folder their file lies in, those without an ``event_file``
     the name of the file. Paths that are not there are left out; :func:`missing_paths` names them.
     """
-    if kind not in ("parquet", "json", "csv"):
+    if kind not in ("parquet", "json", "csv", "events"):
         raise ValueError(f"unknown log format {kind!r}")
     given = [path] if isinstance(path, str) else list(path)
     there = [p for p in given if exists(spark, p)]
     if not there:
         return spark.createDataFrame([], schemas.SCALARS)
+    if kind == "events":
+        return reduce(DataFrame.unionByName, [read_event_files(spark, p, tags) for p in there])
     reader = spark.read.schema(schemas.SCALARS).format(kind)
     points = reader.option("header", "true").load(there)
     if tags is not None:

@@ -36,6 +36,8 @@ from prefmill.llm.tables import map_batches
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.S
 )
+#: What markup there can be after the last ``>`` of a page.
+_UNENDED = re.compile(r"<!--.*\Z|<[!?][^>]*+\Z", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label|data-y|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])", re.I)
 _UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
@@ -84,9 +86,29 @@ def _marks_of(kind: str, word: str) -> tuple[str, ...]:
     return found
 
 
-def _in_foreign(stack: list[tuple[str, int]]) -> bool:
-    """Whether the innermost element that decides it is foreign markup."""
-    return next((name in FOREIGN for name, _ in reversed(stack) if name in FOREIGN or name in _ORDINARY), False)
+class _Open:
+    """Open elements, outermost first, and at which depths each name is open; the innermost of some names is found without a search."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("#page", 0)]
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, name: str, node: int) -> None:
+        self.depths.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, node))
+
+    def pop(self) -> tuple[str, int]:
+        name, node = self.stack.pop()
+        self.depths[name].pop()
+        return name, node
+
+    def innermost(self, *names: str) -> int:
+        """The depth of the innermost open element of these names; 0 if there is none."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def in_foreign(self) -> bool:
+        """Whether the innermost element that decides it is foreign markup."""
+        return self.innermost(*FOREIGN) > self.innermost(*_ORDINARY)
 
 
 class Page:
@@ -99,52 +121,51 @@ class Page:
         self._parse(html)
 
     def _parse(self, html: str) -> None:
-        stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the nodes their text belongs to
+        open_ = _Open()
+        stack = open_.stack  # open elements and the nodes their text belongs to
         unread = anchors = 0
         at, n = 0, len(html)
+        last = html.rfind(">")  # no tag ends after it, so none is looked for there
         while at < n:
-            found = _MARKUP.search(html, at)
+            found = (_MARKUP if at <= last else _UNENDED).search(html, at)
             start = found.start() if found else n
             if unread and start > at and stack[-1][0] == "head" and html[at:start].strip():
-                unread, anchors = self._close(stack, len(stack) - 1, unread, anchors)
+                unread, anchors = self._close(open_, len(stack) - 1, unread, anchors)
             if start > at and not unread:
                 self._text(stack[-1][1], html[at:start], anchors > 0)
             if not found:
                 break
             at = found.end()
-            name = (found[2] or "").lower()
+            name = (found[2] or "").lower() if found.re is _MARKUP else ""
             if not name:
                 continue
             if found[1]:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+                depth = open_.innermost(name)
                 if depth:
-                    unread, anchors = self._close(stack, depth, unread, anchors)
+                    unread, anchors = self._close(open_, depth, unread, anchors)
                 elif name in ("p", "br"):
                     self._gap(stack[-1][1])
                 continue
             if unread and name not in IN_HEAD:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "head"), 0)
-                if depth and (name == "body" or not any(stack[k][0] in ("template", "noscript") for k in range(depth, len(stack)))):
-                    unread, anchors = self._close(stack, depth, unread, anchors)
+                depth = open_.innermost("head")
+                if depth and (name == "body" or open_.innermost("template", "noscript") < depth):
+                    unread, anchors = self._close(open_, depth, unread, anchors)
             if name in CLOSES_P:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-                if depth and not any(stack[k][0] in ("td", "th", "button", "object") for k in range(depth, len(stack))):
-                    unread, anchors = self._close(stack, depth, unread, anchors)
+                depth = open_.innermost("p")
+                if depth and open_.innermost("td", "th", "button", "object") < depth:
+                    unread, anchors = self._close(open_, depth, unread, anchors)
             if name in SIBLINGS:
                 same, within = SIBLINGS[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in within:
+                while (depth := open_.innermost(*same)) > open_.innermost(*within):
+                    unread, anchors = self._close(open_, depth, unread, anchors)
+                    if name != "tr":
                         break
-                    if stack[k][0] in same:
-                        unread, anchors = self._close(stack, k, unread, anchors)
-                        if name != "tr":
-                            break
             if name in VOID:
                 if name in ("br", "hr"):
                     self._gap(stack[-1][1])
                 continue
             attributes = found[3]
-            if attributes.endswith("/") and (name in FOREIGN or (unread and _in_foreign(stack))) and not _SLASH_OF_VALUE.search(attributes):
+            if attributes.endswith("/") and (name in FOREIGN or (unread and open_.in_foreign())) and not _SLASH_OF_VALUE.search(attributes):
                 continue
             if name in RAW:
                 end = _RAW_END[name].search(html, at)
@@ -156,15 +177,16 @@ class Page:
                 if name not in INLINE:
                     self._gap(node)
                 node = self._node(node, name, attributes)
-            stack.append((name, node))
+            open_.push(name, node)
 
-    def _close(self, stack: list[tuple[str, int]], depth: int, unread: int, anchors: int) -> tuple[int, int]:
-        for name, node in stack[depth:]:
+    def _close(self, open_: _Open, depth: int, unread: int, anchors: int) -> tuple[int, int]:
+        for name, node in open_.stack[depth:]:
             unread -= name in UNREAD
             anchors -= name == "a"
             if name not in INLINE:
                 self._gap(node)
-        del stack[depth:]
+        while len(open_.stack) > depth:
+            open_.pop()
         return unread, anchors
 
     def _node(self, parent: int, tag: str, attributes: str) -> int:

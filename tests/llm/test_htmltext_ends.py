@@ -38,3 +38,23 @@ def test_foreign_elements_closed_by_a_slash_swallow_nothing():
 
 def test_raw_text_ends_only_at_its_own_name():
     assert read("<p>one <script>'</scripts>' <b>lost</b></script> two") == "one two"
+
+
+HOSTILE = {
+    "nested": "<div>" * 200_000, "stray ends": "<div></span>" * 80_000, "no end": "<a " * 330_000, "cells": "<p><td>" * 140_000, "lists": "<ul><li>" * 120_000,
+    "open quotes": '<a =" ' * 160_000, "foreign": "<svg><g/>" * 110_000, "brackets": "<" * 1_000_000, "comments": "<!-" * 300_000, "quotes": "<a b='" * 160_000 + ">",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_a_megabyte_of_anything_takes_linear_time(name):
+    import time
+
+    html = HOSTILE[name]
+
+    def took(page):
+        start = time.process_time()
+        htmltext.Page(page)
+        return time.process_time() - start
+
+    assert took(html) < 8 * took(html[: len(html) // 4]) + 1

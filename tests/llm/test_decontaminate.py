@@ -10,7 +10,9 @@ from tests.llm.cases import no_docs, odd_docs, odd_rows, words
 
 
 def tokens(text):
-    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+    """Thai, Lao, kana and Han characters are words of their own; common punctuation beyond ASCII is none."""
+    alone, mark = "\u0e00-\u0eff\u3040-\u9fff", "\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20"
+    return re.findall(f"[{alone}]|(?:(?![{alone}{mark}])[0-9a-z\x80-\U0010ffff])+", (text or "").lower())
 
 
 def best(equal):
@@ -98,3 +100,27 @@ def test_odd_rows_and_empty_tables(spark):
     assert decontaminate.contaminated(no_docs(spark), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.decontaminated(docs, bench.limit(0)).count() == len(odd_rows())
+
+
+@pytest.mark.parametrize("text", ["中文字a b文。末 x", "ไทย ภาษา", "“quoted” words—dash", "a　b，c１２", "жук müß", "中", "", "…", "a中", "中a", "あいう カナ、한국어", "ﬁ⁰ ʰ"])
+def test_words_of_scripts_without_spaces(text):
+    parts = list(decontaminate.wb.slices(decontaminate._lowered(decontaminate.pa.array([text, "x", text]))))
+    counts = [np.diff(decontaminate._words(p)[1]).tolist() for p in parts]
+    assert sum(counts, []) == [len(tokens(text)), 1, len(tokens(text))]
+
+
+def test_items_without_spaces_are_found(spark):
+    item = "敏捷的棕色狐狸跳过了懒惰的狗然后回家"
+    docs = spark.createDataFrame([(1, f"前言。{item}，后记"), (2, "敏捷的狗"), (3, f"x {item[:14]} y")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = {(r["doc_id"], r["n_equal"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert found == {(1, len(item)), (3, 14)}
+
+
+def test_a_repeated_word_costs_no_more_than_the_text(spark):
+    items = spark.createDataFrame([(1, "x " * 200)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " * 20_000), (2, "y " * 20_000)], "doc_id long, text string")
+    assert [(r["doc_id"], r["n_equal"]) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 200)]
+    seeds = decontaminate._table([np.zeros(200, np.uint64)])
+    part = decontaminate.wb.Texts(0, np.frombuffer(b"x " * 3000, np.uint8), np.array([0, 6000]))
+    assert len(decontaminate._different(*np.zeros((3, 10**6), np.int64))) == 1 and decontaminate.overlaps(part, seeds) == []

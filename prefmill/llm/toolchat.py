@@ -227,11 +227,19 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]
             if row["n_calls"]:
                 line |= {"name": row["name"], "arguments": row["arguments"]}
                 try:
-                    line["arguments"] = value = parsed(row["arguments"] or "")
+                    value = parsed(row["arguments"] or "")
+                    canonical(value).encode()
                     schema = schemas.get(row["name"])
                     found += ["no schema"] if schema is None else faults(value, schema)
-                except (ValueError, RecursionError) as error:
-                    found.append("arguments: not JSON" if isinstance(error, json.JSONDecodeError) else f"arguments: {error}")
+                    line["arguments"] = value
+                except json.JSONDecodeError:
+                    found.append("arguments: not JSON")
+                except RecursionError:
+                    found.append("arguments: nested too deep")
+                except UnicodeEncodeError:
+                    found.append("arguments: half a surrogate pair")
+                except (ValueError, OverflowError) as error:
+                    found.append(f"arguments: {'a number out of range' if isinstance(error, OverflowError) else error}")
                 if row["missing"]:
                     found.append("missing dependency")
                 if row["step"] is None and row["state"] != "unidentified":
@@ -251,7 +259,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, Any]
 def turns_as_calls(conversations: DataFrame, tool: str = "reply") -> tuple[DataFrame, DataFrame]:
     """Plain conversations seen as tool use: a user's turn calls ``tool`` with its text, the assistant's next turn is the result.
 
-    A call's id is its turn; it depends on the call two turns earlier, if there is one.
+    A call's id is its turn; it depends on the call two turns earlier, if there is one. Turns of other roles (``system``)
+    neither call nor answer and have no row.
     """
     turn = F.col("turn").cast("long")
     calls = conversations.filter("role = 'user'").select(

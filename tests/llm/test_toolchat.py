@@ -123,3 +123,13 @@ def test_conversations_as_calls(spark):
     got = {(r["conv_id"], r["call_id"]): r for r in toolchat.link(calls, results, {"reply": {"type": "object"}}).collect()}
     assert got["1", "t1"]["state"] == "answered" and got["1", "t3"]["step"] == 1 and got["2", "t-1"]["state"] == "orphan"
     assert got[None, "t0"]["state"] == "unidentified"
+
+
+def test_arguments_that_cannot_be_written_are_errors_of_their_row(spark):
+    texts = {"deep": "[" * 2000 + "]" * 2000, "half": r'{"a": "\ud800"}', "large": "1" * 401, "digits": "1" * 5000, "fine": "[1]"}
+    calls = spark.createDataFrame([("c", k, i, "f", t, []) for i, (k, t) in enumerate(texts.items())], "conv_id string, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id string, call_id string, turn long, content string")
+    rows = {r["call_id"]: r for r in toolchat.link(calls, results, {"f": {}}).collect()}
+    assert rows["deep"]["errors"] == ["arguments: nested too deep"] and rows["half"]["errors"] == ["arguments: half a surrogate pair"]
+    assert rows["large"]["errors"] == ["arguments: a number out of range"] and len(rows["digits"]["errors"]) == 1 and rows["fine"]["errors"] == []
+    assert all(json.loads(rows[k]["json"])["arguments"] == t for k, t in texts.items() if k != "fine")

@@ -27,9 +27,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number from 0 up to 1: the first 52 bits of the MD5 of id and seed, which any SQL engine can repeat."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")))
+def draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number from 0 up to 1: the first 52 bits of the MD5 of id and seed, which any SQL engine can repeat.
+
+    The text's MD5 stands in for a null id. Rows of one id, and rows without an id that hold equal texts, draw one number.
+    """
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.md5(text), F.lit("")), F.lit(f":{seed}")))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -100,7 +103,7 @@ def _marked(
     sized = docs.withColumn(names["size"], word_count(F.col(text)))
     joined = sized.join(right, F.col(source).eqNullSafe(F.col(key))).drop(key)
     rate = F.col(names["rate"])
-    more = (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")
+    more = (draw(F.col(doc_id), F.col(text), seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn(names["copies"], F.floor(rate) + more)
 
 

@@ -38,7 +38,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, md5(text) AS text_md5, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
 ), sums AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -57,7 +57,7 @@ WITH sized AS (
   FROM weighed, shared
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(size * (floor(rate) + CASE WHEN ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':41'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE
+  CAST(size * (floor(rate) + CASE WHEN ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text_md5, '') || ':41'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE
     < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 """

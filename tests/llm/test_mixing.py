@@ -81,3 +81,9 @@ def test_odd_rows_and_empty_tables(spark):
     assert mixing.copies(no_docs(spark)).count() == 0 and mixing.mixed(no_docs(spark)).count() == 0
     empty = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [(r["target"], r["copies"]) for r in mixing.copies(empty).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    docs = spark.createDataFrame([(None, f"{'a ' * 10}{k}", "s") for k in range(1000)] + [(k, "b " * 15, "t") for k in range(1000)], "doc_id long, text string, source string")
+    by_source = {r["source"]: r for r in mixing.copies(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target")).collect()}
+    assert all(abs(r["taken"] / r["target"] - 1) < 0.06 for r in by_source.values())

@@ -157,6 +157,11 @@ def _cluster(points: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centres[size >= max(1, len(points) // 20)]
 
 
+#: Documents of a language that clustering sees at least, on average; with more than ``most`` / ``LEAST_EACH`` languages,
+#: those with most documents are learned.
+LEAST_EACH = 8
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Learn from all given documents that name a language.
 
@@ -198,12 +203,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     by_bucket = {r["bucket"]: r["n"] for r in seen}
     total = by_bucket.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + by_bucket.get(b, 0))) + 0.1 for b in range(dims)], np.float32)
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang")
+    sizes = counted.limit(max(1, settings.most // LEAST_EACH)).collect()
     each = min(settings.sample, settings.most // max(1, len(sizes)))
-    share = F.lit(0.0)
-    for code, n in sizes.items():
-        share = F.when(F.col("lang") == code, min(1.0, each / n)).otherwise(share)
-    picked = known.filter(unit(F.col("k"), seed=settings.seed) < share)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in sizes], "lang string, share double")
+    picked = known.join(F.broadcast(shares), "lang").filter(unit(F.col("k"), seed=settings.seed) < F.col("share"))
     rows = picked.select("text", "lang", "k").repartition(F.col("k")).select("text", "lang").mapInArrow(sampled, "lang string, v binary").collect()
     langs, centres = [], []
     for code in sorted({r["lang"] for r in rows}):

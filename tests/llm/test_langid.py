@@ -1,3 +1,4 @@
+import dataclasses
 import random
 from pathlib import Path
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prefmill.llm import langid
 from prefmill.llm.queries import op2_language
-from tests.llm.cases import no_docs, odd_docs
+from tests.llm.cases import no_docs, odd_docs, words
 
 LETTERS = {"aa": "abcdefg hij", "bb": "klmnop qrs", "cc": "жзийклм ноп"}
 
@@ -61,3 +62,15 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     rows = op2_language(spark, "/root/testdata/sf0.01").join(docs, "doc_id").filter("held_out").collect()
     assert len(rows) > 250 and sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) > 0.97
+
+
+def test_more_languages_than_are_learned(spark):
+    """The languages with most documents are learned; a column full of odd codes does not empty the model."""
+    rows = [(k, words(k % 7, 40), "en") for k in range(60)] + [(100 + k, "слово дело жизнь " * 10, "ru") for k in range(60)]
+    rows += [(1000 + k, words(k, 5), f"x{k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    settings = dataclasses.replace(langid.Settings(), most=80)
+    model = langid.fit(docs, settings=settings)
+    assert {"en", "ru"} <= set(model.langs) and len(set(model.langs)) <= 10
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs.filter("doc_id >= 100 AND doc_id < 160"), model).collect()}
+    assert set(found.values()) == {"ru"}

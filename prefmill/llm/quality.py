@@ -56,8 +56,10 @@ class Rules:
     min_common_words: int = 60
     class_distance: float = 0.30
     word_distance: float = 0.30
-    #: How many times the divergence expected by chance is forgiven.
+    #: How many times the divergence of classes expected by chance is forgiven.
     chance: float = 3.0
+    #: How many standard deviations of the words' divergence by chance are forgiven.
+    spread: float = 3.0
 
 
 @dataclass(frozen=True)
@@ -241,7 +243,9 @@ def measure(part: wb.Texts, refs: References, rules: Rules) -> dict[str, np.ndar
         d_word = divergence(by_word / np.maximum(1, n_bare)[:, None], share)
         far_class[:, k], far_word[:, k] = np.sqrt(d_class), np.sqrt(d_word)
         limit_class = rules.class_distance**2 + rules.chance * _chance(CLASSES, n_class)
-        limit_word = rules.word_distance**2 + rules.chance * _chance(len(share), n_bare)
+        # Twice a divergence by chance, times the words, is spread like chi-square: its deviation is its mean times the root of 2 / (bins - 1).
+        by_chance = _chance(len(share), n_bare)
+        limit_word = np.maximum(rules.word_distance**2, by_chance) + rules.spread * by_chance * np.sqrt(2 / max(1, len(share) - 1))
         over[:, k] = np.maximum(
             np.where(n_class >= rules.min_class_chars, d_class / limit_class, 0),
             np.where(n_bare >= rules.min_common_words, d_word / limit_word, 0),

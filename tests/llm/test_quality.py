@@ -1,5 +1,7 @@
+import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -101,3 +103,17 @@ def test_slices_cover_the_batch():
     for limit in (1, 10, 1000):
         parts = list(wb.slices(column, limit))
         assert [p.text(i).decode() for p in parts for i in range(len(p))] == ["ab", "", "", "c" * 50, "é d"]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="test tables are not here")
+def test_short_gibberish_goes_and_good_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    refs = quality.fit_references(docs)
+    r = random.Random(1)
+    for n in (60, 100, 200):
+        texts = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 9))) for _ in range(n)) for _ in range(50)]
+        kept = quality.quality_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), refs).filter("kept").count()
+        assert kept <= (5 if n == 60 else 1), n
+    good = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality = 1")
+    report = quality.quality_report(docs, refs).join(good, "doc_id")
+    assert report.filter("NOT base_failed AND NOT kept").count() <= 0.01 * report.count()

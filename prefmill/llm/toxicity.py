@@ -8,7 +8,8 @@ labelled words by gradient ascent; forward-backward gives each word's
 marginal; the marginals of a whole text give its score (a logistic curve of the largest and of their sum) and
 the character offsets of its toxic words.
 
-Fitting sees a bounded sample of labelled documents and of windows (``fit_docs``, ``fit_windows``, chosen by hash). Scoring runs over whole
+Fitting sees a bounded sample of labelled documents and of windows (``fit_docs``, ``fit_windows``, chosen by hash; a text
+without a known feature teaches the 16 words in its middle); equal windows are counted in Spark. Scoring runs over whole
 texts where they lie: words without a known feature all have the same potentials, so a run of them is one power
 of a two-by-two matrix, and only the other words take a step.
 
@@ -306,16 +307,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     own = ids[bounds[i] : bounds[i + 1]]
                     for low, high in _windows(own.any(1), settings.window):
                         rows.append((marks[part.first + i], own[low:high].astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["toxic", "ids"])
+            rows = [(m, b, xxhash.xxh64_intdigest(b) - (1 << 63)) for m, b in rows if b]
+            columns = zip(*rows, strict=True) if rows else ([], [], [])
+            kinds = (pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["toxic", "ids", "place"])
 
     width = 1 + len(PREFIXES)
-    rows = sample.mapInArrow(sequences, "toxic int, ids binary").collect()
-    alike: dict[tuple[int, bytes], int] = {}
-    for r in rows:
-        if r["ids"]:
-            alike[r["toxic"], bytes(r["ids"])] = alike.get((r["toxic"], bytes(r["ids"])), 0) + 1
-    cutout = sorted(alike, key=lambda x: (xxhash.xxh64_intdigest(x[1]), x))[: settings.fit_windows]
-    times = np.array([alike[x] for x in cutout], float)
+    alike = sample.mapInArrow(sequences, "toxic int, ids binary, place long").groupBy("place", "toxic", "ids").agg(F.count(F.lit(1)).alias("n"))
+    first = alike.orderBy("place", "toxic", "ids").limit(settings.fit_windows).collect()
+    cutout = [(r["toxic"], bytes(r["ids"])) for r in first]
+    times = np.array([r["n"] for r in first], float)
     lengths = [len(b) // (4 * width) for _, b in cutout]
     ids = np.zeros((len(cutout), max(lengths), width), np.int64)
     valid = np.zeros(ids.shape[:2], bool)

@@ -8,6 +8,7 @@ from catalog.inputs import table, view
 from catalog.registry import query, rounded
 from prefmill.functions import codescore as S
 from prefmill.functions import codetext as C
+from prefmill.functions import table_functions
 from prefmill.functions.vectors import cosine_similarity
 from prefmill.operators.evaluation import similarity_mean
 
@@ -34,6 +35,29 @@ def extract_fences(spark, sf_dir):
     return rows.select("example_id", F.size("f").alias("n"), F.array_join("f", "|").alias("bodies"))
 
 
+@query(
+    "sql_code_fences",
+    blocks_sql("SELECT example_id, CAST(unnest(range(1, len(fences) + 1)) AS INT) AS n, unnest(fences) AS block FROM blocks"),
+    ("fx_predictions",),
+)
+def sql_code_fences(spark, sf_dir):
+    table_functions.register(spark)
+    answers = view(spark, sf_dir, "fx_predictions")
+    return spark.sql("SELECT example_id, f.n, f.block FROM {answers}, LATERAL code_fences(generated_text) AS f", answers=answers)
+
+
+@query(
+    "sql_text_lines",
+    """
+SELECT doc_id, CAST(unnest(range(1, len(lines) + 1)) AS INT) AS n, CAST(length(unnest(lines)) AS INT) AS n_chars
+FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)""",
+)
+def sql_text_lines(spark, sf_dir):
+    table_functions.register(spark)
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql("SELECT doc_id, f.n, length(f.line) AS n_chars FROM {docs}, LATERAL text_lines(text) AS f", docs=docs)
+
+
 def blocks(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_predictions").select("example_id", "generated_text")
     return rows.select("example_id", S.extract_code(F.col("generated_text")).alias("b"))

@@ -11,6 +11,8 @@ from catalog.inputs import view
 from catalog.registry import query, rounded
 from prefmill.functions.codescore import CODE_METRICS
 from prefmill.operators import evaluation as E
+from prefmill.session import scratch_path
+from prefmill.streaming.evaluation import follow_evaluation, followed_summary
 
 MEANS = ", ".join(f"round({m}, 6) AS {m}" for m in CODE_METRICS)
 
@@ -83,6 +85,19 @@ def eval_by_prompt_type(spark, sf_dir):
     return E.eval_by_prompt_type(scored(spark, sf_dir)).select("prompt_type", "metric", *rounded("value"))
 
 
+@query(
+    "stream_evaluation",
+    summary_sql("prompt_type, ", "GROUP BY prompt_type") + "\nUNION ALL " + summary_sql("CAST(NULL AS VARCHAR) AS prompt_type, "),
+    ("fx_row_means",),
+)
+def stream_evaluation(spark, sf_dir):
+    source, target, checkpoint = (scratch_path(spark, f"evaluated-{n}") for n in ("in", "out", "checkpoint"))
+    scored(spark, sf_dir).repartition(6).write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    follow_evaluation(spark, source, schema, lambda rows: rows, target, checkpoint, files_per_trigger=2).awaitTermination()
+    return followed_summary(spark, target).select("prompt_type", "metric", *rounded("value"))
+
+
 @query(
     "eval_summary",
     summary_sql("prompt_type, ", "GROUP BY prompt_type") + "\nUNION ALL " + summary_sql("CAST(NULL AS VARCHAR) AS prompt_type, "),

@@ -1,0 +1,24 @@
+"""Operators by their SQL names give what the DataFrame calls give."""
+
+from pyspark.sql import functions as F
+
+from prefmill.functions import codescore, codetext, table_functions
+
+TEXTS = ["a ```python\nx = 1\n``` b ```\ny\n```", None, "def f(a: int) -> int:\n    return a", "", "```\n'\\n'\n```", "x ="]
+
+
+def test_sql_equals_the_dataframe(spark):
+    table_functions.register(spark)
+    table_functions.register(spark)
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+    rows.createOrReplaceTempView("answers_under_test")
+    by_name = spark.sql("SELECT id, f.n, f.block FROM answers_under_test, LATERAL code_fences(text) AS f")
+    fences = rows.select("id", F.posexplode(codetext.extract_fences(F.col("text"))).alias("n", "block")).withColumn("n", F.col("n") + 1)
+    assert by_name.dtypes == [("id", "int"), ("n", "int"), ("block", "string")]
+    assert sorted(map(tuple, by_name.collect())) == sorted(map(tuple, fences.collect())) and by_name.count() == 3
+    assert "Python" not in by_name._jdf.queryExecution().executedPlan().toString()
+    scores = spark.sql("SELECT id, code_scores(text) AS s, is_python(text) AS p FROM answers_under_test ORDER BY id").collect()
+    plain = rows.select("id", codescore.ast_scores("text").alias("s"), codescore.is_valid_python("text").alias("p")).orderBy("id").collect()
+    assert scores == plain and [r["p"] for r in scores] == [False, None, True, True, False, False]
+    lines = spark.sql("SELECT id, count(*) AS n FROM answers_under_test, LATERAL text_lines(text) GROUP BY id")
+    assert {r["id"]: r["n"] for r in lines.collect()} == {i: t.count("\n") + 1 for i, t in enumerate(TEXTS) if t is not None}

@@ -10,6 +10,6 @@ from catalog import (  # noqa: F401,E402  (registers the queries)
     q_pairs,
     q_quality,
     q_series,
-    q_shapes,
+    q_shapes, q_splits,
     q_taxonomy,
 )

@@ -14,9 +14,11 @@ from prefmill.operators import pairs as X
 from prefmill.operators import responses as R
 from prefmill.operators.batch import embed_batch, generate_batch, tokenize_with
 from prefmill.operators.evaluation import drop_null_prompt, prepare_prompts
+from prefmill.operators.journal import ask, generate_resumable
 from prefmill.operators.prompts import sft_text
 from prefmill.operators.quality import require_columns
 from prefmill.plans.finetune_data import sft_tokens
+from prefmill.session import scratch_path
 
 TOKEN_SQL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0B\f\r]"
 
@@ -346,6 +348,21 @@ def generate(spark, sf_dir):
     return generate_batch(rows, "prompt_text", echo_loader).drop("prompt_text")
 
 
+@query(
+    "generate_resumable",
+    """
+SELECT conv_id, turn, CASE WHEN contains(prompt_text, 'die') THEN NULL ELSE replace(prompt_text, 'e', 'E') END AS response,
+       CASE WHEN contains(prompt_text, 'die') THEN 'refused' END AS error FROM fx_text_pairs""",
+    ("fx_text_pairs",),
+)
+def generate_again(spark, sf_dir):
+    """The prompts of one domain first, as a run that stopped there, then all."""
+    path = scratch_path(spark, "journal")
+    rows = view(spark, sf_dir, "fx_text_pairs").withColumn("request", F.concat_ws("/", "conv_id", "turn"))
+    ask(rows.filter("domain = 'conv0'"), "prompt_text", echo_loader, path, "request")
+    return generate_resumable(rows, "prompt_text", echo_loader, path, "request").select("conv_id", "turn", "response", "error")
+
+
 def shape_loader():
     """A stand-in embedder: text length and number of blanks."""
     return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]

@@ -117,6 +117,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP7_SQL = """
+WITH hashed AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, md5(coalesce(html, '')) AS m FROM pages
+), spelled AS (
+  SELECT *, array_to_string(list_transform(range(32),
+      lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, CAST(1 + 10 * (i // 8) AS INT), 10))::BIGINT >> CAST(35 - 5 * (i % 8) AS INT)) & 31) + 1, 1)), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY h, m, payload_bytes) AS last
+  FROM hashed
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM spelled
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -227,7 +242,7 @@ QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_tool_calls": OP6_SQL, "op9_lm_score": OP9_SQL, "op11_lexical": OP11_SQL}
+ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op6_tool_calls": OP6_SQL, "op7_warc": OP7_SQL, "op9_lm_score": OP9_SQL, "op11_lexical": OP11_SQL}
 
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -6,11 +6,15 @@ scores count(n-gram) / count(n-gram without the word), for the longest n-gram of
 unseen, ``alpha`` times what the next shorter one gives, and at last the word's share of all words; an unseen
 word counts as half an occurrence. The logarithms are summed per document; ``n_backoff`` counts the steps down.
 
-Size. Documents are packed into blocks of about ``block_words`` words. Each block asks for its different n-grams
-once, sorted by hash and cut into ranges; all blocks' requests for a range meet in one task, which adds up the
-count table of that range and answers each block. So an n-gram that a third of all words make up is one entry a
-block, a range holds about ``range_grams`` entries at any corpus size, and nothing is broadcast. Blocks then
-look up their own documents' n-grams in the answers.
+Tables. Documents lie in blocks of about ``block_words`` words, so that an n-gram is exploded once a block, with its
+number there, not once an occurrence: :func:`exploded`. Those rows are partitioned by the n-gram's hash; one exchange
+serves both the count table (:func:`totals`, hash and sum over all blocks) and its join back to the exploded rows. What
+a block holds alone it knows itself, so only larger totals go back to their block, where they are subtracted, chosen and
+summed per document.
+
+Size. A hot n-gram has one row a block, so no hash holds more than its share of one block's different n-grams;
+partitions hold about ``part_rows`` rows at any corpus size; a block's words and answers are bounded by
+``block_words`` or its longest document. Nothing is broadcast or gathered.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, in lower case. N-grams are told
 apart by 64-bit hashes.
@@ -21,6 +25,7 @@ of their own. Null ids are kept. Empty tables give an empty result. Other column
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,50 +37,27 @@ from prefmill.llm import wordbytes as wb
 from prefmill.llm.tables import bounded_batches, cut
 
 SCHEMA = "doc_id long, n_words long, n_backoff long, log_prob double"
+BLOCKS = "n_words long, ids array<long>, lengths array<int>, words array<int>, vocabulary array<long>"
+#: Rows of one Arrow batch of exploded n-grams.
+_BATCH = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    order: int = 2
+    order: int = 3
     alpha: float = 0.4
     unseen: float = 0.5
     block_words: int = 1_000_000
-    range_grams: int = 500_000
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers below 2 ** 32 as four runs of bytes, lowest first: small numbers leave runs of zeros to compress."""
-    return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unplanes(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1).astype(np.int64)
-
-
-def _wide(values: np.ndarray) -> bytes:
-    """Numbers below 2 ** 63 as eight runs of bytes."""
-    return np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unwide(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
-
+    part_rows: int = 3_000_000
 
-def _steps(ordered: np.ndarray) -> bytes:
-    """Rising hashes as the steps between them, in eight runs of bytes: the upper bytes of steps are zeros."""
-    steps = np.diff(ordered, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-
-def _unsteps(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """One row with all the values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataFrame:
-    """Rows (block_id, n_words, n_different, ids, lengths, words, vocabulary): documents as places in the block's vocabulary.
-
-    ``n_different`` counts the block's different n-grams of each order.
-    """
+    """Rows (block_id, n_words, ids, lengths, words, vocabulary): documents as places in the block's vocabulary of hashes."""
     size = settings.block_words
 
     def pack(batches):
@@ -85,16 +67,12 @@ def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataF
             every = np.concatenate([np.zeros(0, np.uint64), *hashed])
             vocabulary, words, n = np.unique(every, return_inverse=True, return_counts=True)
             order = np.argsort(-n, kind="stable")  # frequent words get small places
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            words, vocabulary = place[words], vocabulary[order]
-            lens = np.concatenate(lengths)
-            longer = _grams(vocabulary[words], lens, settings.order)[1:]
-            different = [len(vocabulary), *(len(np.unique(grams)) for grams, _ in longer)]
-            columns = [pa.array([len(words)], pa.int64()), pa.array([different], pa.list_(pa.int64()))]
-            columns += [pa.array([[x for part in ids for x in part]], pa.list_(pa.int64()))]
-            columns += [pa.array([x], pa.binary()) for x in (_planes(lens), _planes(words), vocabulary.tobytes())]
-            return pa.RecordBatch.from_arrays(columns, names=["n_words", "n_different", "ids", "lengths", "words", "vocabulary"])
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            lists = [_lists(np.concatenate(lengths), pa.int32()), _lists(place[words], pa.int32()), _lists(vocabulary[order].view(np.int64), pa.int64())]
+            names = pa.array([[x for part in ids for x in part]], pa.list_(pa.int64()))
+            columns = [pa.array([len(words)], pa.int64()), names, *lists]
+            return pa.RecordBatch.from_arrays(columns, names=["n_words", "ids", "lengths", "words", "vocabulary"])
 
         for batch in batches:
             names = batch.column(0).to_pylist()
@@ -102,7 +80,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataF
                 low = wb.Texts(part.first, wb.lowered(part.data), part.offsets)
                 starts, ends, bounds = wb.spans(low, wb.BARE)
                 ids.append(names[part.first : part.first + len(part)])
-                lengths.append(np.diff(bounds))
+                lengths.append(np.diff(bounds).astype(np.int32))
                 hashed.append(wb.hashes(low.data, starts, ends))
                 held += len(starts) + len(part)
                 if held >= size:
@@ -113,128 +91,103 @@ def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataF
 
     bounded_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "n_words long, n_different array<long>, ids array<long>, lengths binary, words binary, vocabulary binary"
-    return cut(chosen.mapInArrow(pack, schema).withColumn("block_id", F.monotonically_increasing_id()), "blocks")
+    return cut(chosen.mapInArrow(pack, BLOCKS).withColumn("block_id", F.monotonically_increasing_id()), "blocks")
 
 
-def _grams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grams(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes of the n-grams within a document, by order, and the places of their last words."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out = [(words, np.arange(len(words)))]
+    yield words, np.arange(len(words))
     chained = words
     for size in range(2, order + 1):
         at = np.flatnonzero(place >= size - 1)
         grams = wb.mix(chained[at - 1] * np.uint64(0x9FB21C651E98DF25) + words[at])
-        out.append((grams, at))
+        yield grams, at
         chained = np.zeros(len(words), np.uint64)
         chained[at] = grams
-    return out
 
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
-    return vocabulary[_unplanes(row["words"])], _unplanes(row["lengths"])
+def _opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's words as hashes and its documents' lengths."""
+    words, lengths, vocabulary = (batch.column(name)[row].values.to_numpy() for name in ("words", "lengths", "vocabulary"))
+    return vocabulary.view(np.uint64)[words], lengths.astype(np.int64)
 
 
-def _sides(row: dict, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The block's n-grams by order, at every place, and those places."""
-    return _grams(*_opened(row), order)
+def exploded(packed: DataFrame, order: int) -> DataFrame:
+    """Rows (gram, block_id, place, n): each block's different n-grams, numbered by order and hash, with their number there."""
+
+    def explode(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block_id, first = batch.column("block_id")[row].as_py(), 0
+                for grams, _ in _grams(*_opened(batch, row), order):
+                    different, n = np.unique(grams, return_counts=True)
+                    for low in range(0, len(different), _BATCH):
+                        part = different[low : low + _BATCH].view(np.int64)
+                        places = np.arange(first + low, first + low + len(part), dtype=np.int32)
+                        columns = [pa.array(part), pa.array(np.full(len(part), block_id)), pa.array(places), pa.array(n[low : low + _BATCH].astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["gram", "block_id", "place", "n"])
+                    first += len(different)
 
+    return packed.select("block_id", "words", "lengths", "vocabulary").mapInArrow(explode, "gram long, block_id long, place int, n long")
 
-def _cuts(grams: np.ndarray, ranges: int) -> np.ndarray:
-    """Where the sorted hashes pass from one of ``ranges`` equal parts of all hashes to the next."""
-    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
 
+def totals(grams: DataFrame) -> DataFrame:
+    """The count table: rows (gram, total, last_block, last_place) over all blocks.
 
-def _answered(requests: DataFrame) -> DataFrame:
-    """For each range of hashes, the sums of all blocks' counts, as answers in the order of each block's request."""
+    The last columns name one holder; with them the count reads what :func:`asked_for` reads, so that both share an exchange.
+    """
+    return grams.groupBy("gram").agg(F.sum("n").alias("total"), F.max("block_id").alias("last_block"), F.max("place").alias("last_place"))
 
-    def add_up(table: pa.Table) -> pa.Table:
-        grams = [_unsteps(x) for x in table.column("grams").to_pylist()]
-        counts = [_unplanes(x) for x in table.column("counts").to_pylist()]
-        every, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        summed = np.zeros(len(every), np.int64)
-        np.add.at(summed, inverse, np.concatenate(counts))
-        total = summed[inverse]
-        edges = np.cumsum([len(g) for g in grams])[:-1]
-        answers = [_wide(part) for part in np.split(total, edges)]
-        return pa.table(
-            {"block_id": table.column("block_id"), "size": table.column("size"), "part": table.column("part"), "totals": pa.array(answers, pa.binary())}
-        )
 
-    return requests.groupBy("size", "part").applyInArrow(add_up, "block_id long, size int, part int, totals binary")
+def asked_for(grams: DataFrame) -> DataFrame:
+    """Rows (block_id, place, total) for the n-grams that other blocks hold too."""
+    joined = grams.join(totals(grams).hint("merge"), "gram")
+    return joined.filter("total > n OR last_block <> block_id OR last_place <> place").select("block_id", "place", "total")
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Rows (doc_id, n_words, n_backoff, log_prob)."""
     packed = blocks(docs, doc_id, text, settings)
-    order = settings.order
-    sums = packed.agg(F.sum("n_words"), *[F.sum(F.col("n_different")[k]) for k in range(order)]).first()
-    n_words = sums[0] or 0
-    ranges = [int((sums[k + 1] or 0) // settings.range_grams) + 1 for k in range(order)]
-
-    def ask(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in ("block_id", "words", "lengths", "vocabulary")}
-                for size, (grams, _) in enumerate(_sides(row, order), 1):
-                    different, n = np.unique(grams, return_counts=True)
-                    edges = _cuts(different, ranges[size - 1])
-                    for part in range(ranges[size - 1]):
-                        low, high = edges[part], edges[part + 1]
-                        if low < high:
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array([row["block_id"]], pa.int64()),
-                                    pa.array([size], pa.int32()),
-                                    pa.array([part], pa.int32()),
-                                    pa.array([_steps(different[low:high])], pa.binary()),
-                                    pa.array([_planes(n[low:high])], pa.binary()),
-                                ],
-                                names=["block_id", "size", "part", "grams", "counts"],
-                            )
-
-    asked = packed.select("block_id", "words", "lengths", "vocabulary").mapInArrow(
-        ask, "block_id long, size int, part int, grams binary, counts binary"
-    )
-    answers = _answered(asked)
+    order, alpha, unseen = settings.order, settings.alpha, settings.unseen
+    n_words = packed.agg(F.sum("n_words")).first()[0] or 0
+    parts = n_words * order // settings.part_rows + 1
+    grams = exploded(packed, order).repartition(parts, "gram")
+    more = asked_for(grams)
 
     def sum_up(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {(r["size"], r["part"]): r["totals"] for r in right.to_pylist()}
-        columns = {"doc_id": [], "n_words": [], "n_backoff": [], "log_prob": []}
-        for row in left.to_pylist():
-            lengths = _unplanes(row["lengths"])
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            others = []
-            sides = _sides(row, order)
-            for size, (grams, at) in enumerate(sides, 1):
-                different, inverse = np.unique(grams, return_inverse=True)
-                parts = [_unwide(found[size, part]) for part in range(ranges[size - 1]) if (size, part) in found]
-                total = np.concatenate([np.zeros(0, np.int64), *parts])[inverse]
-                # A document's own occurrences: equal (document, n-gram) pairs among the block's places.
-                both = owner[at].astype(np.int64) * (len(different) + 1) + inverse
-                _, back, n = np.unique(both, return_inverse=True, return_counts=True)
-                others.append(total - n[back])
-            all_others = np.maximum(1, n_words - lengths)[owner].astype(float)
-            value = np.maximum(others[0], settings.unseen) / all_others
-            shorter, backoff = others[0], np.zeros(len(owner), np.int64)
-            for (_, at), longer in zip(sides[1:], others[1:], strict=True):
-                seen = longer > 0
-                value[at] = np.where(seen, longer / np.maximum(1, shorter[at - 1]), settings.alpha * value[at])
-                backoff[at] = np.where(seen, 0, backoff[at] + 1)
-                shorter = np.zeros(len(owner), np.int64)
-                shorter[at] = longer
-            columns["doc_id"] += row["ids"]
-            columns["n_words"] += lengths.tolist()
-            columns["n_backoff"] += wb.per_text(backoff, np.concatenate([[0], np.cumsum(lengths)])).tolist()
-            columns["log_prob"] += np.bincount(owner, np.log(value), minlength=len(lengths)).tolist()
-        kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_backoff": pa.int64(), "log_prob": pa.float64()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
-
-    return (
-        packed.select("block_id", "ids", "words", "lengths", "vocabulary")
-        .groupBy("block_id")
-        .cogroup(answers.groupBy("block_id"))
-        .applyInArrow(sum_up, SCHEMA)
-    )
+        places, found = right.column("place").to_numpy(), right.column("total").to_numpy()
+        out = []
+        for batch in left.to_batches():
+            for row in range(batch.num_rows):
+                words, lengths = _opened(batch, row)
+                owner = np.repeat(np.arange(len(lengths)), lengths)
+                all_others = np.maximum(1, n_words - lengths)[owner].astype(float)
+                value, shorter, backoff, first = np.zeros(len(words)), np.zeros(0), np.zeros(len(words), np.int64), 0
+                for size, (ngrams, at) in enumerate(_grams(words, lengths, order), 1):
+                    different, inverse, total = np.unique(ngrams, return_inverse=True, return_counts=True)
+                    mine = (places >= first) & (places < first + len(different))
+                    total[places[mine] - first] = found[mine]
+                    # A document's own occurrences: equal (document, n-gram) pairs among the block's places.
+                    _, back, own = np.unique(owner[at] * (len(different) + 1) + inverse, return_inverse=True, return_counts=True)
+                    others = total[inverse] - own[back]
+                    if size == 1:
+                        value = np.maximum(others, unseen) / all_others
+                    else:
+                        seen = others > 0
+                        value[at] = np.where(seen, others / np.maximum(1, shorter[at - 1]), alpha * value[at])
+                        backoff[at] = np.where(seen, 0, backoff[at] + 1)
+                    shorter = np.zeros(len(words), np.int64)
+                    shorter[at] = others
+                    first += len(different)
+                columns = [
+                    batch.column("ids")[row].values,
+                    pa.array(lengths, pa.int64()),
+                    pa.array(wb.per_text(backoff, np.concatenate([[0], np.cumsum(lengths)])), pa.int64()),
+                    pa.array(np.bincount(owner, np.log(value), minlength=len(lengths)), pa.float64()),
+                ]
+                out.append(pa.table(columns, names=["doc_id", "n_words", "n_backoff", "log_prob"]))
+        return pa.concat_tables(out)
+
+    asking = packed.select("block_id", "ids", "words", "lengths", "vocabulary").groupBy("block_id")
+    return asking.cogroup(more.groupBy("block_id")).applyInArrow(sum_up, SCHEMA)

@@ -151,23 +151,31 @@ WITH listed AS (
   SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS ws FROM documents
 ), words AS (
   SELECT d, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM listed WHERE len(ws) > 0
-), paired AS (
-  SELECT d, w, i, n, lag(w) OVER (PARTITION BY d ORDER BY i) AS v FROM words
+), placed AS (
+  SELECT d, w, i, n, lag(w) OVER o AS v, lag(w, 2) OVER o AS u FROM words WINDOW o AS (PARTITION BY d ORDER BY i)
 ), own1 AS (SELECT d, w, count(*) AS c FROM words GROUP BY d, w),
 all1 AS (SELECT w, sum(c) AS c FROM own1 GROUP BY w),
-own2 AS (SELECT d, v, w, count(*) AS c FROM paired WHERE i > 0 GROUP BY d, v, w),
+own2 AS (SELECT d, v, w, count(*) AS c FROM placed WHERE i > 0 GROUP BY d, v, w),
 all2 AS (SELECT v, w, sum(c) AS c FROM own2 GROUP BY v, w),
+own3 AS (SELECT d, u, v, w, count(*) AS c FROM placed WHERE i > 1 GROUP BY d, u, v, w),
+all3 AS (SELECT u, v, w, sum(c) AS c FROM own3 GROUP BY u, v, w),
 total AS (SELECT count(*) AS n FROM words),
+others1 AS (SELECT d, w, all1.c - own1.c AS c FROM own1 JOIN all1 USING (w)),
+others2 AS (SELECT d, v, w, all2.c - own2.c AS c FROM own2 JOIN all2 USING (v, w)),
+others3 AS (SELECT d, u, v, w, all3.c - own3.c AS c FROM own3 JOIN all3 USING (u, v, w)),
 counted AS (
-  SELECT p.d, p.i, a1.c - o1.c AS cw, av.c - ov.c AS cv, a2.c - o2.c AS cp, greatest(1, total.n - p.n)::DOUBLE AS others
-  FROM paired p JOIN total ON true
-  JOIN own1 o1 ON o1.d = p.d AND o1.w = p.w JOIN all1 a1 ON a1.w = p.w
-  LEFT JOIN own1 ov ON ov.d = p.d AND ov.w = p.v LEFT JOIN all1 av ON av.w = p.v
-  LEFT JOIN own2 o2 ON o2.d = p.d AND o2.v = p.v AND o2.w = p.w LEFT JOIN all2 a2 ON a2.v = p.v AND a2.w = p.w
+  SELECT p.d, p.i, w.c AS cw, v.c AS cv, vw.c AS cvw, uv.c AS cuv, uvw.c AS cuvw, greatest(1, total.n - p.n)::DOUBLE AS others
+  FROM placed p JOIN total ON true
+  JOIN others1 w ON w.d = p.d AND w.w = p.w
+  LEFT JOIN others1 v ON v.d = p.d AND v.w = p.v
+  LEFT JOIN others2 vw ON vw.d = p.d AND vw.v = p.v AND vw.w = p.w
+  LEFT JOIN others2 uv ON uv.d = p.d AND uv.v = p.u AND uv.w = p.v
+  LEFT JOIN others3 uvw ON uvw.d = p.d AND uvw.u = p.u AND uvw.v = p.v AND uvw.w = p.w
 ), scored AS (
-  SELECT d, count(*) FILTER (i > 0 AND cp = 0) AS n_backoff,
-    sum(ln(CASE WHEN i > 0 AND cp > 0 THEN cp::DOUBLE / greatest(1, cv)
-                ELSE greatest(cw::DOUBLE, 0.5) / others * CASE WHEN i > 0 THEN 0.4 ELSE 1.0 END END)) AS log_prob
+  SELECT d, count(*) FILTER (i > 0 AND cvw = 0) + count(*) FILTER (i > 1 AND cuvw = 0) AS n_backoff,
+    sum(ln(CASE WHEN i > 1 AND cuvw > 0 THEN cuvw::DOUBLE / cuv::DOUBLE
+                WHEN i > 0 AND cvw > 0 THEN cvw::DOUBLE / cv::DOUBLE * CASE WHEN i > 1 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END
+                ELSE greatest(cw::DOUBLE, 0.5::DOUBLE) / others * CASE least(i, 2) WHEN 2 THEN 0.4::DOUBLE * 0.4::DOUBLE WHEN 1 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END END)) AS log_prob
   FROM counted GROUP BY d
 )
 SELECT doc_id, len(ws) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(coalesce(log_prob, 0.0), 3) AS log_prob,

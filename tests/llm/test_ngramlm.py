@@ -32,7 +32,7 @@ def brute(texts, alpha=0.4, unseen=0.5):
     return out
 
 
-@pytest.mark.parametrize("settings", [ngramlm.Settings(), ngramlm.Settings(block_words=150, range_grams=100), ngramlm.Settings(block_words=1, range_grams=3000)])
+@pytest.mark.parametrize("settings", [ngramlm.Settings(order=2), ngramlm.Settings(order=2, block_words=150, part_rows=300), ngramlm.Settings(order=2, block_words=1)])
 def test_scores_equal_plain_counts(spark, settings):
     texts = [words(k, 5 + 7 * k % 90, 6) for k in range(60)] + ["", None, "a", "The the THE the", words(3, 26, 6)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -46,7 +46,7 @@ def test_scores_equal_plain_counts(spark, settings):
 def test_odd_rows_and_empty_tables(spark):
     rows = odd_rows()
     truth = sorted((str(r[0]), n, b, round(v, 6)) for r, (n, b, v) in zip(rows, brute([r[1] for r in rows]), strict=True))
-    got = ngramlm.score(odd_docs(spark), settings=ngramlm.Settings(block_words=1000)).collect()
+    got = ngramlm.score(odd_docs(spark), settings=ngramlm.Settings(order=2, block_words=1000)).collect()
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_backoff"], round(r["log_prob"], 6)) for r in got) == truth
     assert ngramlm.score(no_docs(spark)).count() == 0
     assert [tuple(r) for r in ngramlm.score(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 0, 0.0)]

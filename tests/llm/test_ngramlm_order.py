@@ -2,7 +2,6 @@ import re
 from collections import Counter
 from math import log
 
-import numpy as np
 import pytest
 
 from prefmill.llm import ngramlm
@@ -39,7 +38,7 @@ def brute(texts, order, alpha=0.4, unseen=0.5):
 def test_any_order_equals_plain_counts(spark, order):
     texts = [words(k, 5 + 7 * k % 90, 2) for k in range(50)] + ["", None, "a", "The the THE the", words(3, 26, 2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    settings = ngramlm.Settings(order=order, block_words=300, range_grams=200)
+    settings = ngramlm.Settings(order=order, block_words=300, part_rows=400)
     got = {r["doc_id"]: r for r in ngramlm.score(docs.repartition(3), settings=settings).collect()}
     assert len(got) == len(texts)
     for i, (n, steps, value) in enumerate(brute(texts, order)):
@@ -48,8 +47,18 @@ def test_any_order_equals_plain_counts(spark, order):
 
 
 def test_counts_over_32_bits_are_whole(spark):
-    grams, most = ngramlm._steps(np.array([5], np.uint64)), (1 << 32) - 1
-    asked = [(k, 1, 0, bytearray(grams), bytearray(ngramlm._planes(np.array([most])))) for k in range(3)]
-    rows = spark.createDataFrame(asked, "block_id long, size int, part int, grams binary, counts binary")
-    totals = [bytes(r["totals"]) for r in ngramlm._answered(rows).collect()]
-    assert len(totals) == 3 and all(ngramlm._unwide(t).tolist() == [3 * most] for t in totals)
+    most = (1 << 32) - 1
+    rows = spark.createDataFrame([(5, k, 0, most) for k in range(3)], "gram long, block_id long, place int, n long")
+    assert [(r["gram"], r["total"]) for r in ngramlm.totals(rows).collect()] == [(5, 3 * most)]
+    assert sorted(tuple(r) for r in ngramlm.asked_for(rows).collect()) == [(k, 0, 3 * most) for k in range(3)]
+    assert ngramlm.asked_for(rows.limit(1)).count() == 0
+
+
+def test_one_exchange_serves_the_counts_and_their_join(spark):
+    docs = spark.createDataFrame([(k, words(k, 40, 5)) for k in range(30)], "doc_id long, text string")
+    grams = ngramlm.exploded(ngramlm.blocks(docs, "doc_id", "text", ngramlm.Settings(block_words=200)), 3).repartition(4, "gram")
+    joined = ngramlm.asked_for(grams)
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("Initial Plan")[0].splitlines() if "Exchange" in line]
+    assert sorted("ReusedExchange" in line for line in exchanges) == [False, True]

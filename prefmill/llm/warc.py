@@ -5,9 +5,13 @@ with equal payloads the one with the largest id is the response, the others are
 digest and length but no payload. Records are plain rows written by Spark's text writer, whose line separator
 is the blank line that ends a record: committed like any table, wherever Spark can write.
 
-Reading. Files are read whole, one row a file (the writer starts a new file after ``RECORDS_PER_FILE`` records),
-unpacked if gzipped, and cut by the records' lengths, so payloads may hold anything. A file that ends within a
-record is an error, not a shorter result. Digests and lengths of responses are computed anew from the payload.
+Each task writes one file, about as large as its part of the pages.
+
+Reading. Gzipped files (``*.gz``) stream through Spark's text reader, split at every ``WARC/1.``: a task puts the pieces
+together again and cuts them by the records' lengths, so payloads may hold anything and a task holds a record, not
+a file. Other files are read whole, one row a file. A file that ends within a record is an error, not a shorter
+result (but for one that ends right after those seven bytes). Digests and lengths of responses are computed anew
+from the payload.
 
 Assembly. Requests and metadata are joined to the response or revisit they name, or that names them, and each
 capture is one nested row. Several requests of one capture give the first by record id and their number.
@@ -24,7 +28,8 @@ import base64
 import gzip
 import hashlib
 import io
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +37,11 @@ from pyspark.sql import functions as F
 
 from prefmill.llm.tables import bounded_batches, cut
 
-RECORDS_PER_FILE = 3000
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CRLF = "\r\n"
+#: Where the text reader cuts gzipped archives: every record begins with it.
+_START = "WARC/1."
 #: Repeated payloads that are looked up in memory (about 60 bytes each).
 SMALL = 100_000
 _SALTS = 16
@@ -142,7 +148,7 @@ def write_archives(
         F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(_CRLF)),
     )
     rows = seen.withColumn("own_id", _urn("response", F.col("page_id"), F.col("digest"))).select(F.explode(F.array(request, response, metadata)).alias("value"))
-    rows.write.option("lineSep", _CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", compression).text(path)
+    rows.write.option("lineSep", _CRLF * 2).option("compression", compression).text(path)
 
 
 def _headers(stream: io.BufferedIOBase) -> Iterator[tuple[str, str]]:
@@ -175,9 +181,35 @@ def _http(block: bytes) -> tuple[str, dict[str, str], bytes]:
     return first, fields, body
 
 
+class _Joined(io.RawIOBase):
+    """Pieces of a file as one stream, with what they were cut at put back between them."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.rest, self.begun = iter(pieces), memoryview(b""), False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, room) -> int:
+        while not self.rest:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.rest = memoryview(_START.encode() + piece if self.begun else piece)
+            self.begun = True
+        n = min(len(room), len(self.rest))
+        room[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
 def parse(content: bytes, payloads: bool = True) -> Iterator[dict]:
     """The records of one file, in order."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    whole = io.BytesIO(content)
+    return parse_stream(gzip.GzipFile(fileobj=whole) if content[:2] == b"\x1f\x8b" else whole, payloads)
+
+
+def parse_stream(stream: io.BufferedIOBase, payloads: bool = True) -> Iterator[dict]:
+    """The records of an unpacked file, in order."""
     while line := stream.readline():
         if not line.strip():
             continue
@@ -226,22 +258,33 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     kinds += [("payload_digest", text), ("payload_bytes", number), ("payload", pa.binary()), ("http_status", text), ("fields", pa.map_(text, text))]
     schema = pa.schema(kinds)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
+    def rows_of(records: Iterable[dict]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for record in records:
+            record["fields"] = list(record["fields"].items())
+            rows.append(record)
+            held += len(record["payload"] or b"") + 500
+            if held > 4_000_000:
+                yield pa.RecordBatch.from_pylist(rows, schema)
                 rows, held = [], 0
-                for record in parse(batch.column(0)[i].as_py(), payloads):
-                    record["fields"] = list(record["fields"].items())
-                    rows.append(record)
-                    held += len(record["payload"] or b"") + 500
-                    if held > 4_000_000:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, RECORDS)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                yield from rows_of(parse(content.as_py(), payloads))
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((file.as_py(), piece) for batch in batches for file, piece in zip(batch.column(0), batch.column(1), strict=True))
+        for _, own in groupby(pieces, lambda pair: pair[0]):
+            yield from rows_of(parse_stream(io.BufferedReader(_Joined(piece.as_py() for _, piece in own), 1 << 20), payloads))
+
+    file = F.col("_metadata.file_path")
+    packed = spark.read.option("lineSep", _START).option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*.gz").text(path)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").option("recursiveFileLookup", "true").load(path)
+    streams = packed.select(file, F.col("value").cast("binary").alias("piece")).mapInArrow(streamed, RECORDS)
+    return streams.unionByName(plain.filter(~file.endswith(".gz")).select("content").mapInArrow(whole, RECORDS))
 
 
 def captures(records: DataFrame) -> DataFrame:

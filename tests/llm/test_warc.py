@@ -84,6 +84,30 @@ def test_foreign_files(spark, tmp_path):
     assert [(r["record_id"], bytes(r["payload"]), r["request"]["record_id"], r["n_requests"], r["metadata"]) for r in caught] == [("<r>", b"body", "<q0>", 2, None)]
 
 
+def test_gzipped_files_stream_record_by_record(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    bodies = {f"{f}-{k}": (b"WARC/1.1\r\nWARC/1." * (k % 7) + b"\xff\x00" * (40_000 * k) + b"WARC/1.") for f in range(3) for k in range(12)}
+    for f in range(3):
+        of_file = [record(b"response", name.encode(), b"", b"application/http", http + body) for name, body in bodies.items() if name.startswith(f"{f}-")]
+        (tmp_path / f"{f}.warc.gz").write_bytes(gzip.compress(of_file[0]) + gzip.compress(b"".join(of_file[1:])))
+    (tmp_path / "none.warc.gz").write_bytes(gzip.compress(b""))
+    plan = warc.read_records(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" in plan
+    got = {r["record_id"][1:-1]: bytes(r["payload"]) for r in warc.read_records(spark, str(tmp_path)).collect()}
+    assert got == bodies
+
+
+@pytest.mark.parametrize("cut", [3, 40, 120])
+def test_a_cut_gzipped_file_is_an_error(spark, tmp_path, cut):
+    good = record(b"response", b"r", b"", b"application/http", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 100)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(good + good[: len(good) - cut - 4]))
+    with pytest.raises(Exception, match="ends within"):
+        warc.read_records(spark, str(tmp_path)).collect()
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(good)[:-cut])
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        warc.read_records(spark, str(tmp_path)).collect()
+
+
 @pytest.mark.parametrize("cut", [3, 40, 120])
 def test_a_cut_file_is_an_error(cut):
     whole = record(b"response", b"r", b"", b"application/http", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 100)

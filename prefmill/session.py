@@ -91,11 +91,16 @@ def _delete(jvm, path: str) -> None:
         place.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(place, True)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path (or one that matches a pattern) is there, in whatever store Spark reaches."""
+def found_at(spark: SparkSession, path: str) -> list[str]:
+    """The full names of what lies at a path (or matches a pattern), in whatever store Spark reaches."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(system.globStatus(place))
+    return [status.getPath().toString() for status in system.globStatus(place) or []]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path (or one that matches a pattern) is there."""
+    return bool(found_at(spark, path))
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

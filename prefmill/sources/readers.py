@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import parquet
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefmill import schemas
 from prefmill.operators.selection import row_hash
-from prefmill.session import exists, saved
+from prefmill.session import exists, found_at, saved
 from prefmill.sources.arrow_files import DATA_FILES, arrow_files, opened, read_arrow, rows_of
 from prefmill.sources.event_files import read_event_files
 
@@ -237,37 +238,59 @@ def read_responses(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).json(path)
 
 
+#: Paths looked up at once.
+_LOOK_UPS = 16
+
+
+def _summary_places(spark: SparkSession, paths: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """The registry with the full name of what lies at each path in ``at``; null if nothing does."""
+    with ThreadPoolExecutor(_LOOK_UPS) as pool:
+        places = pool.map(lambda path: found_at(spark, path) or [None], paths)
+        rows = [(path, at, *info) for (path, info), found in zip(paths.items(), places, strict=True) for at in found]
+    registry = spark.createDataFrame(rows, "path string, at string, model string, type string")
+    return registry.withColumn("at", _one_slash(F.col("at")))
+
+
+def _one_slash(place: Column) -> Column:
+    return F.regexp_replace(place, "^file:/+", "file:/")
+
+
+def _file_name() -> Column:
+    """The name of a row's file. Listed names are encoded, but a plus sign is one."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _summaries(spark: SparkSession, registry: DataFrame) -> DataFrame:
+    """The summaries at all registered places, read at once; each has the ``path``, ``model`` and ``type`` of its own place."""
+    given = [r["path"] for r in registry.filter("at IS NOT NULL").select("path").distinct().collect()]
+    if not given:
+        return spark.createDataFrame([], schemas.EVAL_RESULTS).withColumn("path", F.lit(""))
+    reader = spark.read.schema(schemas.EVAL_SUMMARY).option("recursiveFileLookup", "true")
+    file = _one_slash(_file_name())
+    # A summary is registered by its own name or by that of its folder.
+    names = F.explode(F.array(file, F.regexp_replace(file, "/[^/]*$", "")))
+    rows = reader.json(given, multiLine=True, mode="PERMISSIVE").filter(F.col("metrics").isNotNull()).select("*", names.alias("at"))
+    return rows.join(registry, "at").select("path", "model", "type", "metrics", "prompt_type_metrics")
+
+
 def read_eval_results(spark: SparkSession, paths: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Evaluation summaries of models as ``model``, ``type``, ``metrics``, ``prompt_type_metrics``.
 
-    ``paths`` maps a summary folder or file to (model name, model type); each is read by itself, so a row
-    always has the model of its own path. What is not there, cannot be read as JSON or has no ``metrics``
-    member is left out; :func:`unread_results` names it.
+    ``paths`` maps a summary folder or file to (model name, model type). All are read in one scan and joined to their
+    models by file name, so the plan does not grow with the models. What is not there, cannot be read as JSON or has
+    no ``metrics`` member is left out; :func:`unread_results` names it.
     """
-    out = spark.createDataFrame([], schemas.EVAL_RESULTS)
     empty = F.create_map().cast(schemas.EVAL_SUMMARY["prompt_type_metrics"].dataType)
-    for path, (model, model_type) in paths.items():
-        if exists(spark, path):
-            raw = spark.read.schema(schemas.EVAL_SUMMARY).json(path, multiLine=True, mode="PERMISSIVE")
-            rows = raw.filter(F.col("metrics").isNotNull()).select(
-                F.lit(model).alias("model"),
-                F.lit(model_type).alias("type"),
-                "metrics",
-                F.coalesce("prompt_type_metrics", empty).alias("prompt_type_metrics"),
-            )
-            out = out.unionByName(rows)
-    return out
+    rows = _summaries(spark, _summary_places(spark, paths))
+    return rows.select("model", "type", "metrics", F.coalesce("prompt_type_metrics", empty).alias("prompt_type_metrics"))
 
 
 def unread_results(spark: SparkSession, paths: Mapping[str, tuple[str, str]]) -> DataFrame:
     """The summaries that give no row, as ``path``, ``model`` and ``reason``."""
-    found = []
-    for path, (model, _) in paths.items():
-        if not exists(spark, path):
-            found.append((path, model, "missing"))
-        elif spark.read.schema(schemas.EVAL_SUMMARY).json(path, multiLine=True, mode="PERMISSIVE").filter("metrics IS NOT NULL").isEmpty():
-            found.append((path, model, "no metrics"))
-    return spark.createDataFrame(found, "path string, model string, reason string")
+    registry = _summary_places(spark, paths)
+    given = registry.groupBy("path", "model").agg(F.count("at").alias("n"))
+    unread = given.join(_summaries(spark, registry).select("path"), "path", "left_anti")
+    return unread.select("path", "model", F.when(F.col("n") == 0, "missing").otherwise("no metrics").alias("reason"))
 
 
 def read_scalar_logs(
@@ -290,8 +313,7 @@ def read_scalar_logs(
     points = reader.option("header", "true").load(there)
     if tags is not None:
         points = points.filter(F.col("tag").isin(*tags))
-    # Listed names are encoded, but a plus sign is one.
-    parts = F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/")
+    parts = F.split(_file_name(), "/")
     return points.select(
         F.coalesce("run", F.element_at(parts, -2)).alias("run"), F.coalesce("event_file", F.element_at(parts, -1)).alias("event_file"), "tag", "step", "value"
     )

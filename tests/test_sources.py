@@ -163,6 +163,22 @@ def test_eval_summaries_of_models(spark, tmp_path):
     ]
 
 
+def test_summaries_of_many_models_are_one_scan(spark, tmp_path):
+    """Folders, files in them, patterns and odd names, each with the model it was registered for."""
+    for k, name in enumerate(("a+b c%20", "d", "d/inner", "k=1")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.json").write_text(f'{{"metrics": {{"m": {k}.0}}}}')
+    paths = {f"{tmp_path}/{n}": (n, "base") for n in ("a+b c%20", "d", "k=1", "gone")}
+    paths |= {f"file://{tmp_path}/d/x.json": ("file", "base"), f"{tmp_path}/[dk]*": ("both", "tuned")}
+    read = I.read_eval_results(spark, paths)
+    got = sorted((r.model, r.type, r.metrics["m"]) for r in read.collect())
+    assert got == [("a+b c%20", "base", 0.0), ("both", "tuned", 1.0), ("both", "tuned", 3.0), ("d", "base", 1.0), ("file", "base", 1.0), ("k=1", "base", 3.0)]
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("json") == 1 and "Union" not in plan
+    assert [tuple(r) for r in I.unread_results(spark, paths).collect()] == [(f"{tmp_path}/gone", "gone", "missing")]
+    assert I.read_eval_results(spark, {}).count() == I.unread_results(spark, {}).count() == 0
+
+
 def test_incremental_scoring_scores_each_row_once(spark):
     path = scratch_path(spark, "scores")
     rows = spark.range(10).selectExpr("id AS k", "CAST(id AS STRING) AS t")

@@ -22,6 +22,8 @@ WHOLE = 100_000
 ACCURACY = 10_000
 #: Tasks that the rows of one group are looked up in, when they have to move.
 SALTS = 8
+#: Groups that go to every task.
+FEW = 10_000
 
 # Quartiles and whisker reach of a box summary.
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -33,27 +35,32 @@ def group_values(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.select(*by, F.col(value).alias("v")).filter(F.col("v").isNotNull())
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows with what is known of their group, where null is a group like any other.
+def join_groups(rows: DataFrame, groups: DataFrame, by: Sequence[str], few: bool = False) -> DataFrame:
+    """Rows with what is known of their group, where null is a group like any other; rows of no known group get nulls.
 
-    Groups are few; Spark broadcasts them while they measure below its limit. Beyond it rows move by group and
-    a salt from their value, so that no group's rows all go to one task.
+    ``few`` groups are broadcast. Of more, or an unknown number, rows move by group and a salt from their value, so that no
+    group's rows all go to one task, unless Spark measures the groups to be small. A left join never broadcasts the
+    rows: files of repeated values measure little, however many rows they hold.
     """
-    spread = groups.select(
-        *[F.col(c).alias(f"_r_{c}") if c in by else F.col(c) for c in groups.columns],
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_look"),
-    )
-    condition = F.col("_salt") == F.col("_look")
+    known = groups.select(*[F.col(c).alias(f"_r_{c}") if c in by else F.col(c) for c in groups.columns])
+    condition = F.lit(True)
+    if few:
+        known = F.broadcast(known)
+    else:
+        known = known.withColumn("_look", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        condition = F.col("_salt") == F.col("_look")
     for c in by:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, condition).drop("_salt", "_look", *[f"_r_{c}" for c in by])
+    return rows.join(known, condition, "left").drop("_salt", "_look", *[f"_r_{c}" for c in by])
 
 
-def _accuracy(values: DataFrame, by: Sequence[str]) -> int:
-    """Ranks for the sketch: the square root of the largest group, so neither sketch nor brackets grow faster."""
-    largest = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return max(ACCURACY, isqrt(largest or 0))
+def _sizes(values: DataFrame, by: Sequence[str]) -> tuple[int, bool]:
+    """Ranks for the sketch, the square root of the largest group, so neither sketch nor brackets grow faster; and whether
+    groups are few."""
+    counted = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    largest, groups = counted.agg(F.max("n"), F.count(F.lit(1))).first()
+    return max(ACCURACY, isqrt(largest or 0)), groups <= FEW
 
 
 def _brackets(values: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int, whole: int) -> DataFrame:
@@ -80,18 +87,20 @@ def _any(conditions: Sequence[Column]) -> Column:
 
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], accuracy: int | None = None, whole: int = WHOLE,
-    brackets: DataFrame | None = None,
+    brackets: DataFrame | None = None, few: bool | None = None,
 ) -> DataFrame:
     """One column per named probability for each group, with linear interpolation between neighbouring values.
 
     The table is read three times (its largest group is counted, sketch, ranks), so save what is costly to make. Given
-    ``brackets`` (such as those of :mod:`prefmill.operators.sketches`) it is read once.
+    ``brackets`` (such as those of :mod:`prefmill.operators.sketches`) it is read once. ``few`` tells that groups are known to be.
     """
     values = group_values(df, by, value)
     wanted = list(probs.values())
     if brackets is None:
-        brackets = _brackets(values, by, wanted, accuracy or _accuracy(values, by), whole)
-    placed = join_groups(values, brackets, by)
+        if accuracy is None:
+            accuracy, few = _sizes(values, by)
+        brackets = _brackets(values, by, wanted, accuracy, whole)
+    placed = join_groups(values, brackets, by, bool(few))
     places = range(len(wanted))
     inside = _any([F.col("v").between(F.get("_low", F.lit(i)), F.get("_high", F.lit(i))) for i in places])
     above = reduce(lambda a, b: a + b, [(F.get("_high", F.lit(i)) < F.col("v")).cast("int") for i in places])
@@ -99,7 +108,7 @@ def exact_quantiles(
     runs = placed.groupBy(*by, "_total", F.when(inside, F.col("v")).alias("_value"), F.when(~inside, above).alias("_run"))
     counted = runs.agg(F.count(F.lit(1)).alias("_n"), F.min("v").alias("_place"))
     order = Window.partitionBy(*by).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_first", F.sum("_n").over(order) - F.col("_n"))
+    ranked = counted.withColumn("_first", F.sum("_n").over(order) - F.col("_n")).filter("_total IS NOT NULL")
 
     def at(place: Column) -> Column:
         holds = (place >= F.col("_first")) & (place < F.col("_first") + F.col("_n"))
@@ -115,11 +124,13 @@ def exact_quantiles(
 
 def box_summary(df: DataFrame, by: Sequence[str], value: str, accuracy: int | None = None, whole: int = WHOLE) -> DataFrame:
     """Quartiles and whiskers per group; whiskers end at the outermost value within 1.5 box heights."""
-    boxes = exact_quantiles(df, by, value, QUARTILES, accuracy, whole)
+    values = group_values(df, by, value)
+    ranks, few = _sizes(values, by)
+    boxes = exact_quantiles(df, by, value, QUARTILES, accuracy or ranks, whole, few=few)
     reach = F.lit(WHISKER) * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        join_groups(group_values(df, by, value), boxes, by)
+        join_groups(values, boxes, by, few)
         .groupBy(*by, *QUARTILES)
         .agg(
             F.min(F.when(inside, F.col("v"))).alias("whisker_low"),

@@ -6,6 +6,7 @@ from prefmill.functions import rewards
 from prefmill.operators import lengths as L
 from prefmill.operators import quantiles as Q
 from prefmill.operators.preference import reward_columns, reward_metrics
+from prefmill.session import scratch_path
 
 PROBS = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p75": 0.75, "p999": 0.999, "p100": 1.0}
 
@@ -120,3 +121,29 @@ def test_losses_equal_the_formulas(spark, loss):
 def test_unknown_loss(spark):
     with pytest.raises(ValueError, match="unknown loss"):
         rewards.preference_loss(F.lit(1.0), "other")
+
+
+def test_rows_are_never_broadcast_to_their_groups(spark):
+    """Repeated values make a small file of many rows, which looks smaller than what is known of its groups."""
+    path = scratch_path(spark, "repeated")
+    spark.range(200_000).selectExpr("CAST(id % 3 AS string) AS g", "id % 5 / 2D AS x").write.parquet(path)
+    rows = spark.read.parquet(path)
+    boxes = Q.box_summary(rows, ["g"], "x")
+    plan = boxes._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "BuildLeft" not in plan
+    assert sorted(tuple(r) for r in boxes.collect()) == [(g, 0.5, 1.0, 1.5, 0.0, 2.0, n) for g, n in (("0", 66_667), ("1", 66_667), ("2", 66_666))]
+
+
+def test_rows_of_groups_without_brackets_give_nothing(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0), (None, 3.0)], "g string, x double")
+    known = Q._brackets(Q.group_values(rows, ["g"], "x"), ["g"], [0.5], 100, 10).filter("g = 'a' OR g IS NULL")
+    got = Q.exact_quantiles(rows, ["g"], "x", {"m": 0.5}, brackets=known).collect()
+    assert {r.g: r.m for r in got} == {"a": 1.5, None: 3.0}
+
+
+@pytest.mark.parametrize("few", [10_000, 1])
+def test_boxes_are_the_same_however_groups_are_looked_up(spark, monkeypatch, few):
+    monkeypatch.setattr(Q, "FEW", few)
+    rows = spark.createDataFrame([(g, float(k)) for g in ("a", None) for k in range(9)], "g string, x double")
+    got = {tuple(r) for r in Q.box_summary(rows, ["g"], "x").collect()}
+    assert got == {(g, 2.0, 4.0, 6.0, 0.0, 8.0, 9) for g in ("a", None)}

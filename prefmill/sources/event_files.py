@@ -32,6 +32,8 @@ PATTERN = "events.out.tfevents.*"
 POINTS = "run string, event_file string, tag string, step long, value double, wall_time double"
 REPORT = "run string, event_file string, n_records long, n_bytes long, problem string"
 CHUNK = 4 << 20
+#: Records written at once.
+TOGETHER = 4096
 
 # Fixed value: the polynomial of CRC-32C, and the constant that masks a checksum.
 _POLYNOMIAL, _MASK = 0x82F63B78, 0xA282EAD8
@@ -216,10 +218,19 @@ class EventReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist([row], pa.schema([("run", pa.string()), ("event_file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("problem", pa.string())]))
 
 
+def framed(messages: Sequence[bytes]) -> bytes:
+    """Messages as records, one after another; their checksums are made together."""
+    sizes = np.array([len(m) for m in messages], np.int64)
+    heads, ends = sizes.astype("<u8").tobytes(), np.cumsum(sizes)
+    of_sizes = masked_crcs(np.frombuffer(heads, np.uint8), np.arange(0, len(heads), 8), np.full(len(sizes), 8)).astype("<u4").tobytes()
+    of_messages = masked_crcs(np.frombuffer(b"".join(messages), np.uint8), ends - sizes, sizes).astype("<u4").tobytes()
+    return b"".join(
+        part for k, m in enumerate(messages) for part in (heads[8 * k : 8 * k + 8], of_sizes[4 * k : 4 * k + 4], m, of_messages[4 * k : 4 * k + 4])
+    )
+
+
 def _framed(message: bytes) -> bytes:
-    size = struct.pack("<Q", len(message))
-    crcs = [masked_crcs(np.frombuffer(x, np.uint8), np.zeros(1, np.int64), np.array([len(x)]))[0] for x in (size, message)]
-    return size + struct.pack("<I", crcs[0]) + message + struct.pack("<I", crcs[1])
+    return framed([message])
 
 
 def _number(value: int) -> bytes:
@@ -253,15 +264,21 @@ class EventWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         system, root = _system(self.path), self.path.split("://")[-1]
         files, moves, mark = {}, [], uuid.uuid4().hex
+        waiting: dict[str, list[bytes]] = {}
         for row in rows:
             if row.run not in files:
                 hidden, final = f"{root}/{row.run}/_writing.{mark}", f"{root}/{row.run}/events.out.tfevents.{mark}"
                 system.create_dir(f"{root}/{row.run}", recursive=True)
                 files[row.run] = system.open_output_stream(hidden)
-                files[row.run].write(_framed(b"\x1a\x0dbrain.Event:2"))
                 moves.append((hidden, final))
-            files[row.run].write(_framed(event(row.tag, row.step, row.value)))
-        for file in files.values():
+                waiting[row.run] = [b"\x1a\x0dbrain.Event:2"]
+            waiting[row.run].append(event(row.tag, row.step, row.value))
+            if len(waiting[row.run]) >= TOGETHER:
+                files[row.run].write(framed(waiting[row.run]))
+                waiting[row.run] = []
+        for run, file in files.items():
+            if waiting[run]:
+                file.write(framed(waiting[run]))
             file.close()
         return Written(moves)
 

@@ -1,9 +1,10 @@
 """The pipeline's near-duplicates: shingles of five words, Jaccard similarity of at least 0.8, verified exactly.
 
-Operator 1 has settings of its own (``simhash.py``), two bits, within which texts this similar need not lie: at a similarity
-of 0.8 a SimHash bit differs with probability 0.15, so distances to any pivot differ by as much as those of unrelated texts
-do, and cells of 24 sampled bits would take some 600 tables to miss as few pairs as the bands below. Candidates
-come from MinHash bands:
+Candidates come from operator 1 first: SimHash fingerprints, of shingles of five words here, linked within two bits by its cells
+and pivot distances; each text of a component of fingerprints is held against the component's first. Texts of a similarity of
+0.8 need not lie within two bits: a SimHash bit differs with probability 0.15 there, so distances to any pivot differ by as much
+as those of unrelated texts do, and cells of 24 sampled bits would take some 600 tables to miss as few pairs as the
+bands below. So those that operator 1 leaves apart meet by MinHash bands:
 24 bands of four least hashes miss a pair of similarity 0.8 with probability (1 - 0.8^4)^24, about three in a million,
 and more similar ones less. Candidates are then held against each other by all their shingles.
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from prefmill.llm import wordbytes as wb
 from prefmill.llm.components import components
-from prefmill.llm.simhash import only
+from prefmill.llm.simhash import fingerprint, only
+from prefmill.llm.simhash import links as linked_prints
 from prefmill.llm.tables import cut, map_batches
 
 SHINGLE = 5
@@ -77,10 +79,10 @@ def _bands(grams: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, node, n, bands): the hash and size of the set of shingles, and its band values."""
+    """Rows (doc_id, node, n, bands, fp): the hash and size of the set of shingles, its band values, and operator 1's fingerprint."""
 
     def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sizes, bands = [], [], []
+        nodes, sizes, bands, prints = [], [], [], []
         for part in wb.slices(batch.column(1)):
             grams, bounds = _shingles(part)
             bands.append(_bands(grams, bounds[:-1]))
@@ -88,13 +90,14 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 own = np.unique(grams[bounds[i] : bounds[i + 1]])
                 nodes.append(_node(own))
                 sizes.append(len(own))
+                prints.append(fingerprint(part.text(i), SHINGLE))
         values = pa.array(np.concatenate(bands).reshape(-1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, BANDS), pa.int32()), values)
-        columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "bands"])
+        columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(prints, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "bands", "fp"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
-    return map_batches(chosen, compute, "doc_id long, node long, n long, bands array<long>")
+    return map_batches(chosen, compute, "doc_id long, node long, n long, bands array<long>, fp long")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -197,6 +200,15 @@ def _by_rare(sets: DataFrame, named: DataFrame, counters: int) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _by_prints(nodes: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of operator 1: the nodes of a component of fingerprints with its first node."""
+    prints = cut(components(linked_prints(nodes.select("fp").distinct())), "prints").select(F.col("node").alias("fp"), "component")
+    grouped = nodes.select("node", "n", "fp").join(prints, "fp", "left").select("node", "n", F.coalesce("component", "fp").alias("component"))
+    hubs = grouped.groupBy("component").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    met = grouped.join(hubs, "component").filter((F.col("node") != F.col("hub.node")) & _sized("n", "hub.n"))
+    return met.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, cell: int = CELL, counters: int = COUNTERS) -> DataFrame:
     """Rows (a, b) of similar nodes: every candidate pair of small cells, and enough of large ones to connect them."""
     cells = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -210,7 +222,7 @@ def links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, cell: int =
     hubs = large.join(known, "node").groupBy("key").agg(F.max(F.struct("known", "node", "n")).alias("hub"))
     spokes = large.join(hubs, "key").filter((F.col("node") != F.col("hub.node")) & _sized("n", "hub.n"))
     spokes = spokes.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    found = cut(_of_pairs(cut(paired.unionByName(spokes).distinct(), "pairs"), docs, nodes, doc_id, text), "found")
+    found = cut(_of_pairs(cut(_by_prints(nodes).unionByName(paired).unionByName(spokes).distinct(), "pairs"), docs, nodes, doc_id, text), "found")
     if large.isEmpty():
         return found
     # What the hubs did not connect: nodes of large cells that lie in several components.
@@ -225,7 +237,8 @@ def links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, cell: int =
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cell: int = CELL, counters: int = COUNTERS) -> DataFrame:
     """One document of each component of similar texts, the one with the smallest id, with the input's columns."""
     marked = cut(signatures(docs, doc_id, text), "signatures")
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("bands").alias("bands")), "nodes")
+    least = [F.min(c).alias(name) for c, name in (("doc_id", "least"), ("n", "n"), ("bands", "bands"), ("fp", "fp"))]
+    nodes = cut(marked.groupBy("node").agg(*least), "nodes")
     found = cut(components(links(docs, nodes, doc_id, text, cell, counters)), "components")
     grouped = nodes.select("node", "least").join(found, "node", "left").select("least", F.coalesce("component", "node").alias("component"))
     kept = grouped.groupBy("component").agg(F.min("least").alias("kept")).select("kept")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prefmill.llm import nearcopies
+from prefmill.llm import nearcopies, simhash
 from tests.llm.cases import no_docs, odd_docs, words
 
 
@@ -62,6 +62,20 @@ def test_near_copies_equal_brute_force(spark, cell, counters):
     assert got == sorted(kept(texts))
 
 
+def test_operator_one_finds_copies_without_the_bands(spark):
+    """Bands that never meet leave what operator 1 links, which is verified like any other pair."""
+    t = words(5, 3000)
+    docs = [(1, t), (2, changed(t, 1, 1)), (3, words(6, 3000)), (4, "a b c d e f"), (5, "a b c d e f a b c d e f g h i")]
+    x, y = (simhash.fingerprint(text.encode(), 5) for _, text in docs[:2])
+    assert ((x ^ y) & (1 << 64) - 1).bit_count() <= 2
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marked = nearcopies.signatures(df, "doc_id", "text").withColumn("bands", F.array("doc_id"))
+    nodes = nearcopies.cut(marked.withColumnRenamed("doc_id", "least"), "nodes")
+    least = {r["node"]: r["least"] for r in nodes.collect()}
+    found = nearcopies.links(df, nodes, "doc_id", "text").collect()
+    assert {frozenset((least[r["a"]], least[r["b"]])) for r in found} == {frozenset((1, 2))}
+
+
 def test_the_stage_drops_copies_with_a_changed_word_in_a_hundred(spark):
     docs = spark.createDataFrame([(1, t := words(5, 300)), (2, changed(t, 3, 1)), (3, words(6, 300))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]

@@ -107,9 +107,9 @@ def _table(items: list[np.ndarray]) -> Seeds:
     order = np.argsort(h, kind="stable")
     at, h = at[order], h[order]
     item = np.searchsorted(begins, at, "right") - 1
-    bits = 16 + max(1, len(h)).bit_length()
-    member = np.zeros(1 << min(26, bits), bool)
-    member[(h >> np.uint64(64 - min(26, bits))).astype(np.int64)] = True
+    bits = min(26, 8 + max(1, len(h)).bit_length())
+    member = np.zeros(1 << bits, bool)
+    member[(h >> np.uint64(64 - bits)).astype(np.int64)] = True
     return Seeds(h, item, at - begins[item], words, begins, member)
 
 

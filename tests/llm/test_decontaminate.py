@@ -124,3 +124,13 @@ def test_a_repeated_word_costs_no_more_than_the_text(spark):
     seeds = decontaminate._table([np.zeros(200, np.uint64)])
     part = decontaminate.wb.Texts(0, np.frombuffer(b"x " * 3000, np.uint8), np.array([0, 6000]))
     assert len(decontaminate._different(*np.zeros((3, 10**6), np.int64))) == 1 and decontaminate.overlaps(part, seeds) == []
+
+
+def test_the_filter_follows_the_seeds():
+    """Every task holds a copy: 64 MB for any benchmark of some items took most of a worker's memory."""
+    r = np.random.default_rng(1)
+    items = [r.integers(0, 1 << 63, 40).astype(np.uint64) for _ in range(200)]
+    seeds = decontaminate._table(items)
+    assert len(seeds.hashes) < len(seeds.filter) <= 1 << 24
+    shift = np.uint64(64 - (len(seeds.filter).bit_length() - 1))
+    assert seeds.filter[(seeds.hashes >> shift).astype(np.int64)].all()

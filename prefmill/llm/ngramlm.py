@@ -12,8 +12,12 @@ serves both the count table (:func:`totals`, hash and sum over all blocks) and i
 a block holds alone it knows itself, so only larger totals go back to their block, where they are subtracted, chosen and
 summed per document.
 
+Disk. Exploded n-grams take several times their text, so they are never there all at once: the hashes fall into ``rounds``
+equal ranges, each exploded, counted and joined by itself, and only its answers stay, as a table in the shared folder. The
+sums are made for one of ``shares`` equal shares of the blocks after another. The shuffle files of each go when it is done.
+
 Size. A hot n-gram has one row a block, so no hash holds more than its share of one block's different n-grams;
-partitions hold about ``part_rows`` rows at any corpus size; a block's words and answers are bounded by
+partitions hold about ``part_rows`` rows at most, at any corpus size; a block's words and answers are bounded by
 ``block_words`` or its longest document. Nothing is broadcast or gathered.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, in lower case. N-grams are told
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefmill.llm import wordbytes as wb
-from prefmill.llm.tables import bounded_batches, cut
+from prefmill.llm.tables import bounded_batches, cut_and_clear
 
 SCHEMA = "doc_id long, n_words long, n_backoff long, log_prob double"
 BLOCKS = "n_words long, ids array<long>, lengths array<int>, words array<int>, vocabulary array<long>"
@@ -47,8 +52,10 @@ class Settings:
     order: int = 3
     alpha: float = 0.4
     unseen: float = 0.5
-    block_words: int = 1_000_000
+    block_words: int = 750_000
     part_rows: int = 3_000_000
+    rounds: int = 5
+    shares: int = 4
 
 
 def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -91,7 +98,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataF
 
     bounded_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return cut(chosen.mapInArrow(pack, BLOCKS).withColumn("block_id", F.monotonically_increasing_id()), "blocks")
+    return cut_and_clear(chosen.mapInArrow(pack, BLOCKS).withColumn("block_id", F.monotonically_increasing_id()), "blocks")
 
 
 def _grams(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,14 +120,23 @@ def _opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     return vocabulary.view(np.uint64)[words], lengths.astype(np.int64)
 
 
-def exploded(packed: DataFrame, order: int) -> DataFrame:
-    """Rows (gram, block_id, place, n): each block's different n-grams, numbered by order and hash, with their number there."""
+def _edges(rounds: int) -> np.ndarray:
+    """The first hash of each round's range but the first."""
+    return np.array([(k << 64) // rounds for k in range(1, rounds)], np.uint64)
+
+
+def exploded(packed: DataFrame, order: int, turn: int = 0, rounds: int = 1) -> DataFrame:
+    """Rows (gram, block_id, place, n): each block's different n-grams of a round, numbered by order and hash, with their number there."""
 
     def explode(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 block_id, first = batch.column("block_id")[row].as_py(), 0
                 for grams, _ in _grams(*_opened(batch, row), order):
+                    if turn:
+                        grams = grams[grams >= _edges(rounds)[turn - 1]]
+                    if turn < rounds - 1:
+                        grams = grams[grams < _edges(rounds)[turn]]
                     different, n = np.unique(grams, return_counts=True)
                     for low in range(0, len(different), _BATCH):
                         part = different[low : low + _BATCH].view(np.int64)
@@ -133,17 +149,21 @@ def exploded(packed: DataFrame, order: int) -> DataFrame:
 
 
 def totals(grams: DataFrame) -> DataFrame:
-    """The count table: rows (gram, total, last_block, last_place) over all blocks.
+    """The count table: rows (gram, total, blocks, places) over all blocks.
 
-    The last columns name one holder; with them the count reads what :func:`asked_for` reads, so that both share an exchange.
+    The last columns both tell a gram's rows; with them the count reads what :func:`asked_for` reads, so that both share an exchange.
     """
-    return grams.groupBy("gram").agg(F.sum("n").alias("total"), F.max("block_id").alias("last_block"), F.max("place").alias("last_place"))
+    return grams.groupBy("gram").agg(F.sum("n").alias("total"), F.count("block_id").alias("blocks"), F.count("place").alias("places"))
 
 
 def asked_for(grams: DataFrame) -> DataFrame:
-    """Rows (block_id, place, total) for the n-grams that other blocks hold too."""
-    joined = grams.join(totals(grams).hint("merge"), "gram")
-    return joined.filter("total > n OR last_block <> block_id OR last_place <> place").select("block_id", "place", "total")
+    """Rows (block_id, place, total) for the n-grams that other blocks hold too.
+
+    Only their totals are hashed for the join, at most half a partition's rows, and no row is sorted.
+    """
+    shared = totals(grams).filter("blocks > 1 AND places > 1").select("gram", "total")
+    joined = grams.join(shared.hint("shuffle_hash"), "gram")
+    return joined.filter("total > coalesce(n, 0)").select("block_id", "place", "total")  # "total > n" would filter this side's exchange by n
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -151,26 +171,38 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
     packed = blocks(docs, doc_id, text, settings)
     order, alpha, unseen = settings.order, settings.alpha, settings.unseen
     n_words = packed.agg(F.sum("n_words")).first()[0] or 0
-    parts = n_words * order // settings.part_rows + 1
-    grams = exploded(packed, order).repartition(parts, "gram")
-    more = asked_for(grams)
+    rounds = min(settings.rounds, n_words * order // settings.part_rows + 1)
+    parts = n_words * order // (settings.part_rows * rounds) + 1
+    edges, answers = _edges(rounds), []
+    for turn in range(rounds):
+        grams = exploded(packed, order, turn, rounds).repartition(parts, "gram")
+        answers.append(cut_and_clear(asked_for(grams), "totals").withColumn("turn", F.lit(turn)))
+    more = reduce(DataFrame.unionAll, answers)
 
     def sum_up(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        places, found = right.column("place").to_numpy(), right.column("total").to_numpy()
+        turns, places, found = (right.column(name).to_numpy() for name in ("turn", "place", "total"))
         out = []
         for batch in left.to_batches():
             for row in range(batch.num_rows):
                 words, lengths = _opened(batch, row)
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 all_others = np.maximum(1, n_words - lengths)[owner].astype(float)
-                value, shorter, backoff, first = np.zeros(len(words)), np.zeros(0), np.zeros(len(words), np.int64), 0
+                value, shorter, backoff, first = np.zeros(len(words)), np.zeros(0), np.zeros(len(words), np.int64), np.zeros(rounds, np.int64)
                 for size, (ngrams, at) in enumerate(_grams(words, lengths, order), 1):
-                    different, inverse, total = np.unique(ngrams, return_inverse=True, return_counts=True)
-                    mine = (places >= first) & (places < first + len(different))
-                    total[places[mine] - first] = found[mine]
-                    # A document's own occurrences: equal (document, n-gram) pairs among the block's places.
-                    _, back, own = np.unique(owner[at] * (len(different) + 1) + inverse, return_inverse=True, return_counts=True)
-                    others = total[inverse] - own[back]
+                    # By n-gram and, as places ascend, by document: equal ones lie together, those of one document too.
+                    order_of = np.argsort(ngrams, kind="stable")
+                    lying = ngrams[order_of]
+                    new = np.concatenate([np.ones(min(1, len(lying)), bool), lying[1:] != lying[:-1]])
+                    different, total = lying[new], np.diff(np.append(np.flatnonzero(new), len(lying)))
+                    starts = np.concatenate([[0], np.searchsorted(different, edges), [len(different)]])
+                    held = np.diff(starts)  # of each round's numbers, this order has those from first to first + held
+                    mine = (places >= first[turns]) & (places < (first + held)[turns])
+                    totalled = total.copy()
+                    totalled[places[mine] + (starts[:-1] - first)[turns[mine]]] = found[mine]
+                    holder = owner[at[order_of]]
+                    own = np.diff(np.append(np.flatnonzero(new | np.concatenate([new[:1], holder[1:] != holder[:-1]])), len(lying)))
+                    others = np.empty(len(lying), np.int64)
+                    others[order_of] = np.repeat(totalled, total) - np.repeat(own, own)
                     if size == 1:
                         value = np.maximum(others, unseen) / all_others
                     else:
@@ -179,7 +211,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
                         backoff[at] = np.where(seen, 0, backoff[at] + 1)
                     shorter = np.zeros(len(words), np.int64)
                     shorter[at] = others
-                    first += len(different)
+                    first += held
                 columns = [
                     batch.column("ids")[row].values,
                     pa.array(lengths, pa.int64()),
@@ -189,5 +221,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
                 out.append(pa.table(columns, names=["doc_id", "n_words", "n_backoff", "log_prob"]))
         return pa.concat_tables(out)
 
-    asking = packed.select("block_id", "ids", "words", "lengths", "vocabulary").groupBy("block_id")
-    return asking.cogroup(more.groupBy("block_id")).applyInArrow(sum_up, SCHEMA)
+    asking, scored = packed.select("block_id", "ids", "words", "lengths", "vocabulary"), []
+    shares = min(settings.shares, rounds)
+    for share in range(shares):
+        chosen = F.pmod(F.xxhash64("block_id"), F.lit(shares)) == share
+        both = asking.filter(chosen).groupBy("block_id").cogroup(more.filter(chosen).groupBy("block_id"))
+        scored.append(cut_and_clear(both.applyInArrow(sum_up, SCHEMA), "scored"))
+    return reduce(DataFrame.unionAll, scored)

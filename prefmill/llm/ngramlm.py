@@ -10,14 +10,15 @@ Tables. Documents lie in blocks of about ``block_words`` words, so that an n-gra
 number there, not once an occurrence: :func:`exploded`. Those rows are partitioned by the n-gram's hash; one exchange
 serves both the count table (:func:`totals`, hash and sum over all blocks) and its join back to the exploded rows. What
 a block holds alone it knows itself, so only larger totals go back to their block, where they are subtracted, chosen and
-summed per document.
+summed per document. They go as lists, one for each block that a partition answers: :func:`gathered`.
 
 Disk. Exploded n-grams take several times their text, so they are never there all at once: the hashes fall into ``rounds``
 equal ranges, each exploded, counted and joined by itself, and only its answers stay, as a table in the shared folder. The
 sums are made for one of ``shares`` equal shares of the blocks after another. The shuffle files of each go when it is done.
 
 Size. A hot n-gram has one row a block, so no hash holds more than its share of one block's different n-grams;
-partitions hold about ``part_rows`` rows at most, at any corpus size; a block's words and answers are bounded by
+partitions hold about ``part_rows`` rows at most, at any corpus size, few enough to be counted and joined in a hash table
+that stays near the core's cache; there are never more lists than answers; a block's words and answers are bounded by
 ``block_words`` or its longest document. Nothing is broadcast or gathered.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, in lower case. N-grams are told
@@ -35,16 +36,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefmill.llm import wordbytes as wb
-from prefmill.llm.tables import bounded_batches, cut_and_clear
+from prefmill.llm.tables import bounded_batches, cut_and_clear, narrow_batches
 
 SCHEMA = "doc_id long, n_words long, n_backoff long, log_prob double"
-BLOCKS = "n_words long, ids array<long>, lengths array<int>, words array<int>, vocabulary array<long>"
+#: Lists of numbers that only tasks open lie as their bytes, so that Spark copies them whole.
+BLOCKS = "n_words long, ids array<long>, lengths binary, words binary, vocabulary binary"
+ANSWERS = "block_id long, turn int, places binary, totals binary"
 #: Rows of one Arrow batch of exploded n-grams.
 _BATCH = 200_000
+#: Answers gathered at once.
+_GATHERED = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -53,14 +59,20 @@ class Settings:
     alpha: float = 0.4
     unseen: float = 0.5
     block_words: int = 750_000
-    part_rows: int = 3_000_000
+    part_rows: int = 600_000
     rounds: int = 5
     shares: int = 4
 
 
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    """One row with all the values."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.BinaryArray:
+    """A row of bytes for the values from each bound to the next."""
+    offsets = pa.array(bounds * values.itemsize, pa.int32()).buffers()[1]  # an error beyond 2 GB
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(values)])
+
+
+def _numbers(rows: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The values of all the rows, one after another."""
+    return np.frombuffer(b"".join(rows.to_pylist()), kind)
 
 
 def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataFrame:
@@ -76,7 +88,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str, settings: Settings) -> DataF
             order = np.argsort(-n, kind="stable")  # frequent words get small places
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
-            lists = [_lists(np.concatenate(lengths), pa.int32()), _lists(place[words], pa.int32()), _lists(vocabulary[order].view(np.int64), pa.int64())]
+            lists = [_binary(x, np.array([0, len(x)])) for x in (np.concatenate(lengths), place[words], vocabulary[order])]
             names = pa.array([[x for part in ids for x in part]], pa.list_(pa.int64()))
             columns = [pa.array([len(words)], pa.int64()), names, *lists]
             return pa.RecordBatch.from_arrays(columns, names=["n_words", "ids", "lengths", "words", "vocabulary"])
@@ -107,17 +119,17 @@ def _grams(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple
     yield words, np.arange(len(words))
     chained = words
     for size in range(2, order + 1):
+        # Where a document has too few words before, the chain reaches into the one before and is not taken, now or later.
+        chained = np.concatenate([words[:1], wb.mix(chained[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:])])
         at = np.flatnonzero(place >= size - 1)
-        grams = wb.mix(chained[at - 1] * np.uint64(0x9FB21C651E98DF25) + words[at])
-        yield grams, at
-        chained = np.zeros(len(words), np.uint64)
-        chained[at] = grams
+        yield chained[at], at
 
 
 def _opened(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's words as hashes and its documents' lengths."""
-    words, lengths, vocabulary = (batch.column(name)[row].values.to_numpy() for name in ("words", "lengths", "vocabulary"))
-    return vocabulary.view(np.uint64)[words], lengths.astype(np.int64)
+    kinds = {"words": np.int32, "lengths": np.int32, "vocabulary": np.uint64}
+    words, lengths, vocabulary = (np.frombuffer(batch.column(name)[row].as_buffer(), kind) for name, kind in kinds.items())
+    return vocabulary[words], lengths.astype(np.int64)
 
 
 def _edges(rounds: int) -> np.ndarray:
@@ -128,15 +140,16 @@ def _edges(rounds: int) -> np.ndarray:
 def exploded(packed: DataFrame, order: int, turn: int = 0, rounds: int = 1) -> DataFrame:
     """Rows (gram, block_id, place, n): each block's different n-grams of a round, numbered by order and hash, with their number there."""
 
+    ends = [0, *_edges(rounds).tolist(), 1 << 64]
+    first_hash, hashes = (np.uint64(x % (1 << 64)) for x in (ends[turn], ends[turn + 1] - ends[turn]))
+
     def explode(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 block_id, first = batch.column("block_id")[row].as_py(), 0
                 for grams, _ in _grams(*_opened(batch, row), order):
-                    if turn:
-                        grams = grams[grams >= _edges(rounds)[turn - 1]]
-                    if turn < rounds - 1:
-                        grams = grams[grams < _edges(rounds)[turn]]
+                    if rounds > 1:
+                        grams = grams[grams - first_hash < hashes]
                     different, n = np.unique(grams, return_counts=True)
                     for low in range(0, len(different), _BATCH):
                         part = different[low : low + _BATCH].view(np.int64)
@@ -149,11 +162,11 @@ def exploded(packed: DataFrame, order: int, turn: int = 0, rounds: int = 1) -> D
 
 
 def totals(grams: DataFrame) -> DataFrame:
-    """The count table: rows (gram, total, blocks, places) over all blocks.
+    """The count table: rows (gram, total, blocks) over all blocks.
 
-    The last columns both tell a gram's rows; with them the count reads what :func:`asked_for` reads, so that both share an exchange.
+    The last column tells a gram's rows; with it the count reads what :func:`asked_for` reads, so that both share an exchange.
     """
-    return grams.groupBy("gram").agg(F.sum("n").alias("total"), F.count("block_id").alias("blocks"), F.count("place").alias("places"))
+    return grams.groupBy("gram").agg(F.sum("n").alias("total"), F.expr("count(block_id, place)").alias("blocks"))
 
 
 def asked_for(grams: DataFrame) -> DataFrame:
@@ -161,11 +174,38 @@ def asked_for(grams: DataFrame) -> DataFrame:
 
     Only their totals are hashed for the join, at most half a partition's rows, and no row is sorted.
     """
-    shared = totals(grams).filter("blocks > 1 AND places > 1").select("gram", "total")
+    shared = totals(grams).filter("blocks > 1").select("gram", "total")
     joined = grams.join(shared.hint("shuffle_hash"), "gram")
     return joined.filter("total > coalesce(n, 0)").select("block_id", "place", "total")  # "total > n" would filter this side's exchange by n
 
 
+def gathered(answers: DataFrame, turn: int) -> DataFrame:
+    """Rows (block_id, turn, places, totals): a partition's answers, a row a block, so that no answer is a row on its way there."""
+
+    def gather(batches):
+        held, n = [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            block, place, total = (np.concatenate([batch.column(k).to_numpy() for batch in held]) for k in range(3))
+            order = np.argsort(block, kind="stable")
+            block = block[order]
+            bounds = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            columns = [pa.array(block[bounds[:-1]]), pa.array(np.full(len(bounds) - 1, turn, np.int32)), _binary(place[order], bounds), _binary(total[order], bounds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["block_id", "turn", "places", "totals"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= _GATHERED:
+                yield from rows()
+                held, n = [], 0
+        if held:
+            yield from rows()
+
+    return answers.mapInArrow(gather, ANSWERS)
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """Rows (doc_id, n_words, n_backoff, log_prob)."""
     packed = blocks(docs, doc_id, text, settings)
@@ -176,11 +216,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
     edges, answers = _edges(rounds), []
     for turn in range(rounds):
         grams = exploded(packed, order, turn, rounds).repartition(parts, "gram")
-        answers.append(cut_and_clear(asked_for(grams), "totals").withColumn("turn", F.lit(turn)))
+        with narrow_batches(docs.sparkSession):
+            answers.append(cut_and_clear(gathered(asked_for(grams), turn), "totals"))
     more = reduce(DataFrame.unionAll, answers)
 
     def sum_up(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        turns, places, found = (right.column(name).to_numpy() for name in ("turn", "place", "total"))
+        places, found = _numbers(right["places"], np.int32), _numbers(right["totals"], np.int64)
+        turns = np.repeat(right["turn"].to_numpy(), pc.binary_length(right["places"]).to_numpy() // 4)
         out = []
         for batch in left.to_batches():
             for row in range(batch.num_rows):
@@ -189,10 +231,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings:
                 all_others = np.maximum(1, n_words - lengths)[owner].astype(float)
                 value, shorter, backoff, first = np.zeros(len(words)), np.zeros(0), np.zeros(len(words), np.int64), np.zeros(rounds, np.int64)
                 for size, (ngrams, at) in enumerate(_grams(words, lengths, order), 1):
-                    # By n-gram and, as places ascend, by document: equal ones lie together, those of one document too.
-                    order_of = np.argsort(ngrams, kind="stable")
-                    lying = ngrams[order_of]
+                    rough = np.argsort(ngrams)
+                    lying = ngrams[rough]
                     new = np.concatenate([np.ones(min(1, len(lying)), bool), lying[1:] != lying[:-1]])
+                    # By n-gram and, as places ascend, by document: equal ones lie together, those of one document too.
+                    order_of = np.sort((np.cumsum(new) << 32) | rough) & 0xFFFFFFFF
                     different, total = lying[new], np.diff(np.append(np.flatnonzero(new), len(lying)))
                     starts = np.concatenate([[0], np.searchsorted(different, edges), [len(different)]])
                     held = np.diff(starts)  # of each round's numbers, this order has those from first to first + held

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from prefmill.llm import ngramlm
+from prefmill.llm.tables import narrow_batches
 from tests.llm.cases import words
 from tests.llm.test_ngramlm_order import brute
 
@@ -60,3 +61,53 @@ def test_edges_cut_the_hashes_into_equal_ranges():
     assert ngramlm._edges(1).tolist() == []
     assert ngramlm._edges(4).tolist() == [1 << 62, 1 << 63, 3 << 62]
     assert ngramlm._edges(3).dtype == np.uint64
+
+
+def test_answers_go_to_their_block_as_lists(spark, monkeypatch):
+    texts, docs = table(spark)
+    write, rows, asked = ngramlm.cut_and_clear, [], []
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "totals":
+            rows.append(out.count())
+        return out
+
+    def counted(grams):
+        asked.append(plain(grams).count())
+        return plain(grams)
+
+    plain = ngramlm.asked_for
+    monkeypatch.setattr(ngramlm, "cut_and_clear", written)
+    monkeypatch.setattr(ngramlm, "asked_for", counted)
+    settings = ngramlm.Settings(part_rows=2000, rounds=2)
+    assert ngramlm.score(docs.repartition(4), settings=settings).count() == len(texts)
+    # The words lie in four blocks, their n-grams in three partitions a round.
+    assert len(rows) == 2 and min(asked) > 500
+    assert max(rows) <= 12
+
+
+def test_lists_hold_every_answer_once(spark, monkeypatch):
+    answers = [(k * 7 % 5, k, (1 << 40) + k) for k in range(1000)]
+    frame = spark.createDataFrame(answers, "block_id long, place int, total long").repartition(3)
+    for most in (100, 2_000_000):
+        monkeypatch.setattr(ngramlm, "_GATHERED", most)
+        got = ngramlm.gathered(frame, 4).collect()
+        opened = [(r["block_id"], *x) for r in got for x in zip(np.frombuffer(r["places"], np.int32).tolist(), np.frombuffer(r["totals"], np.int64).tolist(), strict=True)]
+        assert sorted(opened) == sorted(answers)
+        assert {r["turn"] for r in got} == {4}
+    assert len(got) <= 15
+    assert ngramlm.gathered(frame.limit(0), 0).collect() == []
+
+
+def test_batches_are_bounded_again_after_narrow_rows(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "5m")
+    try:
+        with pytest.raises(ZeroDivisionError), narrow_batches(spark):
+            assert spark.conf.get(key) == str(2**31 - 1)
+            raise ZeroDivisionError
+        assert spark.conf.get(key) == "5m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
